@@ -3,22 +3,49 @@
 from __future__ import annotations
 
 from playlake.llm.dedup_exact import exact_duplicates
+from playlake.llm.mixing import mix
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_hash_mixing(spark, sf_dir):
+    """The mix of all ``documents``."""
+    return mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_block_naming(spark, sf_dir):
     """Exact duplicates over all of ``documents``."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op9_hash_mixing": op9_hash_mixing,
     "op10_block_naming": op10_block_naming,
 }
 
 ORACLE_SQL = {
+    "op9_hash_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS size,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+        w AS (SELECT *, [3.0, 1.0, 2.0][place % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM r),
+        l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+              FROM w WINDOW b AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, arg_min(CASE WHEN cap / weight > level THEN level END, CASE WHEN cap / weight > level THEN place_by END) OVER (ORDER BY place_by ROWS UNBOUNDED PRECEDING) AS common
+              FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS place_by FROM l)),
+        t AS (SELECT source, source_size, coalesce(common * weight, cap) AS target FROM f),
+        g AS (SELECT source, h, sum(size)::BIGINT AS words FROM d GROUP BY source, h),
+        c AS (SELECT g.source, h, words, target - floor(target / source_size) * source_size AS budget,
+                     sum(words) OVER (PARTITION BY g.source ORDER BY h) - words AS earlier
+              FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source WHERE source_size > 0),
+        m AS (SELECT source, min(h) + CASE WHEN arg_min(earlier + words - budget < budget - earlier, h) THEN 1 ELSE 0 END AS threshold
+              FROM c WHERE earlier + words > budget GROUP BY source)
+        SELECT d.doc_id, size, source_size, target,
+               size * (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END + CASE WHEN h < threshold THEN 1 ELSE 0 END)::BIGINT AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source""",
     "op10_block_naming": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
