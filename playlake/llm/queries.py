@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from playlake.llm.dedup_exact import exact_duplicates
 from playlake.llm.mixing import mix
+from playlake.llm.pii import find_pii, pii_digest
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark, sf_dir):
+    """Personal data in all of ``documents``."""
+    return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op9_hash_mixing(spark, sf_dir):
     """The mix of all ``documents``."""
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
@@ -21,6 +27,7 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op9_hash_mixing": op9_hash_mixing,
     "op10_block_naming": op10_block_naming,
 }
