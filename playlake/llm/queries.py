@@ -5,12 +5,18 @@ from __future__ import annotations
 from playlake.llm.dedup_exact import exact_duplicates
 from playlake.llm.mixing import mix
 from playlake.llm.pii import find_pii, pii_digest
+from playlake.llm.warc import capture_digest, round_trip
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark, sf_dir):
+    """Archives of all ``pages``, written and read back."""
+    return capture_digest(round_trip(_table(spark, sf_dir, "pages")))
+
+
 def op5_pii(spark, sf_dir):
     """Personal data in all of ``documents``."""
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
@@ -27,12 +33,21 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_pii": op5_pii,
     "op9_hash_mixing": op9_hash_mixing,
     "op10_block_naming": op10_block_naming,
 }
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(x, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d""",
     "op9_hash_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS size,
                           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
