@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from playlake.llm.dedup_exact import exact_duplicates
+from playlake.llm.minhash import near_duplicates
 from playlake.llm.mixing import mix
 from playlake.llm.pii import find_pii, pii_digest
 from playlake.llm.warc import capture_digest, round_trip
+from playlake.shipping import ship
 
 
 def _table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +25,11 @@ def op5_pii(spark, sf_dir):
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op8_minhash(spark, sf_dir):
+    """Near duplicates over all of ``documents``."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_hash_mixing(spark, sf_dir):
     """The mix of all ``documents``."""
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
@@ -33,6 +41,7 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op8_minhash": op8_minhash,
     "op2_warc": op2_warc,
     "op5_pii": op5_pii,
     "op9_hash_mixing": op9_hash_mixing,
