@@ -16,7 +16,7 @@ smallest, so they are kept only in groups that have no other; columns beside the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from playlake.llm.scratch import materialize
 
@@ -30,8 +30,7 @@ def normalised(text):
 
 def _blocks(text, block_chars: int):
     """A text's blocks in order; the empty text has one empty block."""
-    n = F.greatest(F.lit(1), F.ceil(F.char_length(text) / F.lit(block_chars)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * block_chars + 1, F.lit(block_chars)))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
 
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,20 +52,17 @@ def block_names(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     slim = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
 
     found = cut.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("address"), "block")
-    contents = materialize(
-        found.groupBy("address").agg(F.array_sort(F.collect_set("block")).alias("contents"))
-        .select("address", F.size("contents").alias("n"), F.when(F.size("contents") > 1, F.col("contents")).alias("contents")),
-        "blocks",
-    )
+    different = materialize(found.dropDuplicates().select("address"), "different")
+    contents = materialize(different.groupBy("address").agg(F.count(F.lit(1)).cast("int").alias("n")), "contents")
     # The place of a block among those at its address: 0 unless two different blocks share a 64-bit hash.
     places = contents.select("address", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place"))
     names = _numbered(places, ["address", "place"])
     at = slim.select("row", F.posexplode("addresses").alias("pos", "address"))
-    shared = contents.filter("n > 1").select("address", F.posexplode("contents").alias("place", "block"))
+    shared = contents.filter("n > 1").select("address")
     if shared.isEmpty():
         at = at.withColumn("place", F.lit(0))
     else:
-        at = _with_places(at, slim, texts, shared, block_chars)
+        at = _with_places(at, slim, texts, found.join(shared, "address", "left_semi").dropDuplicates(), block_chars)
     level = materialize(at.join(names, ["address", "place"]).select("row", "pos", "name"), "level")
 
     done = level.join(slim.filter("n_blocks = 1"), "row", "left_semi").select("row", "name")
@@ -95,9 +91,10 @@ def block_names(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def _with_places(at: DataFrame, slim: DataFrame, texts: DataFrame, shared: DataFrame, block_chars: int) -> DataFrame:
     """Addresses that several contents share: documents that use one are read again, matched by their text's SHA-256."""
-    users = at.join(F.broadcast(shared.select("address").distinct()), "address", "left_semi").select("row").distinct()
+    shared = materialize(shared.withColumn("place", F.row_number().over(Window.partitionBy("address").orderBy("block")) - 1), "shared")
+    users = at.join(shared.select("address").distinct(), "address", "left_semi").select("row").distinct()
     users = slim.join(users, "row", "left_semi").select("row", "text_sha256")
-    full = texts.select("text", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")).dropDuplicates(["text_sha256"])
+    full = texts.select("text", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")).join(users.select("text_sha256").distinct(), "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
     blocks = users.join(full, "text_sha256").select("row", F.posexplode(_blocks(F.col("text"), block_chars)).alias("pos", "block"))
     placed = blocks.join(shared, "block").select("row", "pos", "place")
     return at.join(placed, ["row", "pos"], "left").select("row", "pos", "address", F.coalesce("place", F.lit(0)).alias("place"))
