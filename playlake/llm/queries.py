@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from playlake.llm.dedup_exact import exact_duplicates
+from playlake.llm import huffman
 from playlake.llm.minhash import near_duplicates
 from playlake.llm.mixing import mix
 from playlake.llm.pii import find_pii, pii_digest
@@ -20,6 +21,20 @@ def op2_warc(spark, sf_dir):
     return capture_digest(round_trip(_table(spark, sf_dir, "pages")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+END_ID = 2
+
+
+def op3_huffman(spark, sf_dir):
+    """The token ids of all ``documents``, written and read back."""
+    return huffman.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
 def op5_pii(spark, sf_dir):
     """Personal data in all of ``documents``."""
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
@@ -41,6 +56,7 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_huffman": op3_huffman,
     "op8_minhash": op8_minhash,
     "op2_warc": op2_warc,
     "op5_pii": op5_pii,
