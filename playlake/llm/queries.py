@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from playlake.llm.decontaminate import benchmark_hits, hits_digest
 from playlake.llm.dedup_exact import exact_duplicates
 from playlake.llm import huffman
 from playlake.llm.minhash import near_duplicates
@@ -40,6 +41,11 @@ def op5_pii(spark, sf_dir):
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_arrays(spark, sf_dir):
+    """Benchmark passages in all ``documents``."""
+    return hits_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op8_minhash(spark, sf_dir):
     """Near duplicates over all of ``documents``."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -56,6 +62,7 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op3_huffman": op3_huffman,
     "op8_minhash": op8_minhash,
     "op2_warc": op2_warc,
@@ -65,6 +72,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_suffix_arrays": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        bw AS (SELECT DISTINCT item_id, least(len(w), 13)::BIGINT AS n, array_to_string(w[i:i + 12], ' ') AS t
+               FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+               FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+        o AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.t = bw.t),
+        hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM o) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
