@@ -90,11 +90,8 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("b_source", (F.col("edge") + F.when(F.col("words") - F.col("budget") < F.col("budget"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep=(), weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row per document: its id, ``keep`` columns, size, source_size, target (of its source), taken (words, repeats counted), copies.
-
-    :param keep: further columns of ``docs`` to carry along, such as the text.
-    """
+def _planned(docs: DataFrame, text_col: str, id_col: str, source_col: str, keep, weights, epochs: float, max_repeat: int) -> DataFrame:
+    """doc_id, the columns of ``keep`` as keep_<name>, size, source_size, target, copies."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     slim = materialize(slim, "sizes")
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, max_repeat), "targets")
@@ -107,12 +104,17 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     )
     plan = materialize(plan, "plan")
     copies = (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
-    return slim.join(plan, slim["source"].eqNullSafe(F.col("t_source"))).select(
-        "doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
-    )
+    return slim.join(plan, slim["source"].eqNullSafe(F.col("t_source"))).select("doc_id", *[f"keep_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), copies."""
+    planned = _planned(docs, text_col, id_col, source_col, (), weights, epochs, max_repeat)
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each document as often as it is taken."""
-    mixed = mix(docs, keep=docs.columns, **options)
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    planned = _planned(docs, text_col, id_col, source_col, docs.columns, weights, epochs, max_repeat)
+    repeated = planned.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

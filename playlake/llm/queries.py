@@ -8,6 +8,10 @@ from playlake.llm import huffman
 from playlake.llm.minhash import near_duplicates
 from playlake.llm.mixing import mix
 from playlake.llm.pii import find_pii, pii_digest
+from playlake.llm.quality import quality
+from playlake.llm.scratch import new_path
+from playlake.llm.shards import Store
+from playlake.llm.toxicity import toxicity
 from playlake.llm.warc import capture_digest, round_trip
 from playlake.shipping import ship
 
@@ -17,6 +21,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of all ``documents``."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark, sf_dir):
     """Archives of all ``pages``, written and read back."""
     return capture_digest(round_trip(_table(spark, sf_dir, "pages")))
@@ -36,11 +45,27 @@ def op3_huffman(spark, sf_dir):
     return huffman.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op4_quality(spark, sf_dir):
+    """Quality of all ``documents``."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark, sf_dir):
     """Personal data in all of ``documents``."""
     return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op6_compaction(spark, sf_dir):
+    """All ``documents``, each source an arrival, appended, compacted, and read back through the manifest."""
+    from pyspark.sql import functions as F
+
+    store = Store(spark, new_path(spark, "shards"), target_bytes=32 << 20)
+    store.append(_table(spark, sf_dir, "documents"), "source")
+    store.compact(finish=True)
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_suffix_arrays(spark, sf_dir):
     """Benchmark passages in all ``documents``."""
     return hits_digest(benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -62,6 +87,9 @@ def op10_block_naming(spark, sf_dir):
 
 
 QUERIES = {
+    "op6_compaction": op6_compaction,
+    "op1_toxicity": op1_toxicity,
+    "op4_quality": op4_quality,
     "op7_suffix_arrays": op7_suffix_arrays,
     "op3_huffman": op3_huffman,
     "op8_minhash": op8_minhash,
@@ -72,6 +100,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_compaction": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op7_suffix_arrays": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
