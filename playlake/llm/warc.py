@@ -1,7 +1,7 @@
 """WARC archives: write records, read them back, and assemble request, response and metadata into one row per capture.
 
-Writing: a record's bytes end with two line breaks, so Spark's text writer with that line separator writes plain WARC
-files, committed by Spark on any file system.  A capture has a request, a response (or, where an equal payload has
+Writing: a record's bytes end with two line breaks, so Spark's text writer with that line separator writes WARC
+files, compressed and committed by Spark on any file system.  A capture has a request, a response (or, where an equal payload has
 a response already, a revisit that refers to it) and a metadata record, tied by WARC-Concurrent-To.
 
 Reading: each file is read by Spark as one binary row and cut into records by Content-Length; files of concatenated gzip
@@ -69,8 +69,8 @@ def captures_to_records(pages: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records as plain WARC files."""
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    """Write records as gzipped WARC files."""
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
 
 
 RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, block binary"
@@ -118,7 +118,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def read_warc(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, glob: str = "*.txt.gz") -> DataFrame:
     """One row per record of the archives below ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     return files.mapInArrow(_parse, RECORD)
