@@ -10,9 +10,10 @@ more; the result names each document's component.
 3. In each bucket, each node is a candidate with the bucket's least and its greatest node: as many pairs as rows, never
    the square.  Candidates pass when their signatures agree well enough and then their full sets prove the link.
 4. Alternating large-star and small-star gives components.  A bucket whose nodes are all in one component has nothing more
-   to tell.  In the others, nodes of different components are compared by signature in blocks of bounded size that are
-   dealt out over tasks, first with the best partners of each node only and then with all, and proved on full sets.  So
-   no link between nodes of one bucket is lost, also in large buckets.
+   to tell.  The nodes of the others go through a prefix filter: each set is ordered from its rarest shingle on, and two
+   sets as similar as asked share one of their first quarter.  Nodes that share such a shingle across components, and have
+   enough shingles after it, are candidates, found in blocks of bounded size that are dealt out over tasks.  So no link
+   between nodes of one bucket is lost, also in large buckets whose members differ from their least and greatest.
 
 Defined results: a null text and a text without words have the empty set, no links, and stay; a text of fewer than five
 words has its whole sequence as one shingle; rows that repeat a doc_id belong to its component and stay together; null
@@ -35,7 +36,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 75
 HASHES, BAND_ROWS = 128, 4
 #: Six standard deviations of the estimate below the similarity.
 SIGNATURE_FLOOR = SIMILARITY / 100 - 6 * (0.75 * 0.25 / HASHES) ** 0.5
-BLOCK_NODES, BEST = 256, 2
+BLOCK_NODES = 256
 BROADCAST_IDS = 500_000
 _WORD_CACHE = 1_000_000
 
@@ -122,7 +123,7 @@ def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
+            a, b = left.values.to_numpy(), right.values.to_numpy()
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= SIMILARITY * (len(a) + len(b) - both))
         mask = pa.array(keep, pa.bool_())
@@ -133,27 +134,20 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(text.as_py()) for text in batch.column("text")]
         marks = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["mark", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
 
 
-def _across(best: int | None):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = row["left"], row["right"]
-                nodes_a, nodes_b = (np.array([x["node"] for x in side]) for side in (a, b))
-                labels_a, labels_b = (np.array([x["label"] for x in side]) for side in (a, b))
-                signs_a, signs_b = (np.frombuffer(b"".join(x["signature"] for x in side), np.uint32).reshape(-1, HASHES) for side in (a, b))
-                for at in range(len(a)):
-                    agree = (signs_b == signs_a[at]).mean(axis=1)
-                    agree[(labels_b == labels_a[at]) | (nodes_b == nodes_a[at])] = 0
-                    near = np.flatnonzero(agree >= SIGNATURE_FLOOR)
-                    if best is not None:
-                        near = near[np.argsort(-agree[near], kind="stable")[:best]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes_a[at], len(near))), pa.array(nodes_b[near])], ["u", "v"])
-
-    return compare
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that can still be similar enough, given where the shared shingle stands in their orders."""
+    for batch in batches:
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            a, b = ({f: side.values.field(f).to_numpy() for f in ("node", "label", "size", "rest")} for side in (left, right))
+            for at in range(len(a["node"])):
+                # If this is the first shingle that both have, they share no more than follow it in the shorter rest.
+                needed = -(-SIMILARITY * (a["size"][at] + b["size"]) // (100 + SIMILARITY))
+                near = (b["label"] != a["label"][at]) & (np.minimum(b["rest"], a["rest"][at]) >= needed)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a["node"][at], near.sum())), pa.array(b["node"][near])], ["u", "v"])
 
 
 class _Graph:
@@ -163,36 +157,47 @@ class _Graph:
         self.docs, self.nodes = docs, nodes
         self.bands = nodes.select("node", "signature").mapInArrow(_banded, "key long, node long")
 
-    def prove(self, pairs: DataFrame, signed: bool = False) -> DataFrame:
-        """Those of the candidate pairs (u, v) whose full sets are similar enough."""
-        if not signed:
-            left, right = (self.nodes.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-            pairs = materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_agreeing, "u long, v long"), "agreeing")
-        needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    def prove(self, pairs: DataFrame) -> DataFrame:
+        """Those of the candidate pairs (u, v) whose signatures agree and whose full sets are similar enough."""
+        left, right = (self.nodes.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "left"), ("v", "right")))
+        pairs = materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_agreeing, "u long, v long"), "agreeing")
+        sets = self.sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+        left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "left"), ("v", "right")))
+        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_proved, "u long, v long"), "links")
+
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(node, shingles) of some nodes, from the texts of their least documents."""
         wanted = materialize(self.nodes.join(needed, "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep")), "wanted")
         ids = wanted.select("rep").distinct()
         if wanted.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-        sets = texts.mapInArrow(_with_sets, "mark binary, shingles binary").dropDuplicates(["mark"])
-        sets = materialize(sets.join(wanted, "mark").select("node", "shingles"), "sets")
-        left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_proved, "u long, v long"), "links")
+        found = texts.mapInArrow(_with_sets, "mark binary, shingles array<bigint>").dropDuplicates(["mark"])
+        return materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
 
-    def across(self, members: DataFrame, labels: DataFrame, best: int | None) -> DataFrame | None:
+    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Candidate pairs between different components in the same bucket, or None if there is no such bucket."""
-        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        placed = materialize(placed, "placed")
-        open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
-        open_keys = materialize(open_keys, "open")
-        if open_keys.isEmpty():
+        placed = materialize(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+        mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        nodes = materialize(placed.join(mixed, "key", "left_semi").select("node", "label").distinct(), "open")
+        if nodes.isEmpty():
             return None
-        rows = placed.join(open_keys, "key").join(self.nodes.select("node", "signature"), "node")
-        block = rows.groupBy("key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("node", "label", "signature")).alias("nodes"))
+        sets = self.sets(nodes.select("node"))
+        held = sets.join(nodes, "node").select("node", "label", F.explode("shingles").alias("key"))
+        counts = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")), "counts")
+        ordered = held.join(counts, "key").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("n", "key", "lo", "hi"))).alias("all"))
+        # Similar sets share one of the first n - ceil(0.75 n) + 1 in any common order of shingles.
+        first = F.slice("all", 1, F.size("all") - F.ceil(F.size("all") * SIMILARITY / 100).cast("int") + 1)
+        size = F.size("all").cast("long")
+        rare = ordered.select("node", "label", size.alias("size"), F.posexplode(first).alias("pos", "x")).filter("x.lo <> x.hi")
+        rare = materialize(rare.select("node", "label", "size", (F.col("size") - F.col("pos")).alias("rest"), "x.key"), "rare")
+        sizes = rare.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
+        rows = rare.join(materialize(sizes, "sizes"), "key")
+        block = rows.groupBy("key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("node", "label", "size", "rest")).alias("nodes"))
         block = materialize(block, "block")
         left = block.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("nodes").alias("left"))
         right = block.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("nodes").alias("right"))
-        pairs = left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_across(best), "u long, v long")
+        pairs = left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_across, "u long, v long")
         return materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
 
 
@@ -211,11 +216,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     star = members.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(members.select("node", "hi")).union(buckets.filter("n = 2").select("lo", "hi"))
     links = graph.prove(star.filter("u <> v").distinct())
     labels = connected_components(links)
-    for best in (BEST, None):
-        more = graph.across(members.select("key", "node"), labels, best)
-        if more is None or more.isEmpty():
-            break
-        links = links.unionByName(graph.prove(more, signed=True))
+    more = graph.across(members.select("key", "node"), labels)
+    if more is not None and not more.isEmpty():
+        links = links.unionByName(graph.prove(more))
         labels = connected_components(links)
 
     placed = materialize(nodes.join(labels, "node", "left").select("mark", "doc_id", F.coalesce("label", "node").alias("label")), "placed")

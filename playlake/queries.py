@@ -194,7 +194,7 @@ _on_obs("coverage_total", lambda s, d: interval.total(_coverage(s, d), _A), 'SEL
 _on_obs("coverage_union", lambda s, d: interval.union(_coverage(s, d), _week(s), _A).drop("verified_at"), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "(a > 0 OR b > 0)").strip())
 _on_obs("coverage_intersect", lambda s, d: interval.intersect(_coverage(s, d), _week(s), _A), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "a > 0 AND b > 0").strip())
 _on_obs("coverage_subtract", lambda s, d: interval.subtract(_coverage(s, d), _week(s), _A), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "a > 0 AND b = 0").strip())
-_on_obs("coverage_gaps", lambda s, d: interval.gaps(_coverage(s, d), LO, HOLE, _A), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("wk", "cov", "a > 0 AND b = 0").strip())
+_on_obs("coverage_gaps", lambda s, d: interval.gaps(_coverage(s, d), LO, HOLE, _A), 'SELECT artist, start, "end" FROM swept', _WEEK, "held AS (SELECT * FROM wk WHERE artist IN (SELECT artist FROM cov))", _sweep_sql("held", "cov", "a > 0 AND b = 0").strip())
 _on_obs("coverage_covers", lambda s, d: interval.covers(_coverage(s, d), LO, LO + 3600, _A), f'SELECT artist, bool_or(start <= {LO} AND "end" >= {LO + 3600}) AS covered FROM cov GROUP BY artist')
 _on_obs(
     "coverage_insert_changes", lambda s, d: interval.insert_changes(_coverage(s, d), _week(s), _A),
