@@ -232,4 +232,5 @@ def hits_digest(hits: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated; of rows that share an id, all go if one is."""
     bad = benchmark_hits(docs, benchmark, text_col, id_col, **options).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(materialize(bad, "contaminated"), docs[id_col].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = materialize(bad, "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -232,4 +232,5 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id stays; of rows that repeat an id, all stay."""
     kept = near_duplicates(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(materialize(kept, "kept"), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = materialize(kept, "kept")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -103,7 +103,8 @@ def _planned(docs: DataFrame, text_col: str, id_col: str, source_col: str, keep,
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"),
     )
     plan = materialize(plan, "plan")
-    copies = (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
+    # Only documents without words could be taken more often than allowed: those below the edge of an empty budget.
+    copies = F.least(F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0), F.lit(max_repeat)).cast("long")
     return slim.join(plan, slim["source"].eqNullSafe(F.col("t_source"))).select("doc_id", *[f"keep_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
 
 
