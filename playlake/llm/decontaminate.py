@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from playlake.llm.scratch import materialize
+from playlake.llm.worker import bound_batches
 
 WINDOW_WORDS, SHARE = 13, 20
 SHARD_WORDS, BLOCK_WORDS = 400_000, 2_000_000
@@ -193,6 +194,7 @@ def _finding(blocks, window: int, shard_words: int):
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside a window's occurrence), items (their ids), contaminated."""
+    bound_batches(docs.sparkSession)
     blocks = list(_blocks(benchmark, item_text_col, item_col, window, block_words))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(_finding(blocks, window, shard_words), "doc_id long, n_words long, n_hit long, items array<bigint>")
@@ -216,6 +218,7 @@ def _matching(blocks, window: int, shard_words: int):
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per benchmark suffix with a match: item_id, at (its first word), length (words, up to ``window``), doc_id and place (word) of one such match."""
+    bound_batches(docs.sparkSession)
     blocks = list(_blocks(benchmark, item_text_col, item_col, window, block_words))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(_matching(blocks, window, shard_words), "item_id long, at long, length long, doc_id long, place long")

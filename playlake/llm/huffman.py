@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from playlake.llm.scratch import materialize, new_path
+from playlake.llm.worker import bound_batches, held
 
 MAX_BITS, BLOCK, SEGMENT_TOKENS = 18, 256, 1 << 18
 _HEAD = struct.Struct("<4s4I")
@@ -147,7 +148,7 @@ class WordEncoder:
     Such a tokenizer treats what stands between spaces independently, and folds A-Z itself, so a text's ids are those of its words.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 400_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -185,12 +186,9 @@ class WordEncoder:
         return [np.fromiter(chain(chain.from_iterable(map(get, ws)), self.end), np.uint32) for ws in words]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def _encoding(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), WordEncoder(path, end_id))
+        encoder = held((path, end_id), lambda: WordEncoder(path, end_id))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -220,6 +218,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (16 or 32 bits each)."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_encoding(tokenizer_path, end_id), "doc_id long, n_tokens long, ids binary")
 

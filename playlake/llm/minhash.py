@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from playlake.llm.components import connected_components
 from playlake.llm.scratch import materialize
+from playlake.llm.worker import bound_batches, held
 
 SHINGLE_WORDS, SIMILARITY = 5, 75
 HASHES, BAND_ROWS = 128, 4
@@ -38,7 +39,7 @@ HASHES, BAND_ROWS = 128, 4
 SIGNATURE_FLOOR = SIMILARITY / 100 - 6 * (0.75 * 0.25 / HASHES) ** 0.5
 BLOCK_NODES = 256
 BROADCAST_IDS = 500_000
-_WORD_CACHE = 1_000_000
+_WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20240101)
 _MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -53,9 +54,6 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -67,7 +65,7 @@ def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
     for j in range(width):
@@ -203,6 +201,7 @@ class _Graph:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, signature binary"), "signed")
     nodes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from playlake.llm.labelled import SAMPLE_ROWS, remainder, sample
+from playlake.llm.worker import bound_batches, held
 
 BUCKETS, DIM, N_GRAMS = 1 << 18, 8, (3, 4)
 EPOCHS, RATE, SEED, THRESHOLD = 6, 4.0, 11, 0.3
@@ -167,23 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", ro
     return model
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scoring(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_SCORERS[key].scores(texts), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(texts), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher: better)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers, 8 MB
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(_scoring(shared, uuid.uuid4().hex), narrow.select("doc_id").withColumn("score", F.lit(0.0)).schema)
