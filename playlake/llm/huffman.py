@@ -26,7 +26,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,42 +147,49 @@ class WordEncoder:
     Such a tokenizer treats what stands between spaces independently, and folds A-Z itself, so a text's ids are those of its words.
     """
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), [] if end_id is None else [end_id], {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end = self.packed([] if end_id is None else [end_id])
         self.special = any(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def words(self, text: str) -> list[bytes]:
         raw = text.encode()
         return (raw if self.special and b"<|" in raw else raw.lower()).split()
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
     def learn(self, words: set[bytes]) -> None:
-        """Fill in words that aren't known, many in one call."""
-        if len(self.known) > self.LIMIT:
+        """Fill in words that aren't known, many in one call; if they don't fit, what was known before goes."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.LIMIT:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
+            new = words
         cores = {w[:-1] if w[-1:] in b".,!" and w[-2:-1].isalnum() else w for w in new}
         cores = [w for w in cores if w not in self.known]
         for at in range(0, len(cores), 4096):
             part = cores[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = tuple(found.ids)
+                self.known[word] = self.packed(found.ids)
         for word in new:
             if word not in self.known:
                 tail = word[-1:]
                 if tail not in self.known:
-                    self.known[tail] = tuple(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+                    self.known[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
                 self.known[word] = self.known[word[:-1]] + self.known[tail]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids, as numbers of :attr:`kind`."""
         words = [self.words(t) if t else [] for t in texts]
-        self.learn({w for ws in words for w in ws if w not in self.known})
+        self.learn(set().union(*words))
         get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, ws)), self.end), np.uint32) for ws in words]
+        return [b"".join(map(get, ws)) + self.end for ws in words]
 
 
 def _encoding(path: str, end_id: int | None):
@@ -193,7 +199,7 @@ def _encoding(path: str, end_id: int | None):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = encoder.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([(x.astype(np.uint16) if encoder.tokenizer.get_vocab_size() <= 65536 else x).tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
 
