@@ -156,6 +156,11 @@ class WordEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.packed([] if end_id is None else [end_id])
+        #: Which ids end a word, if the tokenizer has such a mark.
+        suffix, self.ends = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.special = any(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def words(self, text: str) -> list[bytes]:
@@ -173,6 +178,10 @@ class WordEncoder:
             new = words
         cores = {w[:-1] if w[-1:] in b".,!" and w[-2:-1].isalnum() else w for w in new}
         cores = [w for w in cores if w not in self.known]
+        plain = [w for w in cores if self.ends is not None and w.isalpha()]
+        for at in range(0, len(plain), 4096):
+            self._learn_plain(plain[at : at + 4096])
+        cores = [w for w in cores if w not in self.known]
         for at in range(0, len(cores), 4096):
             part = cores[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
@@ -184,6 +193,14 @@ class WordEncoder:
                     self.known[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
                 self.known[word] = self.known[word[:-1]] + self.known[tail]
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words of letters a-z: encoded as one text, which falls into words again where an id ends one."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.kind)
+        cuts = [0, *(self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(cuts) == len(words) + 1:
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as numbers of :attr:`kind`."""
         words = [self.words(t) if t else [] for t in texts]
