@@ -147,7 +147,7 @@ class WordEncoder:
     Such a tokenizer treats what stands between spaces independently, and folds A-Z itself, so a text's ids are those of its words.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
