@@ -23,7 +23,9 @@ an empty file.
 from __future__ import annotations
 
 import os
+import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ from playlake.llm.worker import bound_batches, held
 
 MAX_BITS, BLOCK, SEGMENT_TOKENS = 18, 256, 1 << 18
 _HEAD = struct.Struct("<4s4I")
+PUNCTUATION = string.punctuation.encode()
 
 
 # --- code books -----------------------------------------------------------------------------------------------------
@@ -170,15 +173,26 @@ class WordEncoder:
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
+    @staticmethod
+    def core(word: bytes) -> bytes:
+        """A word without the marks that follow its last letter or digit, which the tokenizer treats by themselves."""
+        core = word.rstrip(PUNCTUATION)
+        return core if core[-1:].isalnum() and b"<|" not in word else word
+
+    @staticmethod
+    def is_plain(word: bytes) -> bool:
+        """Whether a word has letters only, none of which the tokenizer changes."""
+        text = word.decode()
+        return text.isalpha() and (word.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
+
     def learn(self, words: set[bytes]) -> None:
         """Fill in words that aren't known, many in one call; if they don't fit, what was known before goes."""
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.LIMIT:
             self.known.clear()
             new = words
-        cores = {w[:-1] if w[-1:] in b".,!" and w[-2:-1].isalnum() else w for w in new}
-        cores = [w for w in cores if w not in self.known]
-        plain = [w for w in cores if self.ends is not None and w.isalpha()]
+        cores = {self.core(w) for w in new}.difference(self.known)
+        plain = [w for w in cores if self.ends is not None and self.is_plain(w)]
         for at in range(0, len(plain), 4096):
             self._learn_plain(plain[at : at + 4096])
         cores = [w for w in cores if w not in self.known]
@@ -188,13 +202,14 @@ class WordEncoder:
                 self.known[word] = self.packed(found.ids)
         for word in new:
             if word not in self.known:
-                tail = word[-1:]
+                core = self.core(word)
+                tail = word[len(core) :]
                 if tail not in self.known:
                     self.known[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
-                self.known[word] = self.known[word[:-1]] + self.known[tail]
+                self.known[word] = self.known[core] + self.known[tail]
 
     def _learn_plain(self, words: list[bytes]) -> None:
-        """Words of letters a-z: encoded as one text, which falls into words again where an id ends one."""
+        """Words of small letters: encoded as one text, which falls into words again where an id ends one."""
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.kind)
         cuts = [0, *(self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(cuts) == len(words) + 1:
