@@ -69,15 +69,15 @@ class SuffixArray:
     """The suffixes of a shard, sorted by their first ``window`` words."""
 
     def __init__(self, stream: np.ndarray, window: int = WINDOW_WORDS):
-        n = len(stream)
         self.window = window
         self.stream = np.concatenate([stream, np.zeros(window, stream.dtype)])
         rank = np.concatenate([stream.astype(np.int64), np.zeros(window, np.int64)])
         places, reach = np.flatnonzero(stream), 1
         while reach < window:
             step = min(reach, window - reach)
-            # The order by ``reach`` words at a place and at ``step`` words after it is the order by their sum.
-            key = rank[places] * (n + len(self.stream) + 2) + rank[places + step]
+            # The order by ``reach`` words at a place and at ``step`` words after it is the order by their sum; the base exceeds
+            # every rank of the round, also the first's word numbers, which run up to the vocabulary and not to the shard's length.
+            key = rank[places] * (int(rank.max()) + 1) + rank[places + step]
             order = np.argsort(key, kind="stable")
             key = key[order]
             new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) + 1 if len(key) else key

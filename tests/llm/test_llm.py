@@ -174,6 +174,31 @@ def test_benchmark_hits(docs, benchmark, options):
     assert {18, 19} <= bad and Counter(r["doc_id"] for r in left.collect()) == Counter(r[0] for r in rows() if r[0] not in bad)
 
 
+def test_benchmark_hits_large_vocabulary(spark):
+    """Word numbers far above the shard's length: small documents over many partitions, a benchmark of thousands of words."""
+    rng = np.random.default_rng(11)
+    items = [(k, [f"v{w}" for w in rng.integers(0, 9000, 60)]) for k in range(300)]
+    near = sorted({w for _, words in items for w in words})
+    docs = []
+    for k in range(60):
+        # Benchmark words in another order, between whole passages, so that many pairs of numbers meet in one shard.
+        words = list(rng.choice(near, int(rng.integers(20, 470))))
+        item = items[int(rng.integers(300))][1]
+        docs.append((k, words[:10] + item[5:35] + words[10:] if k % 3 else words))
+    windows = defaultdict(set)
+    for item, words in items:
+        for i in range(len(words) - 12):
+            windows[tuple(words[i : i + 13])].add(item)
+    want = []
+    for doc_id, words in docs:
+        found = {i: windows[tuple(words[i : i + 13])] for i in range(len(words) - 12) if tuple(words[i : i + 13]) in windows}
+        want.append((doc_id, len({p for i in found for p in range(i, i + 13)}), sorted(set().union(*found.values()))))
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string").repartition(30)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_hit"], r["items"]) for r in benchmark_hits(texts, benchmark).collect())
+    assert got == want and sum(w[1] >= 30 for w in want) == 40
+
+
 def test_longest_matches(spark, docs, benchmark):
     found = {(r["item_id"], r["at"]): r for r in longest_matches(docs.filter("doc_id is not null"), benchmark).collect()}
     assert found[1, 0]["length"] == 13 and found[1, 0]["doc_id"] == 18 and found[1, 0]["place"] == 1
