@@ -5,17 +5,18 @@ shards of each version in order, with their files, rows and bytes.  The latest m
 sees one version, whatever is written meanwhile.
 
 * ``append`` writes one Spark job's output, one shard for each arrival, and commits a manifest with the shards added.
-* ``compact`` looks for runs of at least ``fan_in`` shards of one size tier (powers of ``ratio``), merges each into files of about
-  ``target_bytes`` and commits a manifest with the runs replaced, until no run is left.  Shards of target size are let be.
+* ``compact`` looks for runs of at least ``fan_in`` files of one size tier (powers of ``ratio``), merges each into files of about
+  ``target_bytes`` and commits a manifest with the runs replaced, until no run is left.  Files of target size are let be, and a
+  shard's total doesn't count: one of many small files is merged, however large it is.
   Rows are dealt round, so a large arrival is spread over files and tasks.
 * ``read`` gives the rows of one version; a store with only empty arrivals has their columns and no rows.
-* ``vacuum`` deletes shards that no kept version names.
+* ``vacuum`` deletes files that no kept version names.
 
 A commit creates ``<version>.json`` from a temporary file by a rename that fails if the name is taken; the writer that loses
 reads the winner's manifest and tries again.  A failed or lost job leaves files that no manifest names.
 On a store whose rename replaces files silently, commits need one writer.
 
-Only sizes pass through the driver: a manifest has one entry for each shard, which compaction keeps few.
+Only names and sizes pass through the driver: a manifest has one entry for each file, which compaction keeps few.
 
 Defined results: an empty arrival adds no shard; null arrival names are one arrival; rows that repeat are all kept; all
 columns are kept, whatever their names.
@@ -35,12 +36,19 @@ TARGET_BYTES, FAN_IN, RATIO = 64 << 20, 4, 4
 
 @dataclass(frozen=True)
 class Shard:
-    """One immutable shard."""
+    """One immutable shard, or those of its files that a version still names."""
 
     id: str
     files: tuple[str, ...]
     size: int
     arrivals: tuple[str, ...]
+    #: Bytes of each file.
+    sizes: tuple[int, ...]
+
+    def only(self, keep) -> Shard | None:
+        """The shard with the files for which ``keep`` (name, bytes → bool) holds; None without any."""
+        found = [(f, n) for f, n in zip(self.files, self.sizes, strict=True) if keep(f, n)]
+        return Shard(self.id, tuple(f for f, _ in found), sum(n for _, n in found), self.arrivals, tuple(n for _, n in found)) if found else None
 
 
 class Store:
@@ -78,7 +86,8 @@ class Store:
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, by default of the latest."""
         found = self.manifest(version)["shards"]
-        return [Shard(s["id"], tuple(s["files"]), s["size"], tuple(s["arrivals"])) for s in found]
+        # Manifests of older stores have no bytes of single files; equal ones stand for them.
+        return [Shard(s["id"], tuple(s["files"]), s["size"], tuple(s["arrivals"]), tuple(s.get("sizes") or [s["size"] // len(s["files"])] * len(s["files"]))) for s in found]
 
     def commit(self, change, columns: str | None = None) -> int:
         """Apply ``change`` (list of shards → list of shards) to the latest version and publish the result as the next.
@@ -101,7 +110,7 @@ class Store:
 
     def _written(self, folder: str, arrivals: tuple[str, ...]) -> Shard | None:
         found = [(n, size) for n, size in self._names(f"shards/{folder}") if n.startswith("part-")]
-        return Shard(folder, tuple(n for n, _ in found), sum(s for _, s in found), arrivals) if found else None
+        return Shard(folder, tuple(n for n, _ in found), sum(s for _, s in found), arrivals, tuple(s for _, s in found)) if found else None
 
     def append(self, rows: DataFrame, arrival_col: str | None = None) -> int:
         """Add rows, one shard for each value of ``arrival_col`` (without it, one shard); the new version."""
@@ -123,13 +132,17 @@ class Store:
             tier, limit = tier + 1, limit * self.ratio
         return tier
 
+    def _small(self, shards: list[Shard]) -> list[Shard]:
+        """The shards with their files below half the target's size."""
+        return [part for s in shards if (part := s.only(lambda _, n: n < self.target_bytes // 2))]
+
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Groups of at least ``fan_in`` shards of one tier, those of target size left out; each up to the target's size or more."""
+        """Groups of at least ``fan_in`` files of one tier, as parts of their shards; files of target size are left out."""
         tiers: dict[int, list[Shard]] = {}
-        for shard in shards:
-            if shard.size < self.target_bytes // 2:
-                tiers.setdefault(self._tier(shard.size), []).append(shard)
-        return [group for _, group in sorted(tiers.items()) if len(group) >= self.fan_in]
+        for shard in self._small(shards):
+            for tier in {self._tier(n) for n in shard.sizes}:
+                tiers.setdefault(tier, []).append(shard.only(lambda _, n, tier=tier: self._tier(n) == tier))
+        return [group for _, group in sorted(tiers.items()) if sum(len(s.files) for s in group) >= self.fan_in]
 
     def compact(self, finish: bool = False) -> int:
         """Merge until no run is left; with ``finish`` also what remains below half the target.  The latest version."""
@@ -137,8 +150,8 @@ class Store:
             shards = self.shards()
             groups = self.runs(shards)
             if not groups and finish:
-                rest = [s for s in shards if s.size < self.target_bytes // 2]
-                groups, finish = ([rest] if len(rest) > 1 else []), False
+                rest = self._small(shards)
+                groups, finish = ([rest] if sum(len(s.files) for s in rest) > 1 else []), False
             if not groups:
                 return self.versions()[-1] if shards else 0
             self.commit(self._replacing([(g, self._merged(g)) for g in groups]))
@@ -154,10 +167,10 @@ class Store:
     def _replacing(merges):
         def change(shards: list[Shard]) -> list[Shard]:
             for group, merged in merges:
-                gone = {s.id for s in group}
-                if not gone <= {s.id for s in shards}:
+                gone = {(s.id, f) for s in group for f in s.files}
+                if not gone <= {(s.id, f) for s in shards for f in s.files}:
                     raise RuntimeError("another writer has merged these shards")
-                shards = [s for s in shards if s.id not in gone] + [merged]
+                shards = [left for s in shards if (left := s.only(lambda f, _, s=s: (s.id, f) not in gone))] + [merged]
             return shards
 
         return change
@@ -175,13 +188,15 @@ class Store:
         return self.spark.createDataFrame([], StructType.fromJson(json.loads(columns))) if columns else None
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the files of shards that none of the last versions names, and the older manifests; how many shards."""
+        """Delete the files that none of the last versions names, and the older manifests; of how many shards."""
         known = self.versions()
-        kept = known[-keep_versions:]
-        named = {s.id for v in kept for s in self.shards(v)}
-        gone = {s.id for v in known[:-keep_versions] for s in self.shards(v)} - named
-        for shard in gone:
+        named, old = ({(s.id, f) for v in versions for s in self.shards(v) for f in s.files} for versions in (known[-keep_versions:], known[:-keep_versions]))
+        gone, kept = old - named, {shard for shard, _ in named}
+        for shard in {shard for shard, _ in gone} - kept:
             self._fs.delete(self._java.Path(f"{self.path}/shards/{shard}"), True)
+        for shard, file in gone:
+            if shard in kept:
+                self._fs.delete(self._java.Path(f"{self.path}/shards/{shard}/{file}"), False)
         for version in known[:-keep_versions]:
             self._fs.delete(self._java.Path(f"{self.path}/manifests/{version:08d}.json"), False)
-        return len(gone)
+        return len({shard for shard, _ in gone})

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from playlake.llm import huffman, queries
 from playlake.llm.components import connected_components
@@ -356,6 +357,30 @@ def test_shards(spark, docs):
     assert store.append(docs.limit(0), "source") and store.read().count() == 4 * len(want)
 
 
+def test_shards_of_many_small_files(spark):
+    """Every arrival exceeds the target, but consists of small files; one has a large file too."""
+    rng = np.random.default_rng(12)
+    rows = [(k, bytes(rng.integers(33, 127, 2000, np.uint8)).decode(), "abc"[k % 3]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = 512 << 10
+    store = Store(spark, queries.new_path(spark, "store"), target_bytes=target)
+    store.append(docs.repartition(24), "source")
+    store.append(docs.withColumn("source", F.lit("large")).filter("doc_id < 1200").repartitionByRange(2, F.col("doc_id") >= 1100), "source")
+    before = store.shards()
+    large = [(s.id, f) for s in before for f, n in zip(s.files, s.sizes, strict=True) if n >= target // 2]
+    assert all(s.size > target for s in before) and len(large) == 1 and sum(len(s.files) for s in before) == 74
+    want = Counter(r["doc_id"] for r in store.read().collect())
+    store.compact()
+    sizes = [n for s in store.shards() for n in s.sizes]
+    assert sum(n < target // 2 for n in sizes) < store.fan_in * 5 and all(n < 2 * target for n in sizes if n != max(sizes)) and len(sizes) < 24
+    assert large[0] in {(s.id, f) for s in store.shards() for f in s.files}
+    store.compact(finish=True)
+    assert sum(n < target // 2 for s in store.shards() for n in s.sizes) <= 1
+    assert store.vacuum() >= 4 and Counter(r["doc_id"] for r in store.read().collect()) == want
+    on_disk = {n for s in store.shards() for n, _ in store._names(f"shards/{s.id}") if n.startswith("part-")}
+    assert on_disk == {f for s in store.shards() for f in s.files}
+
+
 def test_empty_store(spark, empty):
     store = Store(spark, queries.new_path(spark, "store"))
     store.append(empty, "source")
