@@ -36,13 +36,29 @@ class Kind:
     base: bool = True
 
 
+# The lengths of IBANs without spaces by country, as registered or in use.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE IM ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DJ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BF BI BJ CF CG CI CM FR GA GF GP GR IT KM MC MG ML MQ MR NC NE PF PM RE SM SN TD TF TG WF YT", 28: "AL AZ BY CY DO GT HN HU LB MA NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A known country bounds the span by its length; of any other, a span ends at a word's end, the farthest first."""
+    known = [(n, codes.replace(" ", "|")) for n, codes in IBAN_COUNTRIES.items()]
+    fixed = "|".join(f"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in known)
+    other = f"(?!{'|'.join(codes for _, codes in known)})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"
+    return f"(?<![A-Za-z0-9])(?:{fixed}|{other})(?![A-Za-z0-9])"
+
+
 # The four base kinds in the order in which ties of a start are listed, then the added ones.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, ("mail", "contact", "write to")),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", 0.7, ("ip", "host", "server", "address"), ("version", "release")),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "[0-9](?:[ -]?[0-9]){13}", 0.8, ("card", "visa", "credit", "payment"), ("order", "isbn")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.8, ("phone", "tel", "call", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z][A-Z][0-9][0-9]", 0.7, ("iban", "account", "konto", "compte", "cuenta"), (), False),
+    Kind("iban", _iban(), "[A-Z][A-Z][0-9][0-9]", 0.7, ("iban", "account", "konto", "compte", "cuenta"), (), False),
     Kind("national_phone", r"(?<![+0-9A-Za-z().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}\)?[ .-][0-9]{3}[ .-]", 0.4, ("phone", "tel", "call", "mobile", "fax"), ("order", "part", "isbn"), False),
     Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])", "[0-9a-f]{32}", 0.4, ("token", "key", "secret", "password"), ("sha", "md5", "commit", "checksum", "hash"), False),
 )

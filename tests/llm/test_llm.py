@@ -244,6 +244,19 @@ def test_personal_data(spark):
     assert "iban:5:32" in got[22]["spans"] and "national_phone:4:16" in got[23]["spans"]
 
 
+def test_ibans_before_capitals(spark):
+    german, british, dutch = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00"
+    cases = [
+        (f"IBAN {german} BIC COBADEFF", [german]), (f"IBAN {british} Please pay", [british]), (f"IBAN {german} 2024", [german]), (f"IBAN {british} BIC NWBKGB2L 2024", [british]),
+        (f"{german} {british} {dutch} AND MORE", [german, british, dutch]), (f"NOTE A1 {dutch} X", [dutch]), (f"{german}X", []), ("DE88370400440532013000 BIC", []), ("DE12 3456 7890 1234 " + german, [german]),
+        ("😀 MT84MALT011000012345MTLCAST001S END", ["MT84MALT011000012345MTLCAST001S"]), ("NO93 8601 1117 947 NOK 500", ["NO93 8601 1117 947"]),
+    ]
+    found = find_pii(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    for r in found.collect():
+        text, want = cases[r["doc_id"]]
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] == [(text.index(w), text.index(w) + len(w)) for w in want], text
+
+
 def test_redaction(docs):
     found = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     assert found[20] == "mail me at <email>. or call <phone>" and found[21] == "host 10.0.0.300 and <ip>, card <card>"
