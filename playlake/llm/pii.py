@@ -132,18 +132,21 @@ def spans_of(kind: Kind, text: Column) -> Column:
 
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    # Running end of piece and match: where each match starts and ends.
+    # Running end of piece and match: where each match starts and ends.  The last characters are carried along, so that the context
+    # reaches over earlier matches and the text isn't cut from its beginning for each.
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
     found = F.aggregate(
         F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("text")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(schema).alias("spans")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(schema).alias("spans")),
         lambda acc, x: F.struct(
             (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("at"),
+            last(acc["before"], x["gap"], x["text"]).alias("before"),
             F.when(
                 _confirmed(kind.name, x["text"]),
                 F.concat(acc["spans"], F.array(F.struct(
                     (acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
                     (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("end"), x["text"].alias("text"),
-                    _score(kind, F.right(x["gap"], F.lit(CONTEXT_CHARS))).alias("score"),
+                    _score(kind, last(acc["before"], x["gap"])).alias("score"),
                 )).cast(schema)),
             ).otherwise(acc["spans"]).alias("spans"),
         ),

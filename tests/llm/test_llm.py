@@ -257,6 +257,14 @@ def test_ibans_before_capitals(spark):
         assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] == [(text.index(w), text.index(w) + len(w)) for w in want], text
 
 
+def test_context_reaches_over_matches(spark):
+    a, b = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    cases = ["Tel: 555-123-4567, 555-765-4321", f"token {a}, {'é' * 4} {b}", f"keys: {a} {b}", f"Tel: 555-123-4567 {'.' * 40} 555-765-4321"]
+    want = [["national_phone:5:17", "national_phone:19:31"], ["secret:6:38"], ["secret:6:38", "secret:39:71"], ["national_phone:5:17"]]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii_digest(find_pii(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"))).collect()}
+    assert [got[k] for k in range(len(cases))] == want
+
+
 def test_redaction(docs):
     found = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     assert found[20] == "mail me at <email>. or call <phone>" and found[21] == "host 10.0.0.300 and <ip>, card <card>"
