@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are words of benchmark passages go."""
-    return without_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+    return without_benchmark(docs, _table(spark, sf_dir, "benchmark"), null_items=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

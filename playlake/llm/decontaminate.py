@@ -12,7 +12,8 @@ The benchmark is dealt in blocks of at most :data:`BLOCK_WORDS` words; each is b
 turn, so neither the driver nor a task holds more than one at a time, whatever the benchmark's size.
 
 Defined results: a null text has no words and no hits; a benchmark text without words, or null, has no window; one
-shorter than the window is a window of its own; items that repeat are one item; a null item_id is never reported; an
+shorter than the window is a window of its own; items that repeat are one item; texts with a null item_id are left out, or
+with ``null_items`` mark words and count together as one item without a name, as SQL has it; an
 empty benchmark leaves all documents clean; rows that repeat are judged one by one; columns beside id and text aren't
 read, and a document of any length is one part of its shard.
 """
@@ -43,7 +44,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Queries:
     """A block of benchmark texts: its vocabulary and its suffixes."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW_WORDS):
         self.window = window
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, words in items for w in words}))}
         streams = [np.array([self.vocabulary[w] for w in words], np.int32) for _, words in items if words]
@@ -51,7 +52,9 @@ class Queries:
         lengths = np.array([len(s) for s in streams], np.int64)
         total = int(lengths.sum())
         padded = np.concatenate([*streams, np.zeros(window, np.int32)]) if streams else np.zeros(window, np.int32)
-        self.item = np.repeat(np.array(kept, np.int64), lengths) if kept else np.empty(0, np.int64)
+        self.item = np.repeat(np.array([item or 0 for item in kept], np.int64), lengths) if kept else np.empty(0, np.int64)
+        #: Whether the item of a suffix has an id.
+        self.named = np.repeat(np.array([item is not None for item in kept]), lengths) if kept else np.empty(0, bool)
         self.at = np.concatenate([np.arange(n) for n in lengths]) if kept else np.empty(0, np.int64)
         left = np.repeat(lengths, lengths) - self.at if kept else np.empty(0, np.int64)
         #: How many words of each suffix are looked up, and whether that is a whole window.
@@ -126,18 +129,18 @@ class SuffixArray:
         return best, place
 
 
-def _blocks(benchmark: DataFrame, text_col: str, item_col: str, window: int, block_words: int):
+def _blocks(benchmark: DataFrame, text_col: str, item_col: str, window: int, block_words: int, null_items: bool = False):
     """Broadcasts of :class:`Queries`, one block of items after another."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter(f"({str(null_items).lower()} or item is not null) and text is not null").distinct()
     items = materialize(items, "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word is two bytes at least with its separator, so blocks of equal shares stay near the bound; long items fill one alone.
     count = max(1, -(-total // (2 * block_words)))
     for k in range(count):
-        part = [(r["item"], words_of(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k).toLocalIterator()]
+        part = [(r["item"], words_of(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).toLocalIterator()]
         if part or count == 1:
-            yield spark.sparkContext.broadcast(Queries(sorted(part), window))
+            yield spark.sparkContext.broadcast(Queries(sorted(part, key=lambda x: (x[0] is None, x[0] or 0, x[1])), window))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int):
@@ -181,21 +184,21 @@ def _finding(blocks, window: int, shard_words: int):
                 np.add.at(hit, place, 1)
                 np.add.at(hit, place + queries.size[query], -1)
                 doc = np.searchsorted(starts, place, side="right") - 1
-                for d, item in np.unique(np.stack([doc, queries.item[query]], axis=1), axis=0).tolist():
-                    items[d].add(item)
+                for d, item, named in np.unique(np.stack([doc, queries.item[query], queries.named[query]], axis=1), axis=0).tolist():
+                    items[d].add(item if named else None)
                 if len(blocks) > 1:  # a worker keeps no more than one block's value
                     block.__dict__.pop("_value", None)
             marked = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
             n_hit = marked[starts[1:]] - marked[starts[:-1]]
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "n_words": len(w), "n_hit": int(n), "items": sorted(i)} for (d, w), n, i in zip(docs, n_hit, items, strict=True)], schema=_HITS)
+            yield pa.RecordBatch.from_pylist([{"doc_id": d, "n_words": len(w), "n_hit": int(n), "items": sorted(i, key=lambda x: (x is None, x or 0))} for (d, w), n, i in zip(docs, n_hit, items, strict=True)], schema=_HITS)
 
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, null_items: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside a window's occurrence), items (their ids), contaminated."""
     bound_batches(docs.sparkSession)
-    blocks = list(_blocks(benchmark, item_text_col, item_col, window, block_words))
+    blocks = list(_blocks(benchmark, item_text_col, item_col, window, block_words, null_items))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(_finding(blocks, window, shard_words), "doc_id long, n_words long, n_hit long, items array<bigint>")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))

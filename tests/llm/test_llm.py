@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,26 @@ def test_benchmark_hits(docs, benchmark, options):
     assert {18, 19} <= bad and Counter(r["doc_id"] for r in left.collect()) == Counter(r[0] for r in rows() if r[0] not in bad)
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_words": 50, "block_words": 30}])
+def test_benchmark_without_ids(spark, tmp_path, options):
+    """Passages whose item_id is null hit like others, as in the query's SQL; in the pipeline's stage their documents go."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, f"a b {prose(90, 20)}"), (2, prose(91, 30)), (3, f"{prose(90, 20)} {prose(92, 15)}"), (4, prose(93, 50)), (5, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, prose(90, 20)), (None, prose(91, 30)), (0, prose(92, 15)), (7, prose(91, 30)), (None, None), (None, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op7_suffix_arrays"])
+    want = sorted(found.fetchall(), key=str)
+    got = hits_digest(benchmark_hits(docs, benchmark, null_items=True, **options)) if options else queries.op7_suffix_arrays(spark, str(tmp_path))
+    assert collected(got, *[d[0] for d in found.description]) == want and [w[3] for w in want] == [1, 2, 2, 0, 0]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()} == {4, 5}
+
+
 def test_benchmark_hits_large_vocabulary(spark):
     """Word numbers far above the shard's length: small documents over many partitions, a benchmark of thousands of words."""
     rng = np.random.default_rng(11)
