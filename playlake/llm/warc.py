@@ -12,8 +12,9 @@ Assembly: request and metadata records name their response in WARC-Concurrent-To
 nested row per capture.  Ids are unique, so no group exceeds the records of its capture.
 
 Defined results: a null html or url is empty; equal payloads of at least ``min_bytes`` are told by length and SHA-1;
-the smallest id of each has the response (null ids come last); rows that repeat an id are written each, and assembled to one
-capture with the greatest of their records; columns beside
+the smallest id of each has the response (null ids come last).  Record ids are made of the page ids where no two rows share one;
+otherwise of page id and row, so each row is a capture of its own.  The digest calls pages with a null id revisits of nothing, as
+the contract's SQL does, also where they have the response; columns beside
 id, url and payload aren't read.  A record that is cut off at a file's end raises an error.
 """
 
@@ -53,11 +54,20 @@ def captures_to_records(pages: DataFrame, id_col: str = "page_id", url_col: str
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]+", " ")
     full = pages.select(F.col(id_col).alias("id"), url.alias("url"), text.alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
     slim = materialize(full.select("id", "digest", "bytes"), "digests")
-    first = materialize(slim.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first")), "firsts")
+    name = F.concat(F.lit("urn:capture:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    if slim.groupBy("id").count().filter("count > 1").limit(1).count():
+        # The row's number is written with the payload, so that all that read it see the same.
+        full = materialize(full.withColumn("row", F.monotonically_increasing_id()), "rows")
+        name = F.concat(name, F.lit("."), F.col("row").cast("string"))
+        slim = full
+    full, slim = full.withColumn("rid", name), slim.withColumn("rid", name)
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rid")).alias("least")
+    first = slim.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(least).select("digest", "bytes", F.col("least.id").alias("first"), F.col("least.rid").alias("first_rid"))
+    first = materialize(first, "firsts")
     full = full.join(first, ["digest", "bytes"], "left")
     is_first = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
-    rid = F.concat(F.lit("urn:capture:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    refers = F.concat(F.lit("<urn:capture:"), F.col("first").cast("string"), F.lit(":response>"))
+    rid = F.col("rid")
+    refers = F.concat(F.lit("<"), F.col("first_rid"), F.lit(":response>"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL))
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))]
     to = [("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", F.concat(F.lit("<"), rid, F.lit(":response>")))]
@@ -149,11 +159,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def capture_digest(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes and payload_digest (of the full payload), record_type, refers_to."""
-    number = lambda c: F.regexp_extract(c, r"^urn:capture:(-?[0-9]+):", 1)
+    number = lambda c: F.regexp_extract(c, r"^urn:capture:(-?[0-9]+)[.:]", 1)
+    page_id = F.expr("try_cast(regexp_extract(capture, '^urn:capture:(-?[0-9]+)[.:]', 1) as bigint)")
     return captures.select(
-        F.expr("try_cast(regexp_extract(capture, '^urn:capture:(-?[0-9]+):', 1) as bigint)").alias("page_id"),
+        page_id.alias("page_id"),
         F.coalesce(F.octet_length("response.payload"), F.regexp_extract("metadata.block", r"payloadBytes: ([0-9]+)", 1).cast("int")).cast("long").alias("payload_bytes"),
         F.coalesce(base32_sha1(F.col("response.payload")), F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        F.when(F.col("response.record_type") == "revisit", number(F.col("response.refers_to")).cast("long")).alias("refers_to"),
+        F.when(page_id.isNull(), "revisit").otherwise(F.col("response.record_type")).alias("record_type"),
+        F.when(page_id.isNotNull() & (F.col("response.record_type") == "revisit"), number(F.col("response.refers_to")).cast("long")).alias("refers_to"),
     )

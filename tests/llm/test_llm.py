@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,21 @@ def test_archives(spark, least):
     assert nested["urn:capture:1:response"]["request"]["block"].startswith("GET http://a/") and "payloadBytes: 23" in nested["urn:capture:1:response"]["metadata"]["block"]
 
 
+def test_archives_of_repeated_ids(spark):
+    """Repeated and null ids: a row for each page, as in the query's SQL, and no payload is lost."""
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "b"), (2, "u", "c"), (-3, "v", "a"), (None, "u", "d"), (None, "u", "d"), (None, "w", "a"), (None, None, None), (4, "u", "é" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    con = duckdb.connect()
+    con.register("pages", pa.table({n: [r[k] for r in rows] for k, n in enumerate(("page_id", "url", "html"))}, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])))
+    found = con.execute(queries.ORACLE_SQL["op2_warc"])
+    captures = round_trip(pages)
+    assert collected(capture_digest(captures), *[d[0] for d in found.description]) == sorted(found.fetchall(), key=str)
+    kept = {r["capture"]: r for r in captures.collect()}
+    payload = {c: r["response"]["payload"] for c, r in kept.items()}
+    payload |= {c: payload[r["response"]["refers_to"]] for c, r in kept.items() if r["response"]["record_type"] == "revisit"}
+    assert sorted(bytes(p).decode() for p in payload.values()) == sorted(r[2] or "" for r in rows)
+
+
 def test_archive_errors(spark):
     with pytest.raises(ValueError):
         list(parse_records(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\nshort"))
