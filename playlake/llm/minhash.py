@@ -10,10 +10,11 @@ more; the result names each document's component.
 3. In each bucket, each node is a candidate with the bucket's least and its greatest node: as many pairs as rows, never
    the square.  Candidates pass when their signatures agree well enough and then their full sets prove the link.
 4. Alternating large-star and small-star gives components.  A bucket whose nodes are all in one component has nothing more
-   to tell.  The nodes of the others go through a prefix filter: each set is ordered from its rarest shingle on, and two
-   sets as similar as asked share one of their first quarter.  Nodes that share such a shingle across components, and have
-   enough shingles after it, are candidates, found in blocks of bounded size that are dealt out over tasks.  So no link
-   between nodes of one bucket is lost, also in large buckets whose members differ from their least and greatest.
+   to tell.  The nodes of the others are dealt into blocks of bounded size, and each two blocks of a bucket meet in one row of
+   a task.  First only signatures meet, which tells the nodes that have a partner in another component; then the full
+   sets of those.  There the pairs are walked within the row, a union-find starts from the components known so far, and only
+   a link that joins two of them leaves the task: fewer rows than the blocks have nodes, however many pairs are alike.  A pair
+   is looked at in the first bucket that it shares, so each pair of a bucket is decided once, exactly, and none is left out.
 
 Defined results: a null text and a text without words have the empty set, no links, and stay; a text of fewer than five
 words has its whole sequence as one shingle; rows that repeat a doc_id belong to its component and stay together; null
@@ -35,9 +36,11 @@ from playlake.llm.worker import bound_batches, held
 
 SHINGLE_WORDS, SIMILARITY = 5, 75
 HASHES, BAND_ROWS = 128, 4
+BANDS = HASHES // BAND_ROWS
 #: Six standard deviations of the estimate below the similarity.
 SIGNATURE_FLOOR = SIMILARITY / 100 - 6 * (0.75 * 0.25 / HASHES) ** 0.5
-BLOCK_NODES = 256
+#: Signatures and sets of one block of a bucket.
+BLOCK_BYTES = 1 << 20
 BROADCAST_IDS = 500_000
 _WORD_CACHE = 200_000
 
@@ -95,24 +98,30 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "mark", "signature"])
 
 
+def _band_keys(signs: np.ndarray) -> np.ndarray:
+    """The bucket of each band of signatures, as rows of longs."""
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(signs), BANDS)).copy()
+    for j in range(BAND_ROWS):
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + signs.reshape(-1, BANDS, BAND_ROWS)[:, :, j].astype(np.uint64))
+    return keys.astype(np.int64)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bands = HASHES // BAND_ROWS
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, bands, BAND_ROWS).astype(np.uint64)
-        keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
-        for j in range(BAND_ROWS):
-            keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, j])
-        nodes = np.repeat(batch.column("node").to_numpy(), bands)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(nodes)], ["key", "node"])
+        keys = _band_keys(_signatures(batch.column("signature")))
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], [*batch.schema.names, "keys"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("left", "right"))
+        left, right = (_signatures(batch.column(c)) for c in ("left", "right"))
         keep = (left == right).mean(axis=1) >= SIGNATURE_FLOOR
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], ["u", "v"])
 
@@ -135,17 +144,74 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that can still be similar enough, given where the shared shingle stands in their orders."""
+class _Meeting:
+    """The nodes of one or two blocks of a bucket: arrays of node, component, number of shingles, side, and signatures."""
+
+    def __init__(self, band: int, nodes: pa.StructArray, sides: np.ndarray):
+        self.band, self.nodes, self.sides = band, nodes.field("node").to_numpy(), sides
+        self.label, self.size = nodes.field("label").to_numpy().copy(), nodes.field("size").to_numpy()
+        self.signs = _signatures(nodes.field("signature"))
+        #: Two sides: pairs within a side meet elsewhere.
+        self.two = len(set(sides.tolist())) == 2
+
+    def partners(self, at: int) -> np.ndarray:
+        """Later nodes of other components that may be similar to one, and share no earlier bucket with it."""
+        rest = slice(at + 1, None)
+        low, high = np.minimum(self.size[rest], self.size[at]), np.maximum(self.size[rest], self.size[at])
+        may = (self.label[rest] != self.label[at]) & (100 * low >= SIMILARITY * high)
+        if self.two:
+            may &= self.sides[rest] != self.sides[at]
+        found = np.flatnonzero(may) + at + 1
+        same = self.signs[found] == self.signs[at]
+        first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == self.band
+        return found[first & (same.mean(axis=1) >= SIGNATURE_FLOOR)]
+
+    def needed(self) -> np.ndarray:
+        """Whether each node has a partner."""
+        out = np.zeros(len(self.nodes), bool)
+        for at in range(len(self.nodes)):
+            found = self.partners(at)
+            out[found] = True
+            out[at] |= len(found) > 0
+        return out
+
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links that join two components, which are one from then on."""
+        for at in range(len(self.nodes)):
+            found = self.partners(at)
+            if not len(found):
+                continue
+            own, ends = sets[at], np.cumsum(self.size[found])
+            others = np.concatenate([sets[k] for k in found])
+            place = np.minimum(np.searchsorted(own, others), len(own) - 1)
+            both = np.diff(np.concatenate([[0], np.cumsum(own[place] == others)[ends - 1]]))
+            for k in found[100 * both >= SIMILARITY * (len(own) + self.size[found] - both)]:
+                if self.label[k] != self.label[at]:
+                    self.label[self.label == self.label[k]] = self.label[at]
+                    yield int(self.nodes[at]), int(self.nodes[k])
+
+
+def _needing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each two blocks whose sets have to be compared."""
     for batch in batches:
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            a, b = ({f: side.values.field(f).to_numpy() for f in ("node", "label", "size", "rest")} for side in (left, right))
-            for at in range(len(a["node"])):
-                # If this is the first shingle that both have, they share no more than follow it in the shorter rest.
-                needed = -(-SIMILARITY * (a["size"][at] + b["size"]) // (100 + SIMILARITY))
-                near = (b["label"] != a["label"][at]) & (np.minimum(b["rest"], a["rest"][at]) >= needed)
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a["node"][at], near.sum())), pa.array(b["node"][near])], ["u", "v"])
+        for row in range(batch.num_rows):
+            key, band, i, j = (batch.column(c)[row].as_py() for c in ("key", "band", "i", "j"))
+            parts = [batch.column(c)[row].values for c in ("left", "right") if batch.column(c)[row].is_valid]
+            sides = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            meeting = _Meeting(band, pa.concat_arrays(parts), sides)
+            need = np.flatnonzero(meeting.needed())
+            same = [pa.array(np.full(len(need), x, kind)) for x, kind in ((key, np.int64), (band, np.int32), (i, np.int32), (j, np.int32))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(sides[need].astype(np.int32)), pa.array(meeting.nodes[need]), pa.array(meeting.label[need])], ["key", "band", "i", "j", "side", "node", "label"])
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = []
+        for row in range(batch.num_rows):
+            nodes = batch.column("nodes")[row].values
+            meeting = _Meeting(batch.column("band")[row].as_py(), nodes, nodes.field("side").to_numpy())
+            links += meeting.links([s.values.to_numpy().view(np.uint64) for s in nodes.field("shingles")])
+        yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["u", "v"])
 
 
 class _Graph:
@@ -153,50 +219,44 @@ class _Graph:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
-        self.bands = nodes.select("node", "signature").mapInArrow(_banded, "key long, node long")
-
-    def prove(self, pairs: DataFrame) -> DataFrame:
-        """Those of the candidate pairs (u, v) whose signatures agree and whose full sets are similar enough."""
-        left, right = (self.nodes.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-        pairs = materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_agreeing, "u long, v long"), "agreeing")
-        sets = self.sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-        left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_proved, "u long, v long"), "links")
+        self.bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+        self.sets: DataFrame
 
-    def sets(self, needed: DataFrame) -> DataFrame:
-        """(node, shingles) of some nodes, from the texts of their least documents."""
+    def learn_sets(self, needed: DataFrame) -> None:
+        """Find (node, shingles) of those nodes that share a bucket, from the texts of their least documents."""
         wanted = materialize(self.nodes.join(needed, "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep")), "wanted")
         ids = wanted.select("rep").distinct()
         if wanted.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
         found = texts.mapInArrow(_with_sets, "mark binary, shingles array<bigint>").dropDuplicates(["mark"])
-        return materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
+        self.sets = materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
+
+    def prove(self, pairs: DataFrame) -> DataFrame:
+        """Those of the candidate pairs (u, v) whose signatures agree and whose full sets are similar enough."""
+        left, right = (self.nodes.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "left"), ("v", "right")))
+        pairs = materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_agreeing, "u long, v long"), "agreeing")
+        left, right = (self.sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "left"), ("v", "right")))
+        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_proved, "u long, v long"), "links")
 
-    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Candidate pairs between different components in the same bucket, or None if there is no such bucket."""
-        placed = materialize(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links that join different components within a bucket, few more than it takes; none is missing."""
+        placed = materialize(members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")), "placed")
         mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        nodes = materialize(placed.join(mixed, "key", "left_semi").select("node", "label").distinct(), "open")
-        if nodes.isEmpty():
-            return None
-        sets = self.sets(nodes.select("node"))
-        held = sets.join(nodes, "node").select("node", "label", F.explode("shingles").alias("key"))
-        counts = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")), "counts")
-        ordered = held.join(counts, "key").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("n", "key", "lo", "hi"))).alias("all"))
-        # Similar sets share one of the first n - ceil(0.75 n) + 1 in any common order of shingles.
-        first = F.slice("all", 1, F.size("all") - F.ceil(F.size("all") * SIMILARITY / 100).cast("int") + 1)
-        size = F.size("all").cast("long")
-        rare = ordered.select("node", "label", size.alias("size"), F.posexplode(first).alias("pos", "x")).filter("x.lo <> x.hi")
-        rare = materialize(rare.select("node", "label", "size", (F.col("size") - F.col("pos")).alias("rest"), "x.key"), "rare")
-        sizes = rare.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
-        rows = rare.join(materialize(sizes, "sizes"), "key")
-        block = rows.groupBy("key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("node", "label", "size", "rest")).alias("nodes"))
-        block = materialize(block, "block")
-        left = block.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("nodes").alias("left"))
-        right = block.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("nodes").alias("right"))
-        pairs = left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_across, "u long, v long")
-        return materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "across")
+        signs = self.nodes.select("node", "signature", F.col("n_shingles").alias("size"))
+        nodes = materialize(placed.join(mixed, "key", "left_semi").join(signs, "node"), "open")
+        weight = nodes.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + 4 * HASHES) / BLOCK_BYTES).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        blocks = nodes.join(weight, "key").groupBy("key", "band", "blocks", block).agg(F.collect_list(F.struct("node", "label", "size", "signature")).alias("nodes"))
+        blocks = materialize(blocks, "blocks")
+        alone = blocks.select("key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.col("nodes").alias("left"), F.lit(None).cast(blocks.schema["nodes"].dataType).alias("right"))
+        several = blocks.filter("blocks > 1")
+        left = several.filter("block < blocks - 1").select("key", "band", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("nodes").alias("left"))
+        right = several.filter("block > 0").select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("nodes").alias("right"))
+        meetings = alone.unionByName(left.join(right, ["key", "i", "j"]))
+        needed = materialize(meetings.mapInArrow(_needing, "key long, band int, i int, j int, side int, node long, label long"), "needed")
+        rows = needed.join(signs, "node").join(self.sets, "node").groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("node", "label", "size", "signature", "side", "shingles")).alias("nodes"))
+        return materialize(rows.select("band", "nodes").mapInArrow(_linking, "u long, v long").distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -204,21 +264,23 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, signature binary"), "signed")
-    nodes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(nodes.mapInArrow(_banded, f"{nodes.schema.simpleString()[7:-1]},keys:array<bigint>"), "nodes")
     graph = _Graph(texts, nodes)
 
     buckets = graph.bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(buckets, "buckets")
     large = buckets.filter("n > 2").select("key", "lo", "hi")
-    members = materialize(graph.bands.join(large, "key").select("key", "node", "lo", "hi"), "members")
+    members = materialize(graph.bands.join(large, "key").select("key", "band", "node", "lo", "hi"), "members")
     star = members.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(members.select("node", "hi")).union(buckets.filter("n = 2").select("lo", "hi"))
-    links = graph.prove(star.filter("u <> v").distinct())
+    star = materialize(star.filter("u <> v").distinct(), "star")
+    graph.learn_sets(star.select(F.col("u").alias("node")).union(star.select("v")).distinct())
+    links = graph.prove(star)
     labels = connected_components(links)
-    more = graph.across(members.select("key", "node"), labels)
-    if more is not None and not more.isEmpty():
-        links = links.unionByName(graph.prove(more))
-        labels = connected_components(links)
+    more = graph.across(members.select("key", "band", "node"), labels)
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
 
     placed = materialize(nodes.join(labels, "node", "left").select("mark", "doc_id", F.coalesce("label", "node").alias("label")), "placed")
     least = materialize(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playlake.llm import huffman, queries
+from playlake.llm import huffman, minhash, queries
 from playlake.llm.components import connected_components
 from playlake.llm.decontaminate import benchmark_hits, hits_digest, longest_matches, without_benchmark
 from playlake.llm.dedup_exact import exact_duplicates
@@ -126,6 +126,52 @@ def test_near_copies(spark):
     assert collected(near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=str)
 
 
+@pytest.mark.parametrize("block_bytes", [20_000, 1 << 20])
+def test_near_copies_in_blocks(spark, monkeypatch, block_bytes):
+    """Crowds whose members are similar to some of the others only, over many small blocks of a bucket and over one."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block_bytes)
+    texts = [(1000 * c + k, edited(1000 * c + k, prose(60 + c, 90).split(), 1 + k % 5)) for c in range(3) for k in range(70)]
+    assert collected(near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=str)
+
+
+def test_rows_of_a_crowd_grow_with_it(spark, monkeypatch):
+    """What leaves the tasks that compare a crowd is in proportion to its nodes, and components stay those of all pairs."""
+    made, keep = Counter(), minhash.materialize
+
+    def counting(df, name):
+        out = keep(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counting)
+    counts = []
+    for n in (100, 200, 400):
+        made.clear()
+        texts = [(k, edited(k, prose(70, 90).split(), 3 + k % 3)) for k in range(n)]
+        assert collected(near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=str)
+        assert made["across"] < n and made["needed"] <= made["open"]
+        counts.append(sum(made[k] for k in ("star", "agreeing", "links", "open", "needed", "across")))
+    assert counts[2] < 6 * counts[0]
+
+
+def test_meeting_of_two_blocks():
+    """Links found within a row: those that join components, between the sides only where there are two."""
+    sets = [minhash.shingles(edited(k, prose(80, 60).split(), 1 + k % 4)) for k in range(40)]
+    signs = np.array([minhash.signature(s) for s in sets])
+    nodes = pa.array([{"node": k, "label": k % 30, "size": len(s), "signature": g.tobytes()} for k, (s, g) in enumerate(zip(sets, signs, strict=True))], pa.struct([("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("signature", pa.binary())]))
+    for sides in (np.zeros(40, int), np.arange(40) % 2):
+        label = {k: k % 30 for k in range(40)}
+        for band in range(minhash.BANDS):
+            for u, v in minhash._Meeting(band, nodes, sides).links(sets):
+                gone, into = label[u], label[v]
+                label = {k: into if x == gone else x for k, x in label.items()}
+        for a in range(40):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                meet = (signs[a].reshape(-1, 4) == signs[b].reshape(-1, 4)).all(axis=1).any() and (sides.max() == 0 or sides[a] != sides[b])
+                assert label[a] == label[b] or not meet or 100 * both < 75 * (len(sets[a]) + len(sets[b]) - both)
+
+
 def test_near_copies_keep_one(docs):
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
