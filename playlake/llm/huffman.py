@@ -16,7 +16,7 @@ Counts are summed over all documents.  The documents are range-partitioned by id
 the global order; the number of ids before it follows from the partitions' totals.
 
 Defined results: a null text is the empty text, which has only the end id; null doc_ids come first in the order; rows
-that repeat a doc_id are written each, ordered by their ids; columns beside id and text aren't read; an empty table gives
+that repeat a doc_id are written each, ordered by their numbers of ids, then their ids; columns beside id and text aren't read; an empty table gives
 an empty file.
 """
 
@@ -150,13 +150,17 @@ class WordEncoder:
     Such a tokenizer treats what stands between spaces independently, and folds A-Z itself, so a text's ids are those of its words.
     """
 
-    LIMIT = 300_000
+    #: Words of each of the two generations that are remembered.
+    LIMIT = 200_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of the words met lately, and of those before; what is met again moves up, what isn't goes with its generation.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.packed([] if end_id is None else [end_id])
         #: Which ids end a word, if the tokenizer has such a mark.
@@ -164,20 +168,24 @@ class WordEncoder:
         if suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.special = any(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Tokens that the tokenizer looks for before it changes a text; none has white space.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in self.added):
+            raise ValueError("an added token of this tokenizer isn't one word")
+        self.folded = [t.lower() for t in self.added]
 
     def words(self, text: str) -> list[bytes]:
         raw = text.encode()
-        return (raw if self.special and b"<|" in raw else raw.lower()).split()
+        low = raw.lower()
+        return (raw if any(t in low for t in self.folded) else low).split()
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
-    @staticmethod
-    def core(word: bytes) -> bytes:
+    def core(self, word: bytes) -> bytes:
         """A word without the marks that follow its last letter or digit, which the tokenizer treats by themselves."""
         core = word.rstrip(PUNCTUATION)
-        return core if core[-1:].isalnum() and b"<|" not in word else word
+        return core if core[-1:].isalnum() and not any(t in word for t in self.added) else word
 
     @staticmethod
     def is_plain(word: bytes) -> bool:
@@ -186,35 +194,42 @@ class WordEncoder:
         return text.isalpha() and (word.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
 
     def learn(self, words: set[bytes]) -> None:
-        """Fill in words that aren't known, many in one call; if they don't fit, what was known before goes."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known.clear()
-            new = words
-        cores = {self.core(w) for w in new}.difference(self.known)
-        plain = [w for w in cores if self.ends is not None and self.is_plain(w)]
+        """Let :attr:`known` have all of ``words``; those that were never met are encoded many in one call."""
+        rest = words - self.known.keys()
+        if len(self.known) + len(rest) > self.LIMIT:
+            self.older, self.known, rest = self.known, {}, words
+        met = rest & self.older.keys()
+        self.known.update((w, self.older[w]) for w in met)
+        new = rest - met
+        split = {w: c for w in new if (c := self.core(w)) != w}
+        found = {c: ids for c in split.values() if (ids := self.known.get(c) or self.older.get(c))}
+        missing = (new - split.keys()) | (set(split.values()) - found.keys())
+        plain = [w for w in missing if self.ends is not None and self.is_plain(w)]
         for at in range(0, len(plain), 4096):
-            self._learn_plain(plain[at : at + 4096])
-        cores = [w for w in cores if w not in self.known]
-        for at in range(0, len(cores), 4096):
-            part = cores[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = self.packed(found.ids)
+            found.update(self._plain(plain[at : at + 4096]))
+        missing = list(missing - found.keys())
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            found.update((w, self.packed(x.ids)) for w, x in zip(part, encoded, strict=True))
+        tails: dict[bytes, bytes] = {}
         for word in new:
-            if word not in self.known:
-                core = self.core(word)
-                tail = word[len(core) :]
-                if tail not in self.known:
-                    self.known[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
-                self.known[word] = self.known[core] + self.known[tail]
-
-    def _learn_plain(self, words: list[bytes]) -> None:
-        """Words of small letters: encoded as one text, which falls into words again where an id ends one."""
+            core = split.get(word)
+            if core is None:
+                self.known[word] = found[word]
+                continue
+            tail = word[len(core) :]
+            if tail not in tails:
+                tails[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+            self.known[word] = found[core] + tails[tail]
+
+    def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of small letters with their ids: encoded as one text, which falls into words again where an id ends one; none if it doesn't."""
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.kind)
         cuts = [0, *(self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(cuts) == len(words) + 1:
             raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+            yield from ((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as numbers of :attr:`kind`."""
@@ -224,14 +239,23 @@ class WordEncoder:
         return [b"".join(map(get, ws)) + self.end for ws in words]
 
 
-def _encoding(path: str, end_id: int | None):
+def _encoding(path: str, end_id: int | None, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held((path, end_id), lambda: WordEncoder(path, end_id))
+        names, total = ["doc_id", "n_tokens", "ids", *["counts"] * counted], np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = encoder.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = [part.column("doc_id"), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if counted:
+                    met = np.bincount(np.frombuffer(b"".join(ids), encoder.kind))
+                    total = np.concatenate([total, np.zeros(max(0, len(met) - len(total)), np.int64)])
+                    total[: len(met)] += met
+                    columns.append(pa.nulls(part.num_rows, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if counted and total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     return run
 
@@ -240,25 +264,40 @@ def _unpacked(n: int, ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32)
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(arrays: Iterator[np.ndarray]) -> pa.RecordBatch:
+    """Rows (id, n) of the sum of counts by id."""
     total = np.zeros(0, np.int64)
-    for batch in batches:
-        for n, ids in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True):
-            found = np.bincount(_unpacked(n, ids.as_py()))
-            if len(found) > len(total):
-                found[: len(total)] += total
-                total = found
-            else:
-                total[: len(found)] += found
+    for found in arrays:
+        if len(found) > len(total):
+            total, found = found.copy(), total
+        total[: len(found)] += found
     seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _summed(np.bincount(_unpacked(n, ids.as_py())) for batch in batches for n, ids in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True))
+
+
+def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _summed(np.frombuffer(counts.as_py(), np.int64) for batch in batches for counts in batch.column("counts"))
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (16 or 32 bits each)."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_encoding(tokenizer_path, end_id), "doc_id long, n_tokens long, ids binary")
+    return texts.mapInArrow(_encoding(tokenizer_path, end_id, False), "doc_id long, n_tokens long, ids binary")
+
+
+def counted_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`token_ids`, written, and (id, n): how often each id is among them, from the same pass."""
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # A task's counts are the last row of its output, in a column of their own; reading them doesn't touch the ids.
+    both = materialize(texts.mapInArrow(_encoding(tokenizer_path, end_id, True), "doc_id long, n_tokens long, ids binary, counts binary"), "tokens")
+    counts = both.filter("counts is not null").select("counts").mapInArrow(_adding, "id long, n long")
+    return both.filter("n_tokens is not null").drop("counts"), counts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -289,17 +328,19 @@ def _packing(lengths: dict[int, int], segment_tokens: int):
     return run
 
 
-def write_ids(ids: DataFrame, path: str, segment_tokens: int = SEGMENT_TOKENS) -> None:
+def write_ids(ids: DataFrame, path: str, segment_tokens: int = SEGMENT_TOKENS, counts: DataFrame | None = None) -> None:
     """Write (doc_id, n_tokens, ids) as files below ``path``: ``segments`` and ``book``.
 
-    ``ids`` is read more than once; give a written table.
+    ``counts`` has (id, n) of all ids, if known.  ``ids`` is read more than once; give a written table.
     """
     spark = ids.sparkSession
-    # One row per id of the vocabulary: bounded by it, whatever the corpus.
-    counts = {r["id"]: r["n"] for r in ids.select("n_tokens", "ids").mapInArrow(_counting, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    if counts is None:
+        counts = ids.select("n_tokens", "ids").mapInArrow(_counting, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = {r["id"]: r["n"] for r in counts.collect()}  # one row per id of the vocabulary: bounded by it, whatever the corpus
     lengths = code_lengths(counts)
     spark.createDataFrame(list(lengths.items()), "id long, n_bits int").coalesce(1).write.parquet(f"{path}/book")
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    # Rows that share an id, or have none, are dealt out by their lengths too.
+    ordered = ids.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
     ordered.mapInArrow(_packing(lengths, segment_tokens), _SEGMENT).write.parquet(f"{path}/segments")
 
 
@@ -340,5 +381,6 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None, text_co
     """Encode, write, read back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = new_path(spark, "ids")
-    write_ids(materialize(token_ids(docs, tokenizer_path, end_id, text_col, id_col), "tokens"), path)
+    ids, counts = counted_ids(docs, tokenizer_path, end_id, text_col, id_col)
+    write_ids(ids, path, counts=counts)
     return read_ids(spark, path, with_ids=False)
