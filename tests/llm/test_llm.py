@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playlake.llm import huffman, minhash, queries
+from playlake.llm import huffman, minhash, quality as quality_module, queries, toxicity as toxicity_module
 from playlake.llm.components import connected_components
 from playlake.llm.decontaminate import benchmark_hits, hits_digest, longest_matches, without_benchmark
 from playlake.llm.dedup_exact import exact_duplicates
@@ -338,6 +338,87 @@ def test_redaction(docs):
     assert found[20] == "mail me at <email>. or call <phone>" and found[21] == "host 10.0.0.300 and <ip>, card <card>"
 
 
+# --- classifiers ----------------------------------------------------------------------------------------------------
+
+
+def labelled_texts(n=60):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(WORDS[:300], rng.integers(0, 60))) + (" awful hatred you" if k % 3 == 0 else " Fine, day!") for k in range(n)]
+    return texts, np.array([float(k % 3 == 0) for k in range(n)])
+
+
+ODD = ["", "one", "two words", "hatred " * 9000, "É à ça 東京 x" * 3, "w1 w2 w3 " * 700]
+
+
+def naive_toxicity(model, text):
+    """Filter by filter and place by place, as the definition has it."""
+    pad = [np.zeros(toxicity_module.DIM)] * (max(toxicity_module.WIDTHS) - 1)
+    words = [sum((model.embedding[f].astype(float) for f in toxicity_module.features(w) if model.active[f]), np.zeros(toxicity_module.DIM)) for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())]
+    vectors, total, k = [*pad, *words, *pad], float(model.base), 0
+    for f in model.filters:
+        for q in range(toxicity_module.FILTERS):
+            best = max(sum(float(vectors[at + j] @ f[j, :, q]) for j in range(len(f))) for at in range(len(vectors) - len(f) + 1))
+            total += max(best + float(model.bias[k]), 0) * float(model.out[k])
+            k += 1
+    return 1 / (1 + np.exp(-total))
+
+
+def test_toxicity_scores_are_those_of_the_definition():
+    texts, y = labelled_texts()
+    model = toxicity_module.Model()
+    model.fit(texts, y)
+    texts = [*texts, *ODD]
+    want = np.array([naive_toxicity(model, t) for t in texts])
+    together = model.scores(texts, toxicity_module._Rows(model))
+    alone = np.concatenate([model.scores([t], toxicity_module._Rows(model, limit=3)) for t in reversed(texts)])[::-1]
+    assert np.abs(together - want).max() < 1e-5 and np.array_equal(together, alone)
+
+
+def test_toxicity_is_learnt_by_training(monkeypatch):
+    """Without training, held-out texts are ranked by chance; with it, nearly right, whatever the seed."""
+    texts, y = labelled_texts(400)
+    def rank(seed, epochs):
+        monkeypatch.setattr(toxicity_module, "SEED", seed)
+        monkeypatch.setattr(toxicity_module, "EPOCHS", epochs)
+        model = toxicity_module.Model()
+        model.fit(texts[:300], y[:300])
+        scores = model.scores([t.replace("awful", "x") for t in texts[300:]], toxicity_module._Rows(model))
+        return (scores[y[300:] > 0][:, None] > scores[y[300:] == 0]).mean()
+    assert min(rank(seed, 5) for seed in (1, 2, 3)) > 0.95
+    assert 0.25 < np.mean([rank(seed, 0) for seed in range(8)]) < 0.75
+
+
+def naive_quality(model, text):
+    """N-gram by n-gram, averaged, with a softmax."""
+    full, buckets = 1 << 64, []
+    words = text.encode().split()
+    for w in words:
+        buckets.append(quality_module.word_hash(w) % (quality_module.BUCKETS - 1) + 1)
+        marked = b"<" + w + b">"
+        for n in quality_module.N_GRAMS:
+            for at in range(len(marked) - n + 1):
+                h = n
+                for c in marked[at : at + n]:
+                    h = (h ^ c) * 0x100000001B3 % full
+                h = (h ^ (h >> 29)) * 0x9E3779B97F4A7C15 % full
+                buckets.append((h >> 20) % (quality_module.BUCKETS - 1) + 1)
+    for a, b in zip(words, words[1:], strict=False):
+        h = (quality_module.word_hash(a) * 3 + quality_module.word_hash(b)) * 0x9E3779B97F4A7C15 % full
+        buckets.append(0 if a == b else (h >> 20) % (quality_module.BUCKETS - 1) + 1)
+    mean = np.mean([model.vectors[k].astype(float) for k in buckets], axis=0) if buckets else np.zeros(quality_module.DIM)
+    z = mean @ model.out.astype(float) + model.bias.astype(float)
+    return float(np.exp(z[1]) / np.exp(z).sum())
+
+
+def test_quality_scores_are_those_of_the_definition():
+    texts, y = labelled_texts()
+    model = quality_module.Model()
+    model.fit(texts, y)
+    texts = [*texts, *ODD]
+    want = np.array([naive_quality(model, t) for t in texts])
+    assert np.abs(quality_module.Scorer(model).scores(texts) - want).max() < 1e-5
+
+
 # --- token ids ------------------------------------------------------------------------------------------------------
 
 
