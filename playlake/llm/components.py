@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from playlake.llm.scratch import materialize
+from playlake.llm.scratch import Scope, materialize
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -31,9 +31,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of longs, in either direction, repeated or not → (node, label): the least node reachable.
 
-    Nodes without a smaller one reachable aren't in the result.  No edges give no rows.
+    Nodes without a smaller one reachable aren't in the result; edges with a null end link nothing.  No edges give no rows.
     """
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    while not _stars(edges):
-        edges = _star(_star(edges, large=True), large=False)
+    with Scope(edges.sparkSession) as scope:
+        edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+        while not _stars(edges):
+            edges = _star(_star(edges, large=True), large=False)
+        scope.keep(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

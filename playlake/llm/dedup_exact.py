@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from playlake.llm.scratch import materialize
+from playlake.llm.scratch import Scope, materialize
 
 BLOCK_CHARS = 2048
 
@@ -102,8 +102,9 @@ def _with_places(at: DataFrame, slim: DataFrame, texts: DataFrame, shared: DataF
 
 def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    named = materialize(block_names(docs, text_col, id_col, block_chars), "named")
-    groups = materialize(named.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    with Scope(docs.sparkSession) as scope:
+        named = scope.keep(materialize(block_names(docs, text_col, id_col, block_chars), "named"))
+        groups = scope.keep(materialize(named.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups"))
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

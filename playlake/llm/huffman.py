@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from playlake.llm.scratch import materialize, new_path
+from playlake.llm.scratch import Scope, materialize, new_path
 from playlake.llm.worker import bound_batches, held
 
 MAX_BITS, BLOCK, SEGMENT_TOKENS = 18, 256, 1 << 18
@@ -381,6 +381,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None, text_co
     """Encode, write, read back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = new_path(spark, "ids")
-    ids, counts = counted_ids(docs, tokenizer_path, end_id, text_col, id_col)
-    write_ids(ids, path, counts=counts)
+    with Scope(spark):
+        ids, counts = counted_ids(docs, tokenizer_path, end_id, text_col, id_col)
+        write_ids(ids, path, counts=counts)
     return read_ids(spark, path, with_ids=False)

@@ -7,14 +7,12 @@ more; the result names each document's component.
    set are one node of the graph, so copies cost nothing from here on.
 2. 32 bands of 4 minima are the bucket keys.  Similarity 0.75 shares a bucket with a chance of 1 - (1 - 0.75^4)^32 =
    0.999995, more similarity with a greater one.
-3. In each bucket, each node is a candidate with the bucket's least and its greatest node: as many pairs as rows, never
-   the square.  Candidates pass when their signatures agree well enough and then their full sets prove the link.
-4. Alternating large-star and small-star gives components.  A bucket whose nodes are all in one component has nothing more
-   to tell.  The nodes of the others are dealt into blocks of bounded size, and each two blocks of a bucket meet in one row of
-   a task.  First only signatures meet, which tells the nodes that have a partner in another component; then the full
-   sets of those.  There the pairs are walked within the row, a union-find starts from the components known so far, and only
-   a link that joins two of them leaves the task: fewer rows than the blocks have nodes, however many pairs are alike.  A pair
-   is looked at in the first bucket that it shares, so each pair of a bucket is decided once, exactly, and none is left out.
+3. Each bucket of several nodes is dealt into blocks of bounded size, and each two blocks meet in one row of a task.  First only
+   signatures meet, which tells the nodes that have a partner: sizes and signatures agree well enough.  Then the full sets of
+   those prove the links.  The pairs are walked within the row, a union-find over its nodes skips what is linked already, and
+   only a link that joins two components leaves the task: fewer rows than the blocks have nodes, however many pairs are
+   alike.  A pair is looked at in the first bucket that it shares, so each is decided once, exactly, and none is left out.
+4. Alternating large-star and small-star makes components of the links.
 
 Defined results: a null text and a text without words have the empty set, no links, and stay; a text of fewer than five
 words has its whole sequence as one shingle; rows that repeat a doc_id belong to its component and stay together; null
@@ -31,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from playlake.llm.components import connected_components
-from playlake.llm.scratch import materialize
+from playlake.llm.scratch import Scope, materialize
 from playlake.llm.worker import bound_batches, held
 
 SHINGLE_WORDS, SIMILARITY = 5, 75
@@ -117,26 +115,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], [*batch.schema.names, "keys"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (_signatures(batch.column(c)) for c in ("left", "right"))
-        keep = (left == right).mean(axis=1) >= SIGNATURE_FLOOR
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], ["u", "v"])
-
-
-def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            a, b = left.values.to_numpy(), right.values.to_numpy()
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= SIMILARITY * (len(a) + len(b) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
-
-
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(text.as_py()) for text in batch.column("text")]
@@ -149,13 +127,13 @@ class _Meeting:
 
     def __init__(self, band: int, nodes: pa.StructArray, sides: np.ndarray):
         self.band, self.nodes, self.sides = band, nodes.field("node").to_numpy(), sides
-        self.label, self.size = nodes.field("label").to_numpy().copy(), nodes.field("size").to_numpy()
+        self.label, self.size = np.arange(len(nodes)), nodes.field("size").to_numpy()
         self.signs = _signatures(nodes.field("signature"))
         #: Two sides: pairs within a side meet elsewhere.
         self.two = len(set(sides.tolist())) == 2
 
     def partners(self, at: int) -> np.ndarray:
-        """Later nodes of other components that may be similar to one, and share no earlier bucket with it."""
+        """Later nodes of other components that may be similar to one, and share no earlier bucket with it; the likeliest first."""
         rest = slice(at + 1, None)
         low, high = np.minimum(self.size[rest], self.size[at]), np.maximum(self.size[rest], self.size[at])
         may = (self.label[rest] != self.label[at]) & (100 * low >= SIMILARITY * high)
@@ -164,7 +142,9 @@ class _Meeting:
         found = np.flatnonzero(may) + at + 1
         same = self.signs[found] == self.signs[at]
         first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == self.band
-        return found[first & (same.mean(axis=1) >= SIGNATURE_FLOOR)]
+        share = same.mean(axis=1)
+        fine = first & (share >= SIGNATURE_FLOOR)
+        return found[fine][np.argsort(-share[fine], kind="stable")]
 
     def needed(self) -> np.ndarray:
         """Whether each node has a partner."""
@@ -176,32 +156,46 @@ class _Meeting:
         return out
 
     def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """Links that join two components, which are one from then on."""
+        """Links that join two components, which are one from then on.
+
+        Of the partners in one component the likeliest are compared first, and the others only as long as none is linked.
+        """
         for at in range(len(self.nodes)):
-            found = self.partners(at)
-            if not len(found):
-                continue
-            own, ends = sets[at], np.cumsum(self.size[found])
-            others = np.concatenate([sets[k] for k in found])
-            place = np.minimum(np.searchsorted(own, others), len(own) - 1)
-            both = np.diff(np.concatenate([[0], np.cumsum(own[place] == others)[ends - 1]]))
-            for k in found[100 * both >= SIMILARITY * (len(own) + self.size[found] - both)]:
-                if self.label[k] != self.label[at]:
-                    self.label[self.label == self.label[k]] = self.label[at]
-                    yield int(self.nodes[at]), int(self.nodes[k])
+            found, width = self.partners(at), 1
+            while len(found):
+                order = np.argsort(self.label[found], kind="stable")
+                label = self.label[found][order]
+                turn = np.arange(len(order)) - np.searchsorted(label, label)
+                now = found[np.sort(order[turn < width])]
+                for k in now[self._similar(sets, at, now)]:
+                    if self.label[k] != self.label[at]:
+                        self.label[self.label == self.label[k]] = self.label[at]
+                        yield int(self.nodes[at]), int(self.nodes[k])
+                found = found[~np.isin(found, now) & (self.label[found] != self.label[at])]
+                width *= 4
+
+    def _similar(self, sets: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others' sets are similar enough to one."""
+        own, ends = sets[at], np.cumsum(self.size[others])
+        flat = np.concatenate([sets[k] for k in others])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.diff(np.concatenate([[0], np.cumsum(own[place] == flat)[ends - 1]]))
+        return 100 * both >= SIMILARITY * (len(own) + self.size[others] - both)
 
 
 def _needing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The nodes of each two blocks whose sets have to be compared."""
+    names = ("key", "band", "i", "j", "side", "node")
     for batch in batches:
+        out = []
         for row in range(batch.num_rows):
-            key, band, i, j = (batch.column(c)[row].as_py() for c in ("key", "band", "i", "j"))
             parts = [batch.column(c)[row].values for c in ("left", "right") if batch.column(c)[row].is_valid]
             sides = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            meeting = _Meeting(band, pa.concat_arrays(parts), sides)
+            meeting = _Meeting(batch.column("band")[row].as_py(), pa.concat_arrays(parts), sides)
             need = np.flatnonzero(meeting.needed())
-            same = [pa.array(np.full(len(need), x, kind)) for x, kind in ((key, np.int64), (band, np.int32), (i, np.int32), (j, np.int32))]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(sides[need].astype(np.int32)), pa.array(meeting.nodes[need]), pa.array(meeting.label[need])], ["key", "band", "i", "j", "side", "node", "label"])
+            out.append([*(np.full(len(need), batch.column(c)[row].as_py()) for c in names[:4]), sides[need], meeting.nodes[need]])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64 if c in ("key", "node") else np.int32)) for k, c in enumerate(names)], names)
 
 
 def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,84 +208,65 @@ def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["u", "v"])
 
 
-class _Graph:
-    """The nodes of one corpus and what is known of their links."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
-        self.bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-        self.sets: DataFrame
-
-    def learn_sets(self, needed: DataFrame) -> None:
-        """Find (node, shingles) of those nodes that share a bucket, from the texts of their least documents."""
-        wanted = materialize(self.nodes.join(needed, "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep")), "wanted")
-        ids = wanted.select("rep").distinct()
-        if wanted.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-        found = texts.mapInArrow(_with_sets, "mark binary, shingles array<bigint>").dropDuplicates(["mark"])
-        self.sets = materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
-
-    def prove(self, pairs: DataFrame) -> DataFrame:
-        """Those of the candidate pairs (u, v) whose signatures agree and whose full sets are similar enough."""
-        left, right = (self.nodes.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-        pairs = materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_agreeing, "u long, v long"), "agreeing")
-        left, right = (self.sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "left"), ("v", "right")))
-        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_proved, "u long, v long"), "links")
-
-    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links that join different components within a bucket, few more than it takes; none is missing."""
-        placed = materialize(members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        signs = self.nodes.select("node", "signature", F.col("n_shingles").alias("size"))
-        nodes = materialize(placed.join(mixed, "key", "left_semi").join(signs, "node"), "open")
-        weight = nodes.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + 4 * HASHES) / BLOCK_BYTES).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-        blocks = nodes.join(weight, "key").groupBy("key", "band", "blocks", block).agg(F.collect_list(F.struct("node", "label", "size", "signature")).alias("nodes"))
-        blocks = materialize(blocks, "blocks")
-        alone = blocks.select("key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.col("nodes").alias("left"), F.lit(None).cast(blocks.schema["nodes"].dataType).alias("right"))
-        several = blocks.filter("blocks > 1")
-        left = several.filter("block < blocks - 1").select("key", "band", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("nodes").alias("left"))
-        right = several.filter("block > 0").select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("nodes").alias("right"))
-        meetings = alone.unionByName(left.join(right, ["key", "i", "j"]))
-        needed = materialize(meetings.mapInArrow(_needing, "key long, band int, i int, j int, side int, node long, label long"), "needed")
-        rows = needed.join(signs, "node").join(self.sets, "node").groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("node", "label", "size", "signature", "side", "shingles")).alias("nodes"))
-        return materialize(rows.select("band", "nodes").mapInArrow(_linking, "u long, v long").distinct(), "across")
+def _with_shingles(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, size, signature, shingles) of those nodes that share a bucket, from the texts of their least documents."""
+    wanted = materialize(nodes.join(needed, "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "signature"), "wanted")
+    ids = wanted.select("rep").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
+    found = texts.mapInArrow(_with_sets, "mark binary, shingles array<bigint>").dropDuplicates(["mark"])
+    return materialize(found.join(wanted, "mark").select("node", "size", "signature", "shingles"), "sets")
+
+
+def bucket_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes that share a bucket: enough of them that all linked nodes of a bucket are connected."""
+    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
+    members = materialize(bands.join(shared, "key", "left_semi").select("key", "band", "node"), "members")
+    sets = _with_shingles(docs, nodes, members.select("node").distinct())
+    signs = sets.select("node", "size", "signature")
+    held = materialize(members.join(signs, "node"), "held")
+    weight = held.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + 4 * HASHES) / BLOCK_BYTES).cast("int").alias("blocks"))
+    large = materialize(weight.filter("blocks > 1"), "large")
+    dealt = held.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).repartition("key", "block")
+    blocks = dealt.groupBy("key", "block", "band", "blocks").agg(F.collect_list(F.struct("node", "size", "signature")).alias("nodes"))
+    blocks = materialize(blocks, "blocks")
+    nothing = F.lit(None).cast(blocks.schema["nodes"].dataType)
+    alone = blocks.select("key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.col("nodes").alias("left"), nothing.alias("right"))
+    several = blocks.filter("blocks > 1")
+    left = several.filter("block < blocks - 1").select("key", "band", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("nodes").alias("left"))
+    right = several.filter("block > 0").select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("nodes").alias("right"))
+    meetings = alone.unionByName(left.join(right, ["key", "i", "j"]))
+    needed = materialize(meetings.mapInArrow(_needing, "key long, band int, i int, j int, side int, node long"), "needed")
+    rows = needed.join(sets, "node").groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("node", "size", "signature", "side", "shingles")).alias("nodes"))
+    return materialize(rows.select("band", "nodes").mapInArrow(_linking, "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, signature binary"), "signed")
-    nodes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
-    nodes = materialize(nodes.mapInArrow(_banded, f"{nodes.schema.simpleString()[7:-1]},keys:array<bigint>"), "nodes")
-    graph = _Graph(texts, nodes)
-
-    buckets = graph.bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(buckets, "buckets")
-    large = buckets.filter("n > 2").select("key", "lo", "hi")
-    members = materialize(graph.bands.join(large, "key").select("key", "band", "node", "lo", "hi"), "members")
-    star = members.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(members.select("node", "hi")).union(buckets.filter("n = 2").select("lo", "hi"))
-    star = materialize(star.filter("u <> v").distinct(), "star")
-    graph.learn_sets(star.select(F.col("u").alias("node")).union(star.select("v")).distinct())
-    links = graph.prove(star)
-    labels = connected_components(links)
-    more = graph.across(members.select("key", "band", "node"), labels)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
-
-    placed = materialize(nodes.join(labels, "node", "left").select("mark", "doc_id", F.coalesce("label", "node").alias("label")), "placed")
-    least = materialize(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    named = materialize(placed.join(least, "label").select("mark", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "mark").join(named, "mark", "left")
+    with Scope(docs.sparkSession) as scope:
+        signed = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, signature binary"), "signed")
+        nodes = signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+        nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+        nodes = materialize(nodes.mapInArrow(_banded, f"{nodes.schema.simpleString()[7:-1]},keys:array<bigint>"), "nodes")
+        rows = materialize(signed.select("doc_id", "n_shingles", "mark"), "rows")
+        labels = connected_components(bucket_links(texts, nodes))
+        placed = materialize(nodes.join(labels, "node", "left").select("mark", "doc_id", F.coalesce("label", "node").alias("label")), "placed")
+        least = materialize(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+        named = scope.keep(materialize(placed.join(least, "label").select("mark", "component_id"), "named"))
+        scope.keep(rows)
+    out = rows.join(named, "mark", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id stays; of rows that repeat an id, all stay."""
-    kept = near_duplicates(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialize(kept, "kept")
+    with Scope(docs.sparkSession) as scope:
+        kept = near_duplicates(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+        kept = scope.keep(materialize(kept, "kept"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")

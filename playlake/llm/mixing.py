@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from playlake.llm.scratch import materialize
+from playlake.llm.scratch import Scope, materialize
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = 1.5
@@ -90,32 +90,42 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("b_source", (F.col("edge") + F.when(F.col("words") - F.col("budget") < F.col("budget"), 1).otherwise(0)).alias("threshold"))
 
 
-def _planned(docs: DataFrame, text_col: str, id_col: str, source_col: str, keep, weights, epochs: float, max_repeat: int) -> DataFrame:
-    """doc_id, the columns of ``keep`` as keep_<name>, size, source_size, target, copies."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    slim = materialize(slim, "sizes")
+def _copies(max_repeat: int):
+    """How often a document is taken, from its hash and its source's plan.  Only documents without words could be taken more often than allowed: those below the edge of an empty budget."""
+    return F.least(F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0), F.lit(max_repeat)).cast("long")
+
+
+def plan_sources(slim: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """slim (source, size, hash) → one row per source: t_source, source_size, target, whole (copies of all), threshold (hashes below it once more)."""
     targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, max_repeat), "targets")
     rest = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     budgets = targets.filter("source_size > 0").select(F.col("source").alias("b_source"), rest.alias("budget"))
-    edges = thresholds(slim.select("source", "size", "hash"), budgets)
+    edges = thresholds(slim, budgets)
     plan = targets.join(edges, F.col("source").eqNullSafe(F.col("b_source")), "left").select(
         F.col("source").alias("t_source"), "source_size", "target", "threshold",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"),
     )
-    plan = materialize(plan, "plan")
-    # Only documents without words could be taken more often than allowed: those below the edge of an empty budget.
-    copies = F.least(F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0), F.lit(max_repeat)).cast("long")
-    return slim.join(plan, slim["source"].eqNullSafe(F.col("t_source"))).select("doc_id", *[f"keep_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
+    return materialize(plan, "plan")
+
+
+def _slim(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size, hash of all documents, without their texts."""
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "sizes")
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), copies."""
-    planned = _planned(docs, text_col, id_col, source_col, (), weights, epochs, max_repeat)
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    with Scope(docs.sparkSession) as scope:
+        slim = scope.keep(_slim(docs, text_col, id_col, source_col))
+        plan = scope.keep(plan_sources(slim.select("source", "size", "hash"), weights, epochs, max_repeat))
+    rows = slim.join(plan, slim["source"].eqNullSafe(plan["t_source"])).withColumn("copies", _copies(max_repeat))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights=WEIGHTS, epochs: float = EPOCHS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, each document as often as it is taken."""
-    planned = _planned(docs, text_col, id_col, source_col, docs.columns, weights, epochs, max_repeat)
-    repeated = planned.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    """The mixed corpus: the columns of ``docs``, each document as often as it is taken.  Texts aren't written: each row meets its source's plan as it is read."""
+    with Scope(docs.sparkSession) as scope:
+        plan = scope.keep(plan_sources(_slim(docs, text_col, id_col, source_col).select("source", "size", "hash"), weights, epochs, max_repeat))
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), id_hash(F.col(id_col)).alias("hash"))
+    repeated = named.join(plan, named["source"].eqNullSafe(plan["t_source"])).select("row", F.explode(F.array_repeat(F.lit(0), _copies(max_repeat).cast("int"))))
+    return repeated.select("row.*")

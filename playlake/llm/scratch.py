@@ -2,6 +2,8 @@
 
 A written table cuts lineage, survives the loss of executors and, unlike a cached or checkpointed plan, is read
 with its own exchange, so that adaptive execution may split the hot keys of a join on it.
+
+An operator that writes several opens a :class:`Scope`: at its end all are deleted but those that the operator's result reads.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+_SCOPES: list[Scope] = []
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -22,19 +25,49 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def folder(spark: SparkSession) -> str:
-    """This application's own folder below ``spark.checkpoint.dir``, deleted when Python ends.
+class Scope:
+    """``with Scope(spark) as scope``: tables that are materialised within go at its end, unless kept; kept ones pass to the scope around."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """A materialised table that is read after the scope's end."""
+        self.kept.append(table.scratch_path)
+        return table
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        for path in self.paths:
+            if path not in self.kept:
+                _remove(self.spark, path)
+            elif _SCOPES:
+                _SCOPES[-1].paths.append(path)
 
-    Only where that setting is absent (tests, a single machine) a local temporary folder takes its place.
-    """
+
+def _root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it the context's checkpoint folder; on a single machine a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = held.get()
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return "file://" + tempfile.mkdtemp(prefix="playlake-")
+
+
+def folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, deleted when Python ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="playlake-")
-        _FOLDERS[app] = f"{root.rstrip('/')}/playlake-{app}-{uuid.uuid4().hex[:8]}"
+        _FOLDERS[app] = f"{_root(spark).rstrip('/')}/playlake-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
 
@@ -50,7 +83,11 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+    """Write ``df`` once and read it back; within a :class:`Scope`, until its end."""
     path = new_path(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
     df.write.parquet(path)
-    return reread(df.sparkSession, path, df)
+    table = reread(df.sparkSession, path, df)
+    table.scratch_path = path
+    return table

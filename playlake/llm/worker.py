@@ -7,16 +7,16 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch, where the session sets no number itself: documents can be long.
-BATCH_ROWS = 1000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows and bytes of a batch of texts on its way to a Python worker, and rows that are decoded at once: documents can be long.
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
 _HELD: dict[Any, Any] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let batches of texts be small, unless the session has its own setting."""
-    if spark.conf.get(_SETTING, None) is None:
-        spark.conf.set(_SETTING, BATCH_ROWS)
+    """Let batches of texts be small, unless the session has its own settings."""
+    for setting, value in _BOUNDS.items():
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, value)
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:

@@ -149,8 +149,8 @@ def test_rows_of_a_crowd_grow_with_it(spark, monkeypatch):
         made.clear()
         texts = [(k, edited(k, prose(70, 90).split(), 3 + k % 3)) for k in range(n)]
         assert collected(near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(texts), key=str)
-        assert made["across"] < n and made["needed"] <= made["open"]
-        counts.append(sum(made[k] for k in ("star", "agreeing", "links", "open", "needed", "across")))
+        assert made["links"] <= made["needed"] <= made["members"] <= minhash.BANDS * n
+        counts.append(sum(made[k] for k in ("members", "held", "needed", "links")))
     assert counts[2] < 6 * counts[0]
 
 
@@ -158,13 +158,16 @@ def test_meeting_of_two_blocks():
     """Links found within a row: those that join components, between the sides only where there are two."""
     sets = [minhash.shingles(edited(k, prose(80, 60).split(), 1 + k % 4)) for k in range(40)]
     signs = np.array([minhash.signature(s) for s in sets])
-    nodes = pa.array([{"node": k, "label": k % 30, "size": len(s), "signature": g.tobytes()} for k, (s, g) in enumerate(zip(sets, signs, strict=True))], pa.struct([("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("signature", pa.binary())]))
+    nodes = pa.array([{"node": k, "size": len(s), "signature": g.tobytes()} for k, (s, g) in enumerate(zip(sets, signs, strict=True))], pa.struct([("node", pa.int64()), ("size", pa.int64()), ("signature", pa.binary())]))
     for sides in (np.zeros(40, int), np.arange(40) % 2):
-        label = {k: k % 30 for k in range(40)}
+        label = list(range(40))
         for band in range(minhash.BANDS):
-            for u, v in minhash._Meeting(band, nodes, sides).links(sets):
-                gone, into = label[u], label[v]
-                label = {k: into if x == gone else x for k, x in label.items()}
+            links = list(minhash._Meeting(band, nodes, sides).links(sets))
+            assert len(links) < 40
+            for u, v in links:
+                both = len(np.intersect1d(sets[u], sets[v]))
+                assert 100 * both >= 75 * (len(sets[u]) + len(sets[v]) - both)
+                label = [label[u] if x == label[v] else x for x in label]
         for a in range(40):
             for b in range(a):
                 both = len(np.intersect1d(sets[a], sets[b]))
