@@ -171,6 +171,44 @@ def backoff(attempt: Column, retry_after: Column, base: int = 60, most: int = 60
     return F.least(F.lit(most), F.greatest(F.coalesce(retry_after, F.lit(0)), F.lit(base) * F.pow(F.lit(2), F.least(attempt, F.lit(doublings)))).cast("long"))
 
 
+def retry_delay(attempt: Column, retry_after: Column, base: int = 30, most: int = 600) -> Column:
+    """Seconds before the next try of one request: what the server asks and a doubling base on top, at most ``most``."""
+    doubled = F.lit(base) * F.pow(F.lit(2), F.least(attempt, F.lit(30))).cast("long")
+    return F.least(F.lit(most).cast("long"), F.coalesce(retry_after, F.lit(0)).cast("long") + doubled)
+
+
+# Which state each operation asks for, and the event that it adds.
+GUARDS = {"approve": (("awaiting_approval",), "approved"), "reject": (OPEN, "rejected"), "reinstate": (("rejected",), "reinstated")}
+
+
+def guarded(requests: DataFrame, intents: DataFrame) -> DataFrame:
+    """Requests (id, op: approve, reject, reinstate, at, dismiss?) against folded intents → id, at, op, event, dismiss, dismissed, error.
+
+    ``event`` is what to add to the queue's log, null where the intent's state forbids it or there is none; ``dismissed`` is the
+    entry for its subject: true when a rejection dismisses it, false when reinstating lifts that, else null.
+    """
+    state = intents.select("id", F.col("state").alias("__state"), F.col("dismissed").alias("__was"))
+    rows = requests.join(state, "id", "left")
+    allowed, event = F.lit(False), F.lit(None).cast("string")
+    for op, (states, name) in GUARDS.items():
+        allowed = F.when(F.col("op") == op, F.col("__state").isin(*states)).otherwise(allowed)
+        event = F.when(F.col("op") == op, F.lit(name)).otherwise(event)
+    allowed = F.coalesce(allowed, F.lit(False))
+    dismiss = F.coalesce("dismiss", F.lit(False)) if "dismiss" in requests.columns else F.lit(False)
+    entry = F.when(allowed & (F.col("op") == "reject") & dismiss, True).when(allowed & (F.col("op") == "reinstate") & F.col("__was"), False)
+    error = F.when(F.col("__state").isNull(), "not found").when(~allowed, F.concat(F.lit("can't "), F.col("op"), F.lit(" what is "), F.col("__state")))
+    return rows.select("id", "at", "op", F.when(allowed, event).alias("event"), F.when(allowed & (F.col("op") == "reject"), dismiss).alias("dismiss"), entry.alias("dismissed"), error.alias("error"))
+
+
+def guarded_rules(requests: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Requests (id, op: approve, reject, at) against folded proposals of rules → id, at, event, joins (the rule becomes active), error; only pending ones can be decided."""
+    rows = requests.join(proposals.select("id", F.col("state").alias("__state")), "id", "left")
+    allowed = F.coalesce(F.col("__state") == "pending", F.lit(False))
+    event = F.when(F.col("op") == "approve", "approved").otherwise("rejected")
+    error = F.when(F.col("__state").isNull(), "not found").when(~allowed, F.concat(F.lit("is "), F.col("__state")))
+    return rows.select("id", "at", F.when(allowed, event).alias("event"), (allowed & (F.col("op") == "approve")).alias("joins"), error.alias("error"))
+
+
 def decide(dry_run: Column, needs_approval: Column, confirm: Column) -> Column:
     """What becomes of a suggestion: reported only, put up for approval, or ready."""
     return F.when(dry_run, "report").when(needs_approval | confirm, "awaiting_approval").otherwise("ready")

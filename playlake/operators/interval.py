@@ -42,8 +42,32 @@ def intersect(left: DataFrame, right: DataFrame, keys: list[str] = ()) -> DataFr
     return _sweep(left, right, list(keys), (F.col("a") > 0) & (F.col("b") > 0))
 
 
+def _pieces(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left of each range of a normalised map: keys, of (the range's start), start, end, verified_at."""
+    held = left.filter("start < end").select(*keys, F.col("start").alias("t"), "end", "verified_at")
+    # At most one range of the left side is open at a time, so running sums carry its start and time along.
+    edges = held.select(*keys, "t", F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("t").alias("of"), "verified_at")
+    edges = edges.unionByName(held.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("a"), F.lit(0).alias("b"), (-F.col("t")).alias("of"), (-F.col("verified_at")).alias("verified_at")))
+    for at, sign in (("start", 1), ("end", -1)):
+        edges = edges.unionByName(right.filter("start < end").select(*keys, F.col(at).alias("t"), F.lit(0).alias("a"), F.lit(sign).alias("b"), F.lit(0).cast("long").alias("of"), F.lit(0).cast("long").alias("verified_at")))
+    order = Window.partitionBy(*keys).orderBy("t")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    points = edges.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("a", "b", "of", "verified_at")])
+    points = points.select(*keys, "t", *[F.sum(c).over(upto).alias(c) for c in ("a", "b", "of", "verified_at")], F.lead("t").over(order).alias("next"))
+    free = points.filter((F.col("a") > 0) & (F.col("b") == 0) & F.col("next").isNotNull())
+    # Stretches that touch belong together: only other removed ranges' edges lie between them.
+    new = F.when(F.lag("next").over(Window.partitionBy(*keys, "of").orderBy("t")) == F.col("t"), 0).otherwise(1)
+    run = F.sum("__new").over(Window.partitionBy(*keys, "of").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    runs = free.withColumn("__new", new).withColumn("__run", run)
+    return runs.groupBy(*keys, "of", "__run").agg(F.min("t").alias("start"), F.max("next").alias("end"), F.max("verified_at").alias("verified_at")).drop("__run")
+
+
 def subtract(left: DataFrame, right: DataFrame, keys: list[str] = ()) -> DataFrame:
-    return _sweep(left, right, list(keys), (F.col("a") > 0) & (F.col("b") == 0))
+    """The left map's ranges without the right's; each piece keeps when its range was verified, if the left side says that."""
+    timed = "verified_at" in left.columns
+    held = left if timed else left.withColumn("verified_at", F.lit(0).cast("long"))
+    out = _pieces(normalise(held, keys), right, list(keys)).drop("of")
+    return out if timed else out.drop("verified_at")
 
 
 def gaps(ranges: DataFrame, start: int, end: int, keys: list[str] = ()) -> DataFrame:
@@ -96,8 +120,8 @@ def insert_changes(held: DataFrame, added: DataFrame, keys: list[str] = ()) -> D
 
 def subtract_changes(held: DataFrame, removed: DataFrame, keys: list[str] = ()) -> DataFrame:
     """What taking ranges away does to each range of a normalised map: (kind, start, end, pieces) for split, shrunk, removed."""
-    left = subtract(held, removed, keys).select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    cond = (F.col("l_start") >= F.col("start")) & (F.col("l_end") <= F.col("end"))
+    left = _pieces(held, removed, list(keys)).select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("of").alias("l_of"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    cond = F.col("l_of") == F.col("start")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"l_{k}"))
     pieces = held.join(left, cond, "left").groupBy(*keys, "start", "end").agg(F.count("l_start").alias("pieces"), F.coalesce(F.sum(F.col("l_end") - F.col("l_start")), F.lit(0)).alias("__left"))

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from playlake.sources.plays import in_range
+
 
 def _top(plays: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return plays.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(limit)
@@ -32,8 +34,29 @@ def play_count(plays: DataFrame) -> DataFrame:
     return plays.agg(F.count(F.lit(1)).alias("n"))
 
 
-def artist_plays(plays: DataFrame, artist: str) -> DataFrame:
-    return plays.filter(F.col("artist") == artist).orderBy("uts", "id")
+def artist_plays(plays: DataFrame, artist: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """An artist's plays of a half-open range in order of time."""
+    return in_range(plays, start, end).filter(F.col("artist") == artist).orderBy("uts", "id")
+
+
+def album_plays(plays: DataFrame, album: str) -> DataFrame:
+    """Plays of an album by its very name; plays without one are of none."""
+    return plays.filter(F.col("album") == album)
+
+
+def limited(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of an ordered listing; 0: all."""
+    return rows.limit(limit) if limit else rows
+
+
+def pages_between(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of pages ``first`` to ``last``, both in: what a deletion by pages picks."""
+    return rows.filter(F.col("page_number").between(first, last))
+
+
+def latest_first(states: DataFrame, limit: int = 0) -> DataFrame:
+    """Folded states by their last change, the latest first; of equal times by id."""
+    return limited(states.orderBy(F.desc("updated_at"), "id"), limit)
 
 
 def before(cursor: tuple[int, str] | None) -> Column:
@@ -71,25 +94,35 @@ def rolling(plays: DataFrame, now: int, days: int | None) -> DataFrame:
     return plays if days is None else plays.filter((F.col("uts") >= now - days * 86400) & (F.col("uts") < now))
 
 
-def store_status(plays: DataFrame, coverage: DataFrame, now: int) -> DataFrame:
-    """One row: plays, oldest, newest, segments, covered seconds, staleness."""
+def store_status(plays: DataFrame, coverage: DataFrame, now: int, edits: DataFrame | None = None) -> DataFrame:
+    """One row: plays, oldest, newest, segments, covered seconds, staleness; of folded ``edits`` how many, and how many are pending."""
     a = plays.agg(F.count(F.lit(1)).alias("n"), F.min("uts").alias("oldest"), F.max("uts").alias("newest"))
     b = coverage.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("covered"), F.max("end").alias("frontier"))
-    return a.crossJoin(b).withColumn("stale_seconds", F.lit(now) - F.col("frontier"))  # one row each
+    one = a.crossJoin(b).withColumn("stale_seconds", F.lit(now) - F.col("frontier"))  # one row each
+    return one if edits is None else one.crossJoin(edits.agg(F.count(F.lit(1)).alias("edits"), F.count_if(F.col("state") == "pending").alias("pending")))
+
 
+def library(plays: DataFrame, limit: int, coverage: DataFrame | None = None, artist: str | None = None) -> DataFrame:
+    """Dashboard rows (kind, artist, name, n): totals, top artists, top albums.
 
-def library(plays: DataFrame, limit: int) -> DataFrame:
-    """Dashboard rows (kind, artist, name, n): totals, top artists, top albums."""
+    With ``coverage`` also where it begins and ends and how many seconds it has; with ``artist`` also that artist's top tracks and albums.
+    """
     def kind(df, name, artist, of):
         return df.select(F.lit(name).alias("kind"), artist.alias("artist"), of.alias("name"), "n")
 
     nothing = F.lit(None).cast("string")
-    return (
+    rows = (
         kind(play_count(plays), "total", nothing, nothing)
         .unionByName(kind(plays.agg(F.max("uts").alias("n")), "latest", nothing, nothing))
         .unionByName(kind(top_artists(plays, limit), "artist", F.col("artist"), nothing))
         .unionByName(kind(top_albums(plays, limit), "album", F.col("artist"), F.col("album")))
     )
+    if coverage is not None:
+        facts = coverage.agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("covered"))
+        rows = rows.unionByName(facts.select(F.stack(F.lit(3), *[x for c in ("span_start", "span_end", "covered") for x in (F.lit(c), F.col(c))]).alias("kind", "n")).select("kind", nothing.alias("artist"), nothing.alias("name"), "n"))
+    if artist is not None:
+        rows = rows.unionByName(kind(top_tracks(plays, limit, artist), "drill_track", F.col("artist"), F.col("track"))).unionByName(kind(top_albums(plays, limit, artist), "drill_album", F.col("artist"), F.col("album")))
+    return rows
 
 
 def album_sections(plays: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Words that mark editions in titles and in disambiguations, secondary types of compilations, priorities.
 TITLE_EDITIONS = ("deluxe", "remaster", "special", "anniversary", "expanded", "collector", "limited", "super", "bonus")
 DISAMBIGUATION_EDITIONS = ("deluxe", "legacy", "expanded", "anniversary", "special", "bonus")
+CATALOGUE_EDITIONS = ("deluxe", "remaster", "expanded", "anniversary")
 DEMO = ("demo",)
 COMPILATION_TYPES = ("Compilation", "Soundtrack", "Live", "Remix", "DJ-mix", "Mixtape/Street", "Interview")
 STATUS_PRIORITY = {"Official": 0, "Promotion": 2, "Bootleg": 3, "Pseudo-Release": 4}
 TYPE_PRIORITY = {"Album": 0, "EP": 1, "Single": 2, "Broadcast": 3}
-VARIOUS = ("various artists", "various")
+VARIOUS = ("various artists", "various", "va", "v/a")
+UNOFFICIAL = ("Bootleg", "Pseudo-Release")
 
 
 def _any_word(text: Column, words) -> Column:
@@ -30,6 +32,22 @@ def special_edition(disambiguation: Column) -> Column:
     return _any_word(disambiguation, DISAMBIGUATION_EDITIONS)
 
 
+def catalogue_edition(disambiguation: Column) -> Column:
+    """The catalogue client's own test of special editions, with a list of its own."""
+    return _any_word(disambiguation, CATALOGUE_EDITIONS)
+
+
+def unofficial(status: Column) -> Column:
+    """Whether a status is one that album searches leave out; a missing one isn't."""
+    return F.coalesce(status.isin(*UNOFFICIAL), F.lit(False))
+
+
+def eligible(credits: Column, status: Column, official_only: bool = False) -> Column:
+    """Whether a release may be ranked: not by various artists and, if asked, official or without a status."""
+    fine = ~F.coalesce(various_artists(credits), F.lit(False))
+    return fine & F.coalesce(status == "Official", F.lit(True)) if official_only else fine
+
+
 def is_demo(disambiguation: Column) -> Column:
     return _any_word(disambiguation, DEMO)
 
@@ -104,6 +122,22 @@ def matching_release(releases: DataFrame, keys: list[str], album: str, prefer_no
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def best_release(releases: DataFrame, keys: list[str], album: str | None = None, prefer_non_japanese: bool = True) -> DataFrame:
+    """The release to take for each key: the one that :func:`matching_release` picks where a title is that of the column ``album``, else the earliest, other countries than Japan first."""
+    special, jp = special_edition(F.col("disambiguation")), F.coalesce(F.col("country") == "JP", F.lit(False))
+    own = F.coalesce(F.lower("title") == F.lower(F.col(album)), F.lit(False)) if album else F.lit(False)
+    year = F.when(F.col("date").isNotNull(), F.when(F.length("date") >= 4, F.substring("date", 1, 4)).otherwise("9999"))
+    japan = F.when(own & special, False).otherwise(jp) if prefer_non_japanese else F.lit(False)
+    order = [own.desc(), (own & special), japan, year.asc_nulls_last(), F.col("pos")]
+    return releases.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def rank_reason() -> Column:
+    """Why a release stands where it does, in words: status, kind, edition, year."""
+    comp = is_compilation(F.col("artist_credit"), F.col("secondary_types"))
+    return F.concat_ws(", ", F.lower(F.coalesce("status", F.lit("no status"))), F.when(comp, "compilation").otherwise("no compilation"), F.when(special_title(F.col("title")), "special edition").otherwise("regular edition"), F.lower(F.coalesce("primary_type", F.lit("unknown type"))), F.coalesce(release_year(F.col("date")).cast("string"), F.lit("no year")))
+
+
 def ranked(releases: DataFrame, keys: list[str]) -> DataFrame:
     """Releases with ``rank`` from 1 by status, compilation, edition, type, year, arrival.
 
@@ -128,13 +162,18 @@ def _gap_order(a, b) -> int:
     return (left > right) - (left < right)
 
 
-def ranked_with_gap(releases: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
-    """The first ``most`` releases of each key by status, ordered with the rule that a single ten years older than an album precedes it."""
+def ranked_with_gap(releases: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Each key's releases, each id once, ordered with the rule that a single ten years older than an album precedes it.
+
+    ``most``: only the first so many of a key by status, as the catalogue look-up takes 20.
+    """
+    releases = releases.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("pos"))).filter("__n = 1").drop("__n")
     rows = releases.withColumns({
         "s": status_priority(F.col("status")), "c": is_compilation(F.col("artist_credit"), F.col("secondary_types")).cast("int"),
         "e": special_title(F.col("title")).cast("int"), "t": type_priority(F.col("primary_type")), "y": release_year(F.col("date")).cast("double"),
     }).select(*keys, "id", "title", "primary_type", "pos", "s", "c", "e", "t", "y")
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "pos"))).filter(F.col("__n") <= most).drop("__n")
+    if most is not None:
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "pos"))).filter(F.col("__n") <= most).drop("__n")
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         found = sorted(pdf.sort_values(["s", "pos"]).to_dict("records"), key=functools.cmp_to_key(_gap_order))
@@ -170,3 +209,58 @@ def replacement(releases: DataFrame, keys: list[str], album: str) -> DataFrame:
     fine = F.max(F.col("__own") & ~F.col("__comp")).over(Window.partitionBy(*keys))
     rows = rows.withColumn("__fine", fine).filter(~F.col("__fine") & ~F.col("__own") & ~F.col("__comp"))
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter("__n = 1").drop("__n", "__own", "__comp", "__fine")
+
+
+def track_exists(tracks: DataFrame, releases: DataFrame, contents: DataFrame, recordings: DataFrame, **filters) -> DataFrame:
+    """Whether the catalogue has each track (id, artist, title, album?): id, exists.
+
+    With an album: whether the release that stands for it (releases: artist, title, id and what :func:`canonical_release` reads)
+    has a track of that title (contents: release_id, title).  Without: whether a recording (artist, title) has these names.
+    Case doesn't count.
+    """
+    low = lambda c: F.lower(F.col(c))
+    wanted = tracks.select(F.col("id").alias("t_id"), low("artist").alias("t_artist"), low("title").alias("t_title"), low("album").alias("t_album"))
+    held = releases.withColumns({"__artist": low("artist"), "__album": low("title")})
+    pairs = wanted.filter("t_album is not null").select("t_artist", "t_album").distinct()
+    held = held.join(pairs, (F.col("__artist") == F.col("t_artist")) & (F.col("__album") == F.col("t_album"))).drop("__artist", "__album")
+    chosen = canonical_release(held, ["t_artist", "t_album"], **filters).select("t_artist", "t_album", F.col("id").alias("release_id"))
+    on_album = chosen.join(contents.select("release_id", low("title").alias("t_title")).distinct(), "release_id").select("t_artist", "t_album", "t_title")
+    alone = recordings.select(low("artist").alias("t_artist"), F.lit(None).cast("string").alias("t_album"), low("title").alias("t_title")).distinct()
+    known = on_album.unionByName(alone).withColumnsRenamed({c: f"k_{c}" for c in ("t_artist", "t_album", "t_title")})
+    same = (F.col("t_artist") == F.col("k_t_artist")) & F.col("t_album").eqNullSafe(F.col("k_t_album")) & (F.col("t_title") == F.col("k_t_title"))
+    return wanted.join(known, same, "left").select(F.col("t_id").alias("id"), F.col("k_t_title").isNotNull().alias("exists"))
+
+
+def corrections(tracks: DataFrame, matches: DataFrame) -> DataFrame:
+    """Tracks (id, artist, name, album?) and their catalogue matches (id, m_artist, m_title, m_album?) → id, kind, new_artist, new_track, new_album, confirm.
+
+    Names are compared without space around them; no difference is ``no_action``.  Such edits need no confirmation.
+    """
+    differs = lambda a, b: F.coalesce(F.trim(a) != F.trim(b), F.lit(False))
+    artist, title, album = differs("artist", "m_artist"), differs("name", "m_title"), differs("album", "m_album")
+    edit = artist | title | album
+    return tracks.join(matches, "id").select(
+        "id", F.when(edit, "edit").otherwise("no_action").alias("kind"), F.when(artist, F.col("m_artist")).otherwise(F.col("artist")).alias("new_artist"),
+        F.when(title, F.col("m_title")).otherwise(F.col("name")).alias("new_track"), F.coalesce("m_album", "album", F.lit("")).alias("new_album"), F.lit(False).alias("confirm"),
+    )
+
+
+def off_compilations(releases: DataFrame, keys: list[str], album: str) -> DataFrame:
+    """Suggestions to move plays from compilations to their own releases: keys, new_album, confirm (always).  Plays without an album get none."""
+    found = replacement(releases.filter(F.col(album).isNotNull()), keys, album)
+    return found.filter(F.col("title") != F.col(album)).select(*keys, F.col("title").alias("new_album"), F.lit(True).alias("confirm"))
+
+
+def albums_named(releases: DataFrame, keys: list[str], artist: str, album: str, threshold: float) -> DataFrame:
+    """Releases like a wanted artist and album (columns of ``releases``), the surest first: keys, place, release_id, found_artist, title, confidence.
+
+    Bootlegs and pseudo-releases are left out.  Of neighbours in that order with the same names the first stays; equal names
+    apart from each other both do.
+    """
+    first = F.try_element_at("artist_credit", F.lit(1))
+    sure = (F.coalesce(similarity(first, F.col(artist)), F.lit(0.0)) + similarity(F.col("title"), F.col(album))) / 2
+    rows = releases.filter(~unofficial(F.col("status"))).withColumns({"confidence": sure, "found_artist": F.coalesce(first, F.col(artist))}).filter(F.col("confidence") >= threshold)
+    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "pos")
+    names = F.struct("title", "found_artist")
+    kept = rows.withColumn("__same", F.coalesce(F.lag(names).over(order) == names, F.lit(False))).filter(~F.col("__same"))
+    return kept.select(*keys, (F.row_number().over(order) - 1).alias("place"), F.col("id").alias("release_id"), "found_artist", "title", "confidence")

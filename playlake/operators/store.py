@@ -77,7 +77,7 @@ def tombstones(rows: DataFrame, at: int) -> DataFrame:
 
 def compact(log: DataFrame) -> DataFrame:
     """What compaction keeps: the winner of each id, tombstones too, by seconds and id within months."""
-    return current(log).repartition("month").sortWithinPartitions("month", "uts", "id")
+    return current(log).repartitionByRange("month", "uts", "id").sortWithinPartitions("month", "uts", "id")
 
 
 def compact_counts(log: DataFrame) -> DataFrame:

@@ -63,6 +63,55 @@ def overlay(edit: DataFrame, fields=("track", "album", "artist", "album_artist")
     })
 
 
+FIELDS = ("track", "album", "artist", "album_artist")
+
+
+def _edit(original: dict[str, Column], new: dict[str, Column], timestamp: Column) -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.struct(*[original.get(f, nothing).alias(f"original_{f}") for f in FIELDS], *[new.get(f, nothing).alias(f"new_{f}") for f in FIELDS], timestamp.cast("long").alias("timestamp"), F.lit(True).alias("edit_all"))
+
+
+def no_op_edit() -> Column:
+    """A play's edit that changes nothing; an unknown album artist stays unknown."""
+    own = {f: F.col(f) for f in FIELDS}
+    return _edit(own, own, F.col("timestamp"))
+
+
+def track_edit(track: Column, artist: Column, album: Column | None = None, timestamp: Column | None = None) -> Column:
+    """An edit of one track, nothing changed yet; without an album of all albums that have it.  The album artist is left open."""
+    own = {"track": track, "artist": artist} | ({"album": album} if album is not None else {})
+    return _edit(own, own, timestamp if timestamp is not None else F.lit(None))
+
+
+def artist_edit(old: Column, new: Column) -> Column:
+    """An artist's new name, on all tracks and albums, also as album artist."""
+    return _edit({"artist": old}, {"artist": new, "album_artist": new}, F.lit(None))
+
+
+def album_edit(album: Column, old: Column, new: Column) -> Column:
+    """An album's new artist, where the old one is its album artist; album artists stay."""
+    return _edit({"album": album, "artist": old, "album_artist": old}, {"album": album, "artist": new}, F.lit(None))
+
+
+def with_artist(edit: Column, artist: Column) -> Column:
+    """An edit with another new artist, who becomes the album artist as well."""
+    return edit.withField("new_artist", artist).withField("new_album_artist", artist)
+
+
+def summary_text(edit: Column) -> Column:
+    """What an edit changes, in words: a track needs both names; a missing album or album artist is a dash."""
+    def quoted(c):
+        return F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("-"))
+
+    def part(field):
+        old, new = edit[f"original_{field}"], edit[f"new_{field}"]
+        differs = F.coalesce(old != new, F.lit(False)) if field == "track" else ~old.eqNullSafe(new)
+        return F.when(differs, F.concat(F.lit(f"{field.replace('_', ' ')}: "), quoted(old), F.lit(" -> "), quoted(new)))
+
+    joined = F.concat_ws("; ", *[part(f) for f in ("track", "artist", "album", "album_artist")])
+    return F.when(joined == "", "no changes").otherwise(joined)
+
+
 def diff_text(pairs: dict[str, tuple[Column, Column]]) -> Column:
     """``field: old -> new`` for what differs, joined by ``; ``; ``no changes`` if nothing does."""
     parts = [F.when(~old.eqNullSafe(new) & new.isNotNull(), F.concat(F.lit(f"{name}: "), F.coalesce(old, F.lit("")), F.lit(" -> "), new)) for name, (old, new) in pairs.items()]

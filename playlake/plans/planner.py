@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from playlake.functions.rules import FIELDS, RewriteRule, apply_chain
@@ -10,28 +13,52 @@ from playlake.operators.eventlog import decide
 from playlake.operators.subjects import KEY, group_by_subject, without
 
 
+def _closing(keys: list[str], start: int, end: int, hint: int):
+    """Seconds of keys, in order, → their batches; only the open batch is remembered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, state = [*keys, "batch", "claim_start", "claim_end", "n"], None, None
+        schema = None
+        for batch in batches:
+            schema = schema or [batch.schema.field(k).type for k in keys]
+            out: list[tuple] = []
+            for *own, uts, n in zip(*(batch.column(c).to_pylist() for c in (*keys, "uts", "n")), strict=True):
+                if state is None or own != key:
+                    if state is not None:
+                        out.append((*key, state[0], state[1], end, state[2]))
+                    key, state = own, [0, start, 0]
+                if uts is None:  # a key's mark, which has no plays
+                    continue
+                if state[2] >= hint:
+                    out.append((*key, state[0], state[1], state[3], state[2]))
+                    state = [state[0] + 1, state[3], 0]
+                state[2:] = [state[2] + n, uts + 1]
+            yield _batch(out, names, schema)
+        if state is not None:
+            yield _batch([(*key, state[0], state[1], end, state[2])], names, schema)
+
+    def _batch(rows, names, schema):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate([*schema, *[pa.int64()] * 4])], names)
+
+    return run
+
+
 def claims(plays: DataFrame, start: int, end: int, hint: int, keys: list[str] = ()) -> DataFrame:
     """Batches of plays with claims that tile [start, end): (keys, batch, claim_start, claim_end, n).
 
     A batch ends behind the first second that brings it to ``hint`` plays, so no second is split; the last one ends with
-    the range.  The choice is greedy, so each key's seconds are folded in order, as counts: one number for each second.
+    the range.  The choice is greedy, so each key's seconds, counted beforehand, are dealt to one task and sorted there (on disk if
+    need be), and a task remembers no more than the open batch.  Without keys there is always a last batch.
     """
+    keys = list(keys)
     seconds = plays.filter((F.col("uts") >= start) & (F.col("uts") < end)).groupBy(*keys, "uts").agg(F.count(F.lit(1)).alias("n"))
-    listed = seconds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("uts", "n"))).alias("seconds"))
-    if not keys:
-        listed = listed.select(F.coalesce("seconds", F.array()).alias("seconds"))
-    done = "array<struct<claim_end:bigint,n:bigint>>"
-    folded = F.aggregate(
-        "seconds", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"), F.array().cast(done).alias("out")),
-        lambda acc, s: F.struct(
-            F.when(acc["n"] >= hint, s["n"]).otherwise(acc["n"] + s["n"]).alias("n"), s["uts"].alias("last"),
-            F.when(acc["n"] >= hint, F.concat(acc["out"], F.array(F.struct((acc["last"] + 1).alias("claim_end"), acc["n"].alias("n"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.array(F.struct(F.lit(end).cast("long").alias("claim_end"), acc["n"].alias("n")))),
-    )
-    rows = listed.select(*keys, F.posexplode(folded).alias("batch", "c")).select(*keys, F.col("batch").cast("long").alias("batch"), "c.claim_end", "c.n")
-    before = F.lag("claim_end").over(Window.partitionBy(*keys).orderBy("batch"))
-    return rows.select(*keys, "batch", F.coalesce(before, F.lit(start).cast("long")).alias("claim_start"), "claim_end", "n")
+    if keys:
+        dealt = seconds.repartition(*keys)
+    else:
+        mark = plays.sparkSession.range(1).select(F.lit(None).cast("long").alias("uts"), F.lit(0).cast("long").alias("n"))
+        dealt = seconds.unionByName(mark).repartition(1)
+    kinds = [f"`{k}` {dict(plays.dtypes)[k]}" for k in keys]
+    ordered = dealt.sortWithinPartitions(*keys, F.col("uts").asc_nulls_first()).select(*keys, F.col("uts").cast("long"), F.col("n").cast("long"))
+    return ordered.mapInArrow(_closing(keys, start, end, hint), ", ".join([*kinds, "batch long, claim_start long, claim_end long, n long"]))
 
 
 def chunks(plays: DataFrame, hint: int, keys: list[str]) -> DataFrame:
@@ -57,6 +84,21 @@ def plan(plays: DataFrame, rules: list[RewriteRule], dismissed: DataFrame, open_
     return changed.select(*KEY, "n", "latest_uts", *[f"new_{f}" for f in FIELDS], "confirm", outcome.alias("outcome"))
 
 
+def plan_report(subjects: DataFrame, intents: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """One row of a planning pass: subjects seen, suggestions, those queued ready, those awaiting approval, those reported only, rules proposed."""
+    seen = subjects.agg(F.count(F.lit(1)).alias("subjects_seen"))
+    told = {"queued_ready": "ready", "queued_awaiting_approval": "awaiting_approval", "reported_only": "report"}
+    counts = intents.agg(F.count(F.lit(1)).alias("suggestions"), *[F.count_if(F.col("outcome") == o).alias(n) for n, o in told.items()])
+    rules = proposed.agg(F.count(F.lit(1)).alias("rules_proposed")) if proposed is not None else intents.sparkSession.range(1).select(F.lit(0).cast("long").alias("rules_proposed"))
+    return seen.crossJoin(counts).crossJoin(rules)  # one row each
+
+
+def execution_report(outcomes: DataFrame, instances: DataFrame) -> DataFrame:
+    """One row of an execution pass: intents processed, completed, abandoned (id, outcome); instances applied, failed (status)."""
+    intents = outcomes.agg(F.count(F.lit(1)).alias("intents_processed"), *[F.count_if(F.col("outcome") == o).alias(f"intents_{o}") for o in ("completed", "abandoned")])
+    return intents.crossJoin(instances.agg(*[F.count_if(F.col("status") == s).alias(f"instances_{s}") for s in ("applied", "failed")]))  # one row each
+
+
 def report(intents: DataFrame) -> DataFrame:
     """How many subjects and plays by outcome."""
     return intents.groupBy("outcome").agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").alias("plays"))

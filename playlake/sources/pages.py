@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -14,14 +15,16 @@ _HEAD = "struct<page:string,totalPages:string>"
 
 def api_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """JSON pages → page columns plus ``tracks`` (array; a page of one track may hold it bare, an empty one none), has_next, total_pages, error."""
-    many = F.from_json(body, f"struct<recenttracks:struct<track:array<{_TRACK}>,`@attr`:{_HEAD}>>")
-    bare = F.from_json(body, f"struct<recenttracks:struct<track:{_TRACK},`@attr`:{_HEAD}>>")
-    single = F.get_json_object(body, "$.recenttracks.track").startswith("{")
-    one = F.array(bare["recenttracks"]["track"])
-    tracks = F.when(single, one).otherwise(many["recenttracks"]["track"])
-    page, total = (F.coalesce(F.get_json_object(body, f"$.recenttracks.@attr.{n}").try_cast("int"), F.lit(1)) for n in ("page", "totalPages"))
-    error = F.when(F.get_json_object(body, "$.error").isNotNull(), F.concat_ws(": ", F.concat(F.lit("error "), F.get_json_object(body, "$.error")), F.get_json_object(body, "$.message")))
-    return pages.withColumns({"tracks": F.coalesce(tracks, F.array().cast(f"array<{_TRACK}>")), "page_number": page, "total_pages": total, "has_next": page < total, "error": error})
+    # The tracks are read as text first, which is an array or one object, so each body is parsed once and each text once.
+    read = F.from_json(body, f"struct<recenttracks:struct<track:string,`@attr`:{_HEAD}>,error:string,message:string>")
+    rows = pages.withColumn("__page", read)
+    text = F.col("__page.recenttracks.track")
+    listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
+    page, total = (F.coalesce(F.col(f"__page.recenttracks.@attr.{n}").try_cast("int"), F.lit(1)) for n in ("page", "totalPages"))
+    code = F.col("__page.error")
+    error = F.when(code.isNotNull(), F.concat_ws(": ", F.concat(F.lit("error "), code), F.col("__page.message")))
+    tracks = F.coalesce(F.from_json(listed, f"array<{_TRACK}>"), F.array().cast(f"array<{_TRACK}>"))
+    return rows.withColumns({"tracks": tracks, "page_number": page, "total_pages": total, "has_next": page < total, "error": error}).drop("__page")
 
 
 def api_tracks(pages: DataFrame, body: str = "body", before: int | None = None) -> DataFrame:
@@ -76,6 +79,21 @@ def form_fields(body: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, lambda i: F.struct(F.element_at(names, i).alias("key"), part(F.element_at(pairs, i), 1).alias("value"))))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
+def form_text(fields: Column) -> Column:
+    """A map as a URL-encoded form, names in order."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(F.coalesce(e["value"], F.lit(""))))), "&")
+
+
+def api_window(start: int | None, end: int | None) -> tuple[int | None, int | None]:
+    """The bounds to ask the service for: a second more at the beginning, which the store's folding absorbs."""
+    return (None if start is None else max(0, start - 1)), end
+
+
+def clip_to_pin(tracks: DataFrame, pin: int | None) -> DataFrame:
+    """Rows before the pin; rows without a time stay, and so do those before the window's start, which show that it is complete."""
+    return tracks if pin is None else tracks.filter(F.col("timestamp").isNull() | (F.col("timestamp") < pin))
+
+
 def request_parts(url: Column) -> Column:
     """struct(path, query) of an address."""
     return F.struct(F.parse_url(url, F.lit("PATH")).alias("path"), form_fields(F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit(""))).alias("query"))
@@ -92,12 +110,24 @@ def edit_outcome(html: Column, status: Column) -> Column:
     return F.struct(success.alias("success"), message.alias("message"))
 
 
-def rate_limited(body: Column, status: Column, patterns=("rate limit", "too many requests", "slow down", "try again later")) -> Column:
+# Phrases of answers to too many requests; the second kind comes with a status of success.
+LIMIT_PHRASES = (
+    "you've tried to log in too many times", "you're requesting too many pages", "slow down", "too fast", "rate limit", "throttled", "temporarily blocked", "temporarily restricted",
+    "captcha", "verify you're human", "prove you're not a robot", "security check", "service temporarily unavailable", "quota exceeded", "limit exceeded", "daily limit",
+)
+LIMIT_PHRASES_OF_SUCCESS = ("you're requesting a lot of pages",)
+
+
+def rate_limited(body: Column, status: Column, custom=(), by_status: bool = True, by_phrase: bool = True) -> Column:
+    """Whether an answer says that there were too many requests.
+
+    Pages of success hold names of music, so they are searched for the one phrase that can't be a name; other answers for all
+    phrases.  ``custom`` phrases count for the latter even without ``by_phrase``.
+    """
     low = F.lower(F.coalesce(body, F.lit("")))
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | low.contains(p)
-    return (status == 429) | hit
+    phrases = lambda found: functools.reduce(Column.__or__, [low.contains(p.lower()) for p in found], F.lit(False))
+    said = F.when(status.between(200, 299), phrases(LIMIT_PHRASES_OF_SUCCESS if by_phrase else ())).otherwise(phrases((*custom, *(LIMIT_PHRASES if by_phrase else ()))))
+    return F.coalesce((status == 429) | said, F.lit(False)) if by_status else F.coalesce(said, F.lit(False))
 
 
 class _Rows(HTMLParser):

@@ -20,7 +20,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def write_log(rows: DataFrame, path: str) -> None:
     """Append observations as new files, one folder for each month; files that are there never change."""
     month_cols = [c for c in rows.columns if c != "month"]
-    rows.select(*month_cols, month_of("uts").alias("month")).repartition("month").write.mode("append").partitionBy("month").json(path)
+    rows.select(*month_cols, month_of("uts").alias("month")).repartitionByRange("month", "uts", "id").write.mode("append").partitionBy("month").json(path)
 
 
 def with_provenance(tracks: DataFrame, source: str, fetched_at: int) -> DataFrame:

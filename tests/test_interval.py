@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 from playlake.operators import interval
@@ -96,14 +97,67 @@ def test_sync_pass(spark):
         df = spark.createDataFrame([(u, a, t, k) for k, (u, a, t) in enumerate(part)], "uts long, artist string, track string, seq long")
         return df.withColumns({"id": play_id("uts", "artist", "track"), "album": F.lit(None).cast("string"), "fetched_at": F.lit(now).cast("long"), "deleted": F.lit(False), "month": F.date_format(F.timestamp_seconds("uts"), "yyyy-MM")})
 
-    def fetch(start, to, page):
-        part = sorted(upstream, reverse=True)[(page - 1) * 3 : page * 3]
-        return rows(part).withColumns({"page_number": F.lit(page), "total_pages": F.lit(4)})
+    def pages(count):
+        found = None
+        for page in range(1, count + 1):
+            part = rows(sorted(upstream, reverse=True)[(page - 1) * 3 : page * 3]).withColumns({"page_number": F.lit(page), "total_pages": F.lit(4)})
+            found = part if found is None else found.unionByName(part)
+        return found
 
     empty = ranges(spark, [(0, 0)]).limit(0)
-    fresh, coverage, complete = sync.sync_pass(fetch, rows(upstream).limit(0), empty, 0, now)
-    assert complete and fresh.count() == 10 and pairs(coverage) == [(0, now - 60)]
-    again, _, _ = sync.sync_pass(fetch, rows(upstream), coverage, 0, now)
+    fresh, coverage = sync.sync_pass(pages(4), rows(upstream).limit(0), empty, 0, now)
+    assert fresh.count() == 10 and pairs(coverage) == [(0, now - 60)]
+    again, _ = sync.sync_pass(pages(4), rows(upstream), coverage, 0, now)
     assert again.count() == 0
-    _, partial, complete = sync.sync_pass(fetch, rows(upstream), empty, 0, now, max_pages=2)
-    assert not complete and pairs(partial) == [(1401, now - 60)]
+    _, partial = sync.sync_pass(pages(2), rows(upstream), empty, 0, now)
+    assert pairs(partial) == [(1401, now - 60)]
+    # Pages behind the first that reaches below the start aren't read.
+    fresh, coverage = sync.sync_pass(pages(4), rows(upstream).limit(0), empty, 1450, now)
+    assert sorted(r.uts for r in fresh.collect()) == [1500, 1600, 1700, 1800, 1900] and pairs(coverage) == [(1450, now - 60)]
+    assert sorted({r.page_number for r in sync.pass_rows(pages(4), 1450).collect()}) == [1, 2]
+    assert tuple(sync.sync_report(pages(4), rows(upstream[:4]), ranges(spark, [(0, 500)]), 0, now).first()) == (4, 6, 0, 4, now - 60 - 500)
+    assert sync.sync_pass(pages(4), rows(upstream), empty, now, now)[0].count() == 0
+
+
+def test_subtraction_keeps_times(spark):
+    schema = "start long, `end` long, verified_at long"
+    held = spark.createDataFrame([(0, 100, 7), (200, 300, 5), (300, 320, 4)], schema)
+    gone = spark.createDataFrame([(10, 20), (20, 30), (290, 310)], "start long, `end` long")
+    assert sorted(tuple(r) for r in interval.subtract(held, gone).select("start", "end", "verified_at").collect()) == [(0, 10, 7), (30, 100, 7), (200, 290, 4), (310, 320, 4)]
+    untimed = interval.subtract(held.drop("verified_at"), gone)
+    assert untimed.columns == ["start", "end"] and untimed.count() == 4
+    single = spark.createDataFrame([(0, 100, 7), (150, 200, 3), (400, 500, 1)], schema)
+    changes = {(r.start, r.end): (r.kind, r.pieces) for r in interval.subtract_changes(single, spark.createDataFrame([(10, 20), (150, 200), (450, 600)], "start long, `end` long")).collect()}
+    assert changes == {(0, 100): ("split", 2), (150, 200): ("removed", 0), (400, 500): ("shrunk", 1)}
+
+
+def test_sync_order(spark):
+    held = ranges(spark, [(100, 200), (300, 400)])
+    assert [(r.start, r.end) for r in sync.fill_order(held, 0, 500).orderBy("place").collect()] == [(400, 500), (200, 300), (0, 100)]
+    assert [tuple(r) for r in sync.extend_window(held, 50, 1000).collect()] == [(400, 940)]
+    assert [tuple(r) for r in sync.extend_window(held.limit(0), 50, 1000).collect()] == [(50, 940)]
+    assert sync.extend_window(held, None, 460).count() == 0
+    left, changes = sync.invalidate(held, 150, 350)
+    assert pairs(left) == [(100, 150), (350, 400)] and changes.count() == 2
+    plays = spark.createDataFrame([(70,), (60,)], "uts long")
+    assert [r[0] for r in sync.history_start(plays, None, 0, True).collect()] == [60]
+    assert sync.history_start(plays, 5, 0, True).count() == sync.history_start(plays, None, 1, True).count() == sync.history_start(plays.limit(0), None, 0, True).count() == 0
+
+
+def test_claims_by_key(spark):
+    rng = np.random.default_rng(4)
+    plays = [(int(k), int(t)) for k, t in zip(rng.integers(0, 6, 500), rng.integers(0, 90, 500), strict=True)]
+    got = {}
+    for r in planner.claims(spark.createDataFrame(plays, "key long, uts long"), 10, 80, 7, ["key"]).orderBy("key", "batch").collect():
+        got.setdefault(r.key, []).append((r.batch, r.claim_start, r.claim_end, r.n))
+    for key in range(6):
+        want, batch, begin, n, last = [], 0, 10, 0, None
+        for t in range(10, 80):
+            here = plays.count((key, t))
+            if not here:
+                continue
+            if n >= 7:
+                want.append((batch, begin, last + 1, n))
+                batch, begin, n = batch + 1, last + 1, 0
+            n, last = n + here, t
+        assert got[key] == [*want, (batch, begin, 80, n)]
