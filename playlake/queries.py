@@ -193,7 +193,7 @@ _on_obs("coverage_normalise", lambda s, d: _coverage(s, d), 'SELECT artist, star
 _on_obs("coverage_total", lambda s, d: interval.total(_coverage(s, d), _A), 'SELECT artist, sum("end" - start)::BIGINT AS covered, min(start) AS first_start, max("end") AS last_end, count(*) AS segments FROM cov GROUP BY artist')
 _on_obs("coverage_union", lambda s, d: interval.union(_coverage(s, d), _week(s), _A).drop("verified_at"), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "(a > 0 OR b > 0)").strip())
 _on_obs("coverage_intersect", lambda s, d: interval.intersect(_coverage(s, d), _week(s), _A), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "a > 0 AND b > 0").strip())
-_on_obs("coverage_subtract", lambda s, d: interval.subtract(_coverage(s, d), _week(s), _A), 'SELECT artist, start, "end" FROM swept', _WEEK, _sweep_sql("cov", "wk", "a > 0 AND b = 0").strip())
+_on_obs("coverage_subtract", lambda s, d: interval.subtract(_coverage(s, d), _week(s), _A), 'SELECT s.artist, s.start, s."end", c.verified_at FROM swept s JOIN cov c ON c.artist = s.artist AND c.start <= s.start AND c."end" >= s."end"', _WEEK, _sweep_sql("cov", "wk", "a > 0 AND b = 0").strip())
 _on_obs("coverage_gaps", lambda s, d: interval.gaps(_coverage(s, d), LO, HOLE, _A), 'SELECT artist, start, "end" FROM swept', _WEEK, "held AS (SELECT * FROM wk WHERE artist IN (SELECT artist FROM cov))", _sweep_sql("held", "cov", "a > 0 AND b = 0").strip())
 _on_obs("coverage_covers", lambda s, d: interval.covers(_coverage(s, d), LO, LO + 3600, _A), f'SELECT artist, bool_or(start <= {LO} AND "end" >= {LO + 3600}) AS covered FROM cov GROUP BY artist')
 _on_obs(
@@ -214,15 +214,20 @@ _on_obs(
 )
 
 
-def _providers(spark):
-    rows = [("rules", LO, HOLE, 0), ("catalogue", LO + 100_000, HI, 0)]
-    return spark.createDataFrame(rows, "provider string, start long, `end` long, verified_at long")
+def _incremental(spark, sf_dir):
+    """Each artist a provider that has looked at its own coverage, over what all of them have."""
+    coverage = _coverage(spark, sf_dir)
+    synced = interval.normalise(coverage.select("start", "end", "verified_at"))
+    return interval.incremental_work(synced, coverage, LO - 10_000, HI + 10_000, "artist")
 
 
-register(
-    "incremental_work",
-    lambda s, d: interval.incremental_work(s.createDataFrame([(LO - 50_000, HI + 50_000, 0)], "start long, `end` long, verified_at long"), _providers(s), LO - 10_000, HI + 10_000),
-    f"SELECT {LO - 10_000}::BIGINT AS start, {LO + 100_000}::BIGINT AS \"end\" UNION ALL SELECT {HOLE}::BIGINT, {HI + 10_000}::BIGINT",
+_on_obs(
+    "incremental_work", _incremental,
+    """SELECT min(t) AS start, max(n) AS "end" FROM (SELECT *, sum(brk) OVER (ORDER BY t, n) AS g FROM (SELECT start AS t, "end" AS n, CASE WHEN start <= max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM swept)) GROUP BY g""",
+    """sy1 AS (SELECT *, CASE WHEN start <= max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM cov)""",
+    """sy2 AS (SELECT min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(brk) OVER (ORDER BY start, "end") AS g FROM sy1) GROUP BY g)""",
+    f"""win AS (SELECT artist, greatest(start, {LO - 10_000})::BIGINT AS start, least("end", {HI + 10_000})::BIGINT AS "end" FROM sy2, (SELECT DISTINCT artist FROM cov) WHERE greatest(start, {LO - 10_000}) < least("end", {HI + 10_000}))""",
+    _sweep_sql("win", "cov", "a > 0 AND b = 0").strip(),
 )
 
 # --- subjects and reconciliation --------------------------------------------------------------------------------------
@@ -280,15 +285,25 @@ _on_obs(
     """SELECT e.id AS edit_id, true AS new_there, o.x AS old_there, NOT o.x AS applied
        FROM live e, LATERAL (SELECT coalesce(bool_or(u.artist = e.artist AND u.track = 'track_1' AND u.album IS NOT DISTINCT FROM e.album), false) AS x FROM live u WHERE u.uts = e.uts) o WHERE e.seq % 4 = 0""",
 )
+
+
+def _partial_edits(spark, sf_dir):
+    """Each user's first observation as an edit: of two users in three the track is given, of two in four the album, which some of them never had."""
+    first = _obs(spark, sf_dir).groupBy(F.col("user_id").alias("u")).agg(F.min_by(F.struct("artist", "track", "album"), "seq").alias("f"))
+    return first.select(
+        F.col("u").alias("edit_id"), "f.artist", F.when(F.col("u") % 3 > 0, F.col("f.track")).alias("track"), F.when(F.col("u") % 4 == 0, F.coalesce("f.album", F.lit("nowhere"))).when(F.col("u") % 4 == 1, "nowhere").alias("album"),
+        F.when(F.col("u") % 5 == 0, "Renamed").alias("new_artist"), F.when(F.col("u") % 5 == 1, "Retitled").alias("new_track"), F.when(F.col("u") % 5 == 2, "Reissue").alias("new_album"),
+    )
+
+
 _on_obs(
-    "discover_edits",
-    lambda s, d: reconcile.discover(
-        s.createDataFrame([("e1", "artist_1", None, None, None, None, "Best"), ("e2", "artist_2", "track_2", None, None, "Two", None), ("e3", "artist_3", None, "album_3", "A3", None, None)], "edit_id string, artist string, track string, album string, new_artist string, new_track string, new_album string"),
-        _live(s, d).withColumn("album_artist", F.lit(None).cast("string")),
-    ),
-    """SELECT DISTINCT e.id AS edit_id, l.artist AS original_artist, l.track AS original_track, l.album AS original_album, coalesce(na, l.artist) AS new_artist, coalesce(nt, l.track) AS new_track, coalesce(nb, l.album) AS new_album
-       FROM (VALUES ('e1', 'artist_1', NULL, NULL, NULL, NULL, 'Best'), ('e2', 'artist_2', 'track_2', NULL, NULL, 'Two', NULL), ('e3', 'artist_3', NULL, 'album_3', 'A3', NULL, NULL)) e(id, artist, track, album, na, nt, nb)
-       JOIN live l ON l.artist = e.artist AND (e.track IS NULL OR e.track = l.track) AND (e.album IS NULL OR e.album = l.album)""",
+    "discover_edits", lambda s, d: reconcile.discover(_partial_edits(s, d), _live(s, d).withColumn("album_artist", F.col("artist"))).drop("original_album_artist"),
+    """SELECT e.edit_id, e.artist AS original_artist, l.track AS original_track, l.album AS original_album, CASE WHEN l.artist IS NOT NULL THEN coalesce(na, l.artist) END AS new_artist, CASE WHEN l.artist IS NOT NULL THEN coalesce(nt, l.track) END AS new_track,
+              CASE WHEN l.artist IS NOT NULL THEN coalesce(nb, l.album) END AS new_album, l.artist AS new_album_artist, CASE WHEN l.artist IS NULL THEN 'no such play' END AS error
+       FROM ed e LEFT JOIN (SELECT DISTINCT artist, track, album FROM live) l ON l.artist = e.artist AND (e.track IS NULL OR e.track = l.track) AND (e.album IS NULL OR e.album = l.album) WHERE l.artist IS NOT NULL OR (e.track IS NOT NULL AND e.album IS NOT NULL)""",
+    "uf AS (SELECT user_id AS u, arg_min({'artist': artist, 'track': track, 'album': album}, seq) AS f FROM obs GROUP BY user_id)",
+    """ed AS (SELECT u AS edit_id, f.artist AS artist, CASE WHEN u % 3 > 0 THEN f.track END AS track, CASE u % 4 WHEN 0 THEN coalesce(f.album, 'nowhere') WHEN 1 THEN 'nowhere' END AS album,
+           CASE WHEN u % 5 = 0 THEN 'Renamed' END AS na, CASE WHEN u % 5 = 1 THEN 'Retitled' END AS nt, CASE WHEN u % 5 = 2 THEN 'Reissue' END AS nb FROM uf)""",
 )
 _on_obs(
     "response_summary", lambda s, d: reconcile.response_summary(_obs(s, d).select(F.col("user_id").alias("edit_id"), F.when(F.col("event_type") != "view", F.col("event_type") != "error").alias("success"))),
@@ -297,7 +312,7 @@ _on_obs(
 )
 _on_obs(
     "delete_manifest", lambda s, d: reconcile.bulk_delete(_live(s, d, LO, HI), _obs(s, d).filter("seq % 3 = 0").groupBy("id").agg(F.max(F.col("seq") % 2 == 0).alias("success"))),
-    f"""SELECT l.id, uts, uts // 86400 AS day, row_number() OVER (PARTITION BY uts // 86400 ORDER BY uts DESC, l.id DESC) AS number, CASE WHEN s IS NULL THEN 'pending' WHEN s THEN 'deleted' ELSE 'failed' END AS status
+    f"""SELECT l.id, uts, row_number() OVER (ORDER BY uts DESC, l.id DESC) AS number, CASE WHEN s IS NULL THEN 'pending' WHEN s THEN 'deleted' ELSE 'failed' END AS status
         FROM live l LEFT JOIN (SELECT id, bool_or(seq % 2 = 0) AS s FROM obs WHERE seq % 3 = 0 GROUP BY id) r ON l.id = r.id WHERE uts >= {LO} AND uts < {HI}""",
 )
 
@@ -498,19 +513,25 @@ register(
        SELECT id, arg_min("at", seq) AS since, max("at" + coalesce(delay, 60)) AS until, count(*) AS n FROM m WHERE e = 'error' GROUP BY id, ep""",
 )
 register(
-    "backoff", lambda s, d: s.range(8).select("id", eventlog.backoff(F.col("id").cast("int"), F.when(F.col("id") % 2 == 1, F.col("id") * 200)).alias("pause")),
-    "SELECT range AS id, least(600, greatest(CASE WHEN range % 2 = 1 THEN range * 200 ELSE 0 END, 60 * 2 ** least(range, 4)))::BIGINT AS pause FROM range(8)",
+    "backoff", lambda s, d: _log(s, d).select("seq", eventlog.backoff((F.col("seq") % 8).cast("int"), F.when(F.col("seq") % 2 == 1, F.col("at") % 900)).alias("pause")),
+    """SELECT event_id AS seq, least(600, greatest(CASE WHEN event_id % 2 = 1 THEN epoch(date_trunc('second', ts))::BIGINT % 900 ELSE 0 END, 60 * 2 ** least(event_id % 8, 4)))::BIGINT AS pause FROM events""",
 )
 register(
-    "policy_matrix", lambda s, d: s.range(8).select((F.col("id") % 2 == 1).alias("dry"), (F.floor(F.col("id") / 2) % 2 == 1).alias("approval"), (F.col("id") >= 4).alias("confirm")).withColumn("outcome", eventlog.decide(F.col("dry"), F.col("approval"), F.col("confirm"))),
-    "SELECT dry, approval, confirm, CASE WHEN dry THEN 'report' WHEN approval OR confirm THEN 'awaiting_approval' ELSE 'ready' END AS outcome FROM (SELECT range % 2 = 1 AS dry, (range // 2) % 2 = 1 AS approval, range >= 4 AS confirm FROM range(8))",
+    "policy_matrix", lambda s, d: _log(s, d).select("seq", eventlog.decide(F.col("event") == "failed", F.col("requires_approval"), F.col("dismiss")).alias("outcome")),
+    "SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'report' WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 'awaiting_approval' ELSE 'ready' END AS outcome FROM events",
 )
 register("activity", lambda s, d: eventlog.activity(_log(s, d)).select("seq", "id", "event"), "SELECT event_id AS seq, user_id AS id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'failed' ELSE 'expanded' END AS event FROM events ORDER BY event_id DESC LIMIT 100")
 
 # --- claims and sync --------------------------------------------------------------------------------------------------
 
 _on_obs("claims", lambda s, d: planner.claims(_live(s, d), LO, HI, 5, _A).groupBy("artist").agg(F.sum("n").alias("n"), F.sum(F.col("claim_end") - F.col("claim_start")).alias("seconds"), F.min("claim_start").alias("first"), F.max("claim_end").alias("last")), f"SELECT artist, count(*) AS n, {HI - LO}::BIGINT AS seconds, {LO}::BIGINT AS first, {HI}::BIGINT AS last FROM live WHERE uts >= {LO} AND uts < {HI} GROUP BY artist")
-register("claim_batches", lambda s, d: planner.claims(_live(s, d), LO, HI, 5, _A))
+_on_obs(
+    "claim_batches", lambda s, d: planner.claims(_live(s, d), LO, HI, 5, _A),
+    f"""SELECT artist, batch, coalesce(lag(claim_end) OVER (PARTITION BY artist ORDER BY batch), {LO})::BIGINT AS claim_start, claim_end, n FROM (SELECT artist, batch, coalesce(max(CASE WHEN closed THEN uts + 1 END), {HI})::BIGINT AS claim_end, max(n)::BIGINT AS n FROM fo GROUP BY artist, batch)""",
+    f"sec AS (SELECT artist, uts, count(*) AS c, row_number() OVER (PARTITION BY artist ORDER BY uts) AS k, max(uts) OVER (PARTITION BY artist) AS last FROM live WHERE uts >= {LO} AND uts < {HI} GROUP BY artist, uts)",
+    """fo AS (WITH RECURSIVE f AS (SELECT artist, k, uts, c AS n, 0::BIGINT AS batch, c >= 5 AND uts <> last AS closed FROM sec WHERE k = 1
+        UNION ALL SELECT s.artist, s.k, s.uts, CASE WHEN f.n >= 5 THEN s.c ELSE f.n + s.c END, f.batch + (f.n >= 5)::BIGINT, CASE WHEN f.n >= 5 THEN s.c ELSE f.n + s.c END >= 5 AND s.uts <> s.last FROM f JOIN sec s ON s.artist = f.artist AND s.k = f.k + 1) SELECT * FROM f)""",
+)
 _on_obs(
     "spot_chunks", lambda s, d: planner.chunks(_live(s, d), 7, _A).groupBy("artist", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("uts").alias("first_uts")),
     "SELECT artist, (rn - 1) // 7 AS batch, count(*) AS n, min(uts) AS first_uts FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY uts, id) AS rn FROM live) GROUP BY ALL",
@@ -546,7 +567,7 @@ def _releases(spark, sf_dir) -> DataFrame:
         F.col("l_partkey").alias("key"), F.concat(n.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.col("p_name"), pick(4, ["", " (Deluxe)", "", " Live"])).alias("title"), "p_name",
         F.when(n % 13 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), pick(5, ["US", "JP", "GB", "JP", None]).alias("country"), pick(7, [None, "demo", "deluxe edition", "", "bonus disc", None, "clean"]).alias("disambiguation"),
         pick(6, ["Official", None, "Promotion", "Bootleg", "Official", "Withdrawn"]).alias("status"), pick(3, ["Album", "Single", "EP"]).alias("primary_type"),
-        F.when(n % 9 == 0, F.array(F.lit("Live"))).otherwise(F.array().cast("array<string>")).alias("secondary_types"), F.array(F.when(n % 10 == 0, "Various Artists").otherwise("Someone")).alias("artist_credit"),
+        F.when(n % 9 == 0, F.array(F.lit("Live"))).otherwise(F.array().cast("array<string>")).alias("secondary_types"), F.array(F.when(n % 10 == 0, F.element_at(F.array(*[F.lit(v) for v in ("Various Artists", "VA", "various", "V/A")]), (F.floor(n / 10) % 4 + 1).cast("int"))).otherwise("Someone")).alias("artist_credit"),
         (n * 10 + F.col("l_linenumber")).alias("pos"),
     )
 
@@ -572,7 +593,7 @@ register("release_rank", lambda s, d: releases.ranked(_releases(s, d), ["key"]).
 
 def _gap(spark, sf_dir):
     ship(spark)
-    return releases.ranked_with_gap(_releases(spark, sf_dir), ["key"])
+    return releases.ranked_with_gap(_releases(spark, sf_dir), ["key"], 20)
 
 
 register("release_rank_gap", _gap)
@@ -605,7 +626,7 @@ register("best_match", _matched, f"SELECT key, pos FROM (SELECT *, row_number()
 
 def _bodies(spark, sf_dir) -> DataFrame:
     """Live plays of each artist as JSON pages: of two thirds as arrays, of the others as bare objects; some rows play just now."""
-    plays = _live(spark, sf_dir).filter("seq % 10 = 0")
+    plays = _live(spark, sf_dir)
     track = F.concat(F.lit('{"name":"'), F.col("track"), F.lit('","artist":{"#text":"'), F.col("artist"), F.lit('"},"album":{"#text":"'), F.coalesce("album", F.lit("")), F.lit('"}'), F.when(F.col("seq") % 70 == 0, ',"@attr":{"nowplaying":"true"}').otherwise(F.concat(F.lit(',"date":{"uts":"'), F.col("uts").cast("string"), F.lit('"}'))), F.lit("}"))
     head = F.concat(F.lit(',"@attr":{"page":"'), F.col("seq").cast("string"), F.lit('","totalPages":"5000"}}}'))
     body = F.concat(F.lit('{"recenttracks":{"track":'), F.when(F.col("seq") % 30 == 0, track).otherwise(F.concat(F.lit("["), track, F.lit(","), track, F.lit("]"))), head)
@@ -614,11 +635,11 @@ def _bodies(spark, sf_dir) -> DataFrame:
 
 _on_obs(
     "api_page_parse", lambda s, d: pages.api_tracks(_bodies(s, d)).groupBy("page_number", "name", "artist", "album", "timestamp").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT seq::INT AS page_number, track AS name, artist, nullif(coalesce(album, ''), '') AS album, uts AS timestamp, CASE WHEN seq % 30 = 0 THEN 1 ELSE 2 END::BIGINT AS n FROM live WHERE seq % 10 = 0 AND seq % 70 <> 0 AND seq % 110 <> 0",
+    "SELECT seq::INT AS page_number, track AS name, artist, nullif(coalesce(album, ''), '') AS album, uts AS timestamp, CASE WHEN seq % 30 = 0 THEN 1 ELSE 2 END::BIGINT AS n FROM live WHERE seq % 70 <> 0 AND seq % 110 <> 0",
 )
 _on_obs(
     "api_page_heads", lambda s, d: pages.api_pages(_bodies(s, d)).groupBy("has_next", "error").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tracks")).alias("tracks")),
-    """SELECT seq % 110 <> 0 AND seq < 5000 AS has_next, CASE WHEN seq % 110 = 0 THEN 'error 6: User not found' END AS error, count(*) AS n, sum(CASE WHEN seq % 110 = 0 THEN 0 WHEN seq % 30 = 0 THEN 1 ELSE 2 END)::BIGINT AS tracks FROM live WHERE seq % 10 = 0 GROUP BY ALL""",
+    """SELECT seq % 110 <> 0 AND seq < 5000 AS has_next, CASE WHEN seq % 110 = 0 THEN 'error 6: User not found' END AS error, count(*) AS n, sum(CASE WHEN seq % 110 = 0 THEN 0 WHEN seq % 30 = 0 THEN 1 ELSE 2 END)::BIGINT AS tracks FROM live GROUP BY ALL""",
 )
 register(
     "page_links", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(pages.links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n")),
@@ -639,12 +660,15 @@ def _charts(spark, sf_dir) -> DataFrame:
     """Plays as HTML pages of a chart table."""
     ship(spark)
     row = F.concat(F.lit('<tr data-timestamp="'), F.col("uts").cast("string"), F.lit('"><td class="chartlist-name"><a href="#">'), F.col("track"), F.lit('</a></td><td class="chartlist-artist"><a>'), F.col("artist"), F.lit('</a></td><td><form data-edit-scrobble><input name="album_name" value="'), F.coalesce("album", F.lit("")), F.lit('"></form><span class="chartlist-count-bar-value">1,234 plays</span></td></tr>'))
-    plays = _live(spark, sf_dir).filter("seq % 10 = 0").select(F.col("seq").alias("page"), row.alias("row"))
+    plays = _live(spark, sf_dir).select(F.col("seq").alias("page"), row.alias("row"))
     return pages.recent_plays(plays.select("page", F.concat(F.lit('<table class="chartlist"><tbody>'), F.col("row"), F.lit("</tbody></table>")).alias("html")))
 
 
-_on_obs("html_chart_rows", lambda s, d: _charts(s, d).select("page", "name", "artist", "timestamp", "album", "playcount"), "SELECT seq AS page, track AS name, artist, uts AS timestamp, nullif(coalesce(album, ''), '') AS album, 1234::BIGINT AS playcount FROM live WHERE seq % 10 = 0")
-register(
-    "edit_response", lambda s, d: s.range(6).select("id", pages.edit_outcome(F.when(F.col("id") % 3 == 0, '<div class="alert alert-success">ok</div>').when(F.col("id") % 3 == 1, '<div class="alert-success"></div><p class="alert-danger">no</p>').otherwise("<p>"), F.when(F.col("id") < 3, 200).otherwise(500)).alias("r")).select("id", "r.success", "r.message"),
-    "SELECT range AS id, range = 0 AS success, CASE WHEN range % 3 = 1 THEN 'edit failed' WHEN range = 0 THEN 'edit successful' ELSE 'edit failed with status ' || CASE WHEN range < 3 THEN '200' ELSE '500' END END AS message FROM range(6)",
+_on_obs("html_chart_rows", lambda s, d: _charts(s, d).select("page", "name", "artist", "timestamp", "album", "playcount"), "SELECT seq AS page, track AS name, artist, uts AS timestamp, nullif(coalesce(album, ''), '') AS album, 1234::BIGINT AS playcount FROM live")
+_on_obs(
+    "edit_response",
+    lambda s, d: _obs(s, d).select("seq", pages.edit_outcome(F.concat(F.lit("<p>"), "track", F.lit("</p>"), F.when(F.col("seq") % 3 == 0, '<div class="alert alert-success">ok</div>').when(F.col("seq") % 3 == 1, '<div class="alert-success"></div><p class="alert-danger">no</p>').otherwise("<p>")), F.when(F.col("seq") % 5 < 4, 200).otherwise(500)).alias("r")).select("seq", "r.success", "r.message"),
+    """SELECT seq, seq % 3 = 0 AND seq % 5 < 4 AS success, CASE WHEN seq % 3 = 1 THEN 'edit failed' WHEN seq % 3 = 0 AND seq % 5 < 4 THEN 'edit successful' ELSE 'edit failed with status ' || CASE WHEN seq % 5 < 4 THEN '200' ELSE '500' END END AS message FROM obs""",
 )
+
+from playlake import service_queries  # noqa: E402, F401  (registers its queries)

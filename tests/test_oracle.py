@@ -38,4 +38,4 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_runs_without_sql(spark):
     for name in sorted(set(QUERIES) - set(ORACLE_SQL)):
-        assert QUERIES[name](spark, DATA).columns
+        assert QUERIES[name](spark, DATA).count() > 0
