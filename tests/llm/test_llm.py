@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playlake.llm import huffman, minhash, quality as quality_module, queries, toxicity as toxicity_module
+from playlake.llm import decontaminate, huffman, minhash, quality as quality_module, queries, toxicity as toxicity_module
 from playlake.llm.components import connected_components
 from playlake.llm.decontaminate import benchmark_hits, hits_digest, longest_matches, without_benchmark
 from playlake.llm.dedup_exact import exact_duplicates
@@ -200,7 +200,10 @@ def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 50, "block_words": 30}])
+PASSES = [{}, {"shard_words": 50, "block_words": 30}, {"shard_words": 300, "block_words": 30, "pass_words": 60}]
+
+
+@pytest.mark.parametrize("options", PASSES)
 def test_benchmark_hits(docs, benchmark, options):
     windows = defaultdict(set)
     for r in benchmark.collect():
@@ -226,7 +229,7 @@ def test_benchmark_hits(docs, benchmark, options):
     assert {18, 19} <= bad and Counter(r["doc_id"] for r in left.collect()) == Counter(r[0] for r in rows() if r[0] not in bad)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 50, "block_words": 30}])
+@pytest.mark.parametrize("options", PASSES)
 def test_benchmark_without_ids(spark, tmp_path, options):
     """Passages whose item_id is null hit like others, as in the query's SQL; in the pipeline's stage their documents go."""
     import corpus_pipeline
@@ -273,8 +276,58 @@ def test_benchmark_hits_large_vocabulary(spark):
 
 def test_longest_matches(spark, docs, benchmark):
     found = {(r["item_id"], r["at"]): r for r in longest_matches(docs.filter("doc_id is not null"), benchmark).collect()}
-    assert found[1, 0]["length"] == 13 and found[1, 0]["doc_id"] == 18 and found[1, 0]["place"] == 1
-    assert found[1, 15]["length"] >= 5 and found[10, 0]["doc_id"] == 14 and found[10, 0]["place"] == 0
+    assert found[1, 0]["length"] == 20 and found[1, 0]["doc_id"] == 18 and found[1, 0]["place"] == 1
+    assert found[1, 15]["length"] == 5 and found[10, 0]["length"] == 40 and found[10, 0]["doc_id"] == 14 and found[10, 0]["place"] == 0
+
+
+@pytest.mark.parametrize("options", PASSES)
+def test_longest_matches_against_all_places(spark, options):
+    """Every suffix, few different words, so that long and repeated matches are many; documents of copies tie throughout."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"a{k}" for k in rng.integers(0, 3, n)]
+    items = [(k, draw(int(rng.integers(1, 70)))) for k in range(12)]
+    docs = [(k, draw(int(rng.integers(0, 60)))) for k in range(10)] + [(10 + k, [*draw(3), "other", *items[k][1], *draw(2)]) for k in range(8)] + [(30 + k, items[0][1] * 2) for k in range(3)]
+    want = {}
+    for item, words in items:
+        for at in range(len(words)):
+            best = 0
+            for _, text in docs:
+                for place in range(len(text)):
+                    n = 0
+                    while at + n < len(words) and place + n < len(text) and words[at + n] == text[place + n]:
+                        n += 1
+                    best = max(best, n)
+            if best:
+                want[item, at] = best
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = longest_matches(texts, benchmark, **options).collect()
+    assert {(r["item_id"], r["at"]): r["length"] for r in got} == want
+    held, texts = dict(items), dict(docs)
+    for r in got:
+        assert held[r["item_id"]][r["at"] : r["at"] + r["length"]] == texts[r["doc_id"]][r["place"] : r["place"] + r["length"]]
+
+
+def test_a_passage_of_many_items_in_many_places():
+    """One look-up for all items that have a window, one mark for each place: a sum and no product."""
+    words = [b"p%d" % k for k in range(20)]
+    queries_ = decontaminate.Queries([(k, words) for k in range(500)])
+    assert len(queries_.first) == 8 and len(queries_.items) == 8 * 500
+
+    class Block:
+        value = queries_
+
+    ranges = decontaminate.SuffixArray.ranges
+    batch = decontaminate._hits([(1, (words + [b"x"]) * 300), (2, [b"y"])], [Block], 13)
+    assert batch.column("n_hit").to_pylist() == [6000, 0] and len(batch.column("items")[0]) == 500 and len(batch.column("spans")[0]) == 300
+    array = decontaminate.SuffixArray(decontaminate._stream([(1, (words + [b"x"]) * 300)], queries_.vocabulary)[0])
+    low, high = ranges(array, queries_, queries_.first, queries_.size)
+    assert (high - low).tolist() == [300] * 8
+
+
+def test_spans_of_hits(spark, docs, benchmark):
+    spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in benchmark_hits(docs.filter("doc_id in (18, 19, 20)"), benchmark).collect()}
+    assert spans == {18: [(1, 21)], 19: [(0, 2)], 20: []}
 
 
 def test_empty_benchmark(docs, benchmark):
