@@ -4,9 +4,10 @@ Writing: a record's bytes end with two line breaks, so Spark's text writer with
 files, compressed and committed by Spark on any file system.  A capture has a request, a response (or, where an equal payload has
 a response already, a revisit that refers to it) and a metadata record, tied by WARC-Concurrent-To.
 
-Reading: each file is read by Spark as one binary row and cut into records by Content-Length; files of concatenated gzip
-members work as well.  The writer therefore bounds a file by :data:`FILE_ROWS`; a foreign archive needs executor
-memory of about three times its size per core.
+Reading: Spark's text reader cuts a file, compressed or not, where a record may begin, and each task puts the pieces together to
+records by their Content-Length, one after another: it holds one record at a time, however long the file is.  Files of
+concatenated gzip members work as well.  A file is read by one task, so the writer bounds its records by :data:`FILE_ROWS`; its
+bytes are those of a partition, which adaptive execution keeps near its advised size.
 
 Assembly: request and metadata records name their response in WARC-Concurrent-To; one grouping by that id gives one
 nested row per capture.  Ids are unique, so no group exceeds the records of its capture.
@@ -20,13 +21,13 @@ id, url and payload aren't read.  A record that is cut off at a file's end raise
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playlake.llm.scratch import materialize, new_path
+from playlake.llm.scratch import Scope, materialize, new_path
+from playlake.llm.worker import bound_batches
 
 EOL = "\r\n"
 FILE_ROWS = 2000
@@ -89,15 +90,32 @@ _ARROW = pa.schema([(n, pa.binary() if n == "block" else pa.string()) for n in (
 _FIELDS = {b"warc-record-id": "record_id", b"warc-type": "record_type", b"warc-target-uri": "target_uri", b"warc-concurrent-to": "concurrent_to", b"warc-refers-to": "refers_to", b"warc-payload-digest": "payload_digest"}
 
 
-def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of a plain or gzipped archive."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while content[at : at + 5] == b"WARC/":
-        end = content.index(b"\r\n\r\n", at)
+#: Where a record may begin, in any version of the format.
+MARK = b"WARC/1."
+
+
+class _Records:
+    """Pieces of a file between marks → its records."""
+
+    def __init__(self) -> None:
+        self.open: bytearray | None = None
+
+    def add(self, piece: bytes) -> dict | None:
+        """The record that this piece ends, if it does; a mark within a record is part of it."""
+        if self.open is None:
+            if not piece.strip():  # before the first record
+                self.open = bytearray()
+                return None
+            raise ValueError("this isn't a WARC file")
+        self.open += (MARK if self.open else b"") + piece
+        return self._ended()
+
+    def _ended(self) -> dict | None:
+        end = self.open.find(b"\r\n\r\n")
+        if end < 0:
+            return None
         row, length = dict.fromkeys(_ARROW.names), 0
-        for line in content[at:end].split(b"\r\n")[1:]:
+        for line in bytes(self.open[:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             name, value = name.strip().lower(), value.strip()
             if name == b"content-length":
@@ -105,33 +123,58 @@ def parse_records(content: bytes) -> Iterator[dict]:
             elif name in _FIELDS:
                 row[_FIELDS[name]] = value.decode("utf-8", "replace").strip("<>") if name != b"warc-target-uri" else value.decode("utf-8", "replace")
         start = end + 4
-        if start + length > len(content):
+        if len(self.open) < start + length:
+            return None
+        if self.open[start + length :].strip():
+            raise ValueError("a WARC record goes on behind its length")
+        row["block"] = bytes(self.open[start : start + length])
+        self.open = bytearray()
+        return row
+
+    def end(self) -> None:
+        if self.open:
             raise ValueError("a WARC record is cut off")
-        row["block"] = content[start : start + length]
-        yield row
-        at = start + length
-        while content[at : at + 2] == b"\r\n":
-            at += 2
+
+
+def parse_records(content: bytes) -> Iterator[dict]:
+    """The records of a whole archive in memory, plain or gzipped."""
+    if content[:2] == b"\x1f\x8b":
+        import gzip
+
+        content = gzip.decompress(content)
+    records = _Records()
+    for piece in content.split(MARK) if content else []:
+        if (row := records.add(piece)) is not None:
+            yield row
+    records.end()
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    records, file, rows, size = _Records(), None, [], 0
     for batch in batches:
-        for content in batch.column("content"):
-            rows, size = [], 0
-            for row in parse_records(content.as_py()):
+        for piece, name in zip(batch.column("piece"), batch.column("file").to_pylist(), strict=True):
+            if name != file:
+                records.end()
+                records, file = _Records(), name
+            if (row := records.add(piece.as_py())) is not None:
                 rows.append(row)
                 size += len(row["block"])
-                if size > 4 << 20:
+                if size > 4 << 20 or len(rows) >= 1000:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    records.end()
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
 
+def read_warc(spark: SparkSession, path: str, glob: str = "*.gz") -> DataFrame:
+    """One row per record of the archives below ``path``.
 
-def read_warc(spark: SparkSession, path: str, glob: str = "*.txt.gz") -> DataFrame:
-    """One row per record of the archives below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
-    return files.mapInArrow(_parse, RECORD)
+    The text reader keeps a line's bytes as they are, so payloads in any encoding come through.
+    """
+    bound_batches(spark)
+    lines = spark.read.option("lineSep", MARK.decode()).option("pathGlobFilter", glob).text(path)
+    return lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file")).mapInArrow(_parse, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -153,7 +196,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` as archives, read them back, and assemble the captures."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_warc(captures_to_records(pages, id_col, url_col, payload_col, min_bytes), path)
+    with Scope(spark):
+        write_warc(captures_to_records(pages, id_col, url_col, payload_col, min_bytes), path)
     return assemble(read_warc(spark, path))
 
 

@@ -1,6 +1,7 @@
 """The operators of ``playlake.llm`` against brute force, round trips, and tables with every odd case."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -562,6 +563,35 @@ def test_archive_errors(spark):
     assert assemble(read_warc(spark, path)).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Gzip members one after another, plain files, other versions, payloads that aren't UTF-8 or hold marks of records; cut ones are refused."""
+    def record(number, block, version=b"1.0", more=b""):
+        return b"WARC/%s\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (version, number, more, len(block), block)
+
+    blocks = [b"\xff\xfe latin \xe9", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n", b"", b"WARC/1.", b"\r\n\r\n\r\n", b"x" * 3_000_000]
+    parts = [record(k, b, b"1.%d" % (k % 2), b"WARC-Target-URI: http://a/WARC/1.0\r\n" * (k == 2)) for k, b in enumerate(blocks)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "c.warc").write_bytes(b"".join(parts))
+    for glob, n in (("*.gz", 2), ("*", 3), ("c*", 1)):
+        got = read_warc(spark, str(tmp_path), glob).collect()
+        assert Counter((r["record_id"], bytes(r["block"])) for r in got) == Counter({(f"urn:{k}", b): n for k, b in enumerate(blocks)})
+    assert [r["block"] for r in parse_records(b"".join(parts))] == blocks and [r["block"] for r in parse_records(gzip.compress(b"".join(parts)))] == blocks
+    (tmp_path / "d.warc").write_bytes(b"".join(parts)[:-100])
+    with pytest.raises(Exception, match="cut off"):
+        read_warc(spark, str(tmp_path), "d*").collect()
+    (tmp_path / "e.warc").write_bytes(b"<html>")
+    with pytest.raises(Exception, match="isn't a WARC file"):
+        read_warc(spark, str(tmp_path), "e*").collect()
+
+
+def test_archive_of_large_pages(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("WARC/1.1 é "), F.col("id").cast("string")), F.when(F.col("id") == 7, 1_500_000).otherwise(3000)).alias("html"))
+    want = {r["page_id"]: (r["n"], r["d"]) for r in pages.select("page_id", F.octet_length("html").alias("n"), F.sha1("html").alias("d")).collect()}
+    got = {r["page_id"]: (r["payload_bytes"], base64.b32decode(r["payload_digest"]).hex()) for r in capture_digest(round_trip(pages)).collect()}
+    assert got == want and want[7][0] > 16 << 20
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
