@@ -10,28 +10,34 @@ sees one version, whatever is written meanwhile.
   shard's total doesn't count: one of many small files is merged, however large it is.
   Rows are dealt round, so a large arrival is spread over files and tasks.
 * ``read`` gives the rows of one version; a store with only empty arrivals has their columns and no rows.
-* ``vacuum`` deletes files that no kept version names.
+* ``vacuum`` deletes files that no kept version names, and what failed jobs left behind long ago.
 
-A commit creates ``<version>.json`` from a temporary file by a rename that fails if the name is taken; the writer that loses
-reads the winner's manifest and tries again.  A failed or lost job leaves files that no manifest names.
-On a store whose rename replaces files silently, commits need one writer.
+A commit writes the manifest beside its place and then gives it its name in one step that fails if the name is taken: a hard
+link where the store is in a file system of this machine, else a rename that doesn't replace, which HDFS does in one step.  The
+writer that loses reads the winner's manifest and tries again.  On an object store, which has no such step, commits need one writer.
 
-Only names and sizes pass through the driver: a manifest has one entry for each file, which compaction keeps few.
+A manifest names parts, files of at most :data:`PART_SHARDS` shards' entries.  Parts that a change doesn't touch are named again, so a
+commit costs what it changes.  Shards are read as folders, so that only their names, not those of files, pass to the reader.
 
-Defined results: an empty arrival adds no shard; null arrival names are one arrival; rows that repeat are all kept; all
+Defined results: an empty arrival adds no shard; null arrival names are one arrival of no name; rows that repeat are all kept; all
 columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 TARGET_BYTES, FAN_IN, RATIO = 64 << 20, 4, 4
+PART_SHARDS, ORPHAN_SECONDS = 500, 86_400
 
 
 @dataclass(frozen=True)
@@ -41,14 +47,17 @@ class Shard:
     id: str
     files: tuple[str, ...]
     size: int
-    arrivals: tuple[str, ...]
+    arrivals: tuple[str | None, ...]
     #: Bytes of each file.
     sizes: tuple[int, ...]
+    #: Whether these are all files of its folder.
+    whole: bool = True
 
     def only(self, keep) -> Shard | None:
         """The shard with the files for which ``keep`` (name, bytes → bool) holds; None without any."""
         found = [(f, n) for f, n in zip(self.files, self.sizes, strict=True) if keep(f, n)]
-        return Shard(self.id, tuple(f for f, _ in found), sum(n for _, n in found), self.arrivals, tuple(n for _, n in found)) if found else None
+        whole = self.whole and len(found) == len(self.files)
+        return Shard(self.id, tuple(f for f, _ in found), sum(n for _, n in found), self.arrivals, tuple(n for _, n in found), whole) if found else None
 
 
 class Store:
@@ -70,24 +79,54 @@ class Store:
     def versions(self) -> list[int]:
         return sorted(int(n[:-5]) for n, _ in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
 
+    def _json(self, name: str) -> dict:
+        stream = self._fs.open(self._java.Path(f"{self.path}/manifests/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, what: dict):
+        path = self._java.Path(f"{self.path}/manifests/{name}")
+        stream = self._fs.create(path, False)
+        stream.write(json.dumps(what).encode())
+        stream.close()
+        return path
+
     def manifest(self, version: int | None = None) -> dict:
-        """What a version's manifest says, by default the latest's."""
+        """What a version's manifest says, by default the latest's: version, parts (name → shards), columns."""
         known = self.versions()
         if version is None:
             version = known[-1] if known else 0
         if not version:
-            return {"version": 0, "shards": [], "columns": None}
-        stream = self._fs.open(self._java.Path(f"{self.path}/manifests/{version:08d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+            return {"version": 0, "parts": {}, "columns": None}
+        said = self._json(f"{version:08d}.json")
+        return said | {"parts": {name: [Shard(s["id"], tuple(s["files"]), s["size"], tuple(s["arrivals"]), tuple(s["sizes"]), s["whole"]) for s in self._json(name)["shards"]] for name in said["parts"]}}
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, by default of the latest."""
-        found = self.manifest(version)["shards"]
-        # Manifests of older stores have no bytes of single files; equal ones stand for them.
-        return [Shard(s["id"], tuple(s["files"]), s["size"], tuple(s["arrivals"]), tuple(s.get("sizes") or [s["size"] // len(s["files"])] * len(s["files"]))) for s in found]
+        return [s for part in self.manifest(version)["parts"].values() for s in part]
+
+    def _publish(self, temporary, name: str) -> bool:
+        """Give a written file its name, in one step, unless the name is taken."""
+        final = self._java.Path(f"{self.path}/manifests/{name}")
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            self._fs.delete(temporary, False)
+            return True
+        none = self._java.Options.Rename.NONE
+        options = self.spark._sc._gateway.new_array(self._java.Options.Rename, 1)
+        options[0] = none
+        try:
+            self._java.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, final, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        return True
 
     def commit(self, change, columns: str | None = None) -> int:
         """Apply ``change`` (list of shards → list of shards) to the latest version and publish the result as the next.
@@ -95,34 +134,43 @@ class Store:
         ``columns`` is the schema of new rows as JSON; without it that of the version before stays.
         """
         while True:
-            known = self.versions()
-            version = (known[-1] if known else 0) + 1
-            shards, known_columns = change(self.shards(version - 1)), self.manifest(version - 1)["columns"]
-            temporary, final = (self._java.Path(f"{self.path}/manifests/{n}") for n in (f".{uuid.uuid4().hex}", f"{version:08d}.json"))
-            stream = self._fs.create(temporary, False)
-            stream.write(json.dumps({"version": version, "columns": columns or known_columns, "shards": [asdict(s) for s in shards]}).encode())
-            stream.close()
-            if not self._fs.exists(final) and self._fs.rename(temporary, final):
+            before = self.manifest()
+            version = before["version"] + 1
+            wanted = change([s for part in before["parts"].values() for s in part])
+            left, parts = set(wanted), []
+            for name, part in before["parts"].items():
+                if left.issuperset(part):
+                    parts.append(name)
+                    left.difference_update(part)
+            fresh = [s for s in wanted if s in left]
+            made = [f"part-{uuid.uuid4().hex}.json" for _ in range(0, len(fresh), PART_SHARDS)]
+            for k, name in enumerate(made):
+                self._write(name, {"shards": [asdict(s) for s in fresh[k * PART_SHARDS : (k + 1) * PART_SHARDS]]})
+            temporary = self._write(f".{uuid.uuid4().hex}", {"version": version, "columns": columns or before["columns"], "parts": parts + made})
+            if self._publish(temporary, f"{version:08d}.json"):
                 return version
-            self._fs.delete(temporary, False)
+            for name in (temporary.getName(), *made):
+                self._fs.delete(self._java.Path(f"{self.path}/manifests/{name}"), False)
 
     # -- data
 
-    def _written(self, folder: str, arrivals: tuple[str, ...]) -> Shard | None:
+    def _written(self, folder: str, arrivals: tuple[str | None, ...]) -> Shard | None:
         found = [(n, size) for n, size in self._names(f"shards/{folder}") if n.startswith("part-")]
         return Shard(folder, tuple(n for n, _ in found), sum(s for _, s in found), arrivals, tuple(s for _, s in found)) if found else None
 
     def append(self, rows: DataFrame, arrival_col: str | None = None) -> int:
         """Add rows, one shard for each value of ``arrival_col`` (without it, one shard); the new version."""
         base = uuid.uuid4().hex
-        arrival = F.coalesce(F.col(arrival_col).cast("string"), F.lit("__null")) if arrival_col else F.lit("all")
+        # A name's first character tells it from no name.
+        arrival = F.coalesce(F.concat(F.lit("a"), F.col(arrival_col).cast("string")), F.lit("null")) if arrival_col else F.lit("aall")
         mark = "__arrival"
         while mark in (c.lower() for c in rows.columns):
             mark += "_"
         rows.withColumn(mark, arrival).write.option("compression", "zstd").partitionBy(mark).parquet(f"{self.path}/shards/{base}")
         new = []
         for name, _ in sorted(self._names(f"shards/{base}")):
-            if name.startswith(f"{mark}=") and (shard := self._written(f"{base}/{name}", (name[len(mark) + 1 :],))):
+            value = unquote(name[len(mark) + 1 :])
+            if name.startswith(f"{mark}=") and (shard := self._written(f"{base}/{name}", (value[1:] if value[0] == "a" else None,))):
                 new.append(shard)
         return self.commit(lambda shards: shards + new, rows.schema.json())
 
@@ -159,9 +207,9 @@ class Store:
     def _merged(self, group: list[Shard]) -> Shard:
         target = uuid.uuid4().hex
         files = max(1, round(sum(s.size for s in group) / self.target_bytes))
-        rows = self._read(group)
+        rows = self._read(group, self.manifest()["columns"])
         rows.repartition(files).write.option("compression", "zstd").parquet(f"{self.path}/shards/{target}")
-        return self._written(target, tuple(sorted({a for s in group for a in s.arrivals})))
+        return self._written(target, tuple(sorted({a for s in group for a in s.arrivals}, key=lambda a: (a is None, a or ""))))
 
     @staticmethod
     def _replacing(merges):
@@ -175,28 +223,43 @@ class Store:
 
         return change
 
-    def _read(self, shards: list[Shard]) -> DataFrame:
-        paths = [f"{self.path}/shards/{s.id}/{f}" for s in shards for f in s.files]
-        return self.spark.read.parquet(*paths)
+    def _read(self, shards: list[Shard], columns: str) -> DataFrame:
+        at = lambda name: str(self._java.Path(self.path, name))
+        paths = [p for s in shards for p in ([at(f"shards/{s.id}")] if s.whole else [at(f"shards/{s.id}/{f}") for f in s.files])]
+        return self.spark.read.schema(StructType.fromJson(json.loads(columns))).parquet(*paths)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version; None for a store that nothing was appended to."""
-        shards = self.shards(version)
+        shards, columns = self.shards(version), self.manifest(version)["columns"]
         if shards:
-            return self._read(shards)
-        columns = self.manifest(version)["columns"]
+            return self._read(shards, columns)
         return self.spark.createDataFrame([], StructType.fromJson(json.loads(columns))) if columns else None
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the files that none of the last versions names, and the older manifests; of how many shards."""
+    def vacuum(self, keep_versions: int = 1, orphan_seconds: int = ORPHAN_SECONDS) -> int:
+        """Delete the files that none of the last versions names, and the older manifests; of how many shards.
+
+        Folders and parts that no version at all names are those of jobs that failed or still run: they go when they are older than ``orphan_seconds``.
+        """
         known = self.versions()
-        named, old = ({(s.id, f) for v in versions for s in self.shards(v) for f in s.files} for versions in (known[-keep_versions:], known[:-keep_versions]))
-        gone, kept = old - named, {shard for shard, _ in named}
-        for shard in {shard for shard, _ in gone} - kept:
-            self._fs.delete(self._java.Path(f"{self.path}/shards/{shard}"), True)
+        kept, old = known[-keep_versions:], known[:-keep_versions]
+        said = {v: self.manifest(v)["parts"] for v in known}
+        files = lambda versions: {(s.id, f) for v in versions for part in said[v].values() for s in part for f in s.files}
+        named, parts = files(kept), {p for v in kept for p in said[v]}
+        gone, shards = files(old) - named, {shard for shard, _ in named}
+        delete = lambda name, deep=False: self._fs.delete(self._java.Path(f"{self.path}/{name}"), deep)
+        for shard in {shard for shard, _ in gone} - shards:
+            delete(f"shards/{shard}", True)
         for shard, file in gone:
-            if shard in kept:
-                self._fs.delete(self._java.Path(f"{self.path}/shards/{shard}/{file}"), False)
-        for version in known[:-keep_versions]:
-            self._fs.delete(self._java.Path(f"{self.path}/manifests/{version:08d}.json"), False)
+            if shard in shards:
+                delete(f"shards/{shard}/{file}")
+        for version in old:
+            delete(f"manifests/{version:08d}.json")
+        tops, limit = {shard.split("/")[0] for shard in shards}, (time.time() - orphan_seconds) * 1000
+        for folder, held in (("shards", tops), ("manifests", parts)):
+            at = self._java.Path(f"{self.path}/{folder}")
+            for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                name = status.getPath().getName()
+                past = name in {p for v in old for p in said[v]}
+                if name not in held and not name[:-5].isdigit() and (past or status.getModificationTime() <= limit):
+                    delete(f"{folder}/{name}", True)
         return len({shard for shard, _ in gone})

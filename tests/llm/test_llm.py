@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playlake.llm import decontaminate, huffman, minhash, quality as quality_module, queries, toxicity as toxicity_module
+from playlake.llm import decontaminate, dedup_exact, huffman, minhash, quality as quality_module, queries, shards as shards_module, toxicity as toxicity_module
 from playlake.llm.components import connected_components
 from playlake.llm.decontaminate import benchmark_hits, hits_digest, longest_matches, without_benchmark
 from playlake.llm.dedup_exact import exact_duplicates
@@ -21,7 +22,7 @@ from playlake.llm.minhash import keep_one_of_each, near_duplicates
 from playlake.llm.mixing import mix, take
 from playlake.llm.pii import find_pii, pii_digest, redact
 from playlake.llm.quality import quality
-from playlake.llm.shards import Store
+from playlake.llm.shards import Shard, Store
 from playlake.llm.toxicity import toxicity, without_toxic
 from playlake.llm.warc import assemble, capture_digest, captures_to_records, parse_records, read_warc, round_trip, write_warc
 
@@ -680,6 +681,61 @@ def auc(scores, y):
     return (ranks[y > 0].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
 
 
+def test_commits_of_two_writers(spark):
+    """Writers that commit at the same time all get a version, and none is lost."""
+    store = Store(spark, queries.new_path(spark, "store"))
+    store.append(spark.range(1))
+    others = [Store(spark, store.path) for _ in range(4)]
+    errors = []
+
+    def write(k):
+        try:
+            for _ in range(5):
+                others[k].commit(lambda shards: [*shards, Shard(f"w{k}-{len(shards)}", ("f",), 1, (None,), (1,))])
+        except Exception as error:  # told below
+            errors.append(error)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and store.versions() == list(range(1, 22)) and len(store.shards()) == 21
+    assert Counter(s.id[:2] for s in store.shards() if s.id[0] == "w") == {f"w{k}": 5 for k in range(4)}
+
+
+def test_store_keeps_parts_and_clears_leftovers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards_module, "PART_SHARDS", 2)
+    store = Store(spark, str(tmp_path / "s"), target_bytes=1 << 16)
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(["a", "null", None, "a/b c", "", "__HIVE_DEFAULT_PARTITION__"])], "k long, name string")
+    store.append(rows, "name")
+    first = set(store.manifest()["parts"])
+    assert len(first) == 3 and Counter(a for s in store.shards() for a in s.arrivals) == Counter(["a", "null", None, "a/b c", "", "__HIVE_DEFAULT_PARTITION__"])
+    store.append(spark.createDataFrame([(9, "z")], "k long, name string"), "name")
+    assert first < set(store.manifest()["parts"]) and collected(store.read(), "k", "name") == sorted([*map(tuple, rows.collect()), (9, "z")], key=str)
+    # What a failed job left: a folder of files and a part that no manifest names.
+    rows.write.parquet(f"{store.path}/shards/lost")
+    (tmp_path / "s" / "manifests" / "part-lost.json").write_text("{}")
+    store.vacuum()
+    assert (tmp_path / "s" / "shards" / "lost").exists() and store.versions() == [2]
+    store.vacuum(orphan_seconds=0)
+    assert not (tmp_path / "s" / "shards" / "lost").exists() and not (tmp_path / "s" / "manifests" / "part-lost.json").exists()
+    assert store.read().count() == 7
+
+
+def test_files_reach_their_target(spark):
+    """Also where every arrival is larger than the target but made of small files."""
+    target = 1 << 16
+    rows = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"), (F.col("id") % 2).alias("source")).repartition(40)
+    store = Store(spark, queries.new_path(spark, "store"), target_bytes=target)
+    store.append(rows, "source")
+    assert sum(n < target // 2 for s in store.shards() for n in s.sizes) > 30
+    store.compact(finish=True)
+    sizes = sorted(n for s in store.shards() for n in s.sizes)
+    assert sum(n < target // 2 for n in sizes) <= 1 and sum(target // 2 <= n <= 2 * target for n in sizes) >= len(sizes) - 1
+    assert store.read().agg(F.count("*"), F.sum("id")).first() == rows.agg(F.count("*"), F.sum("id")).first()
+
+
 @pytest.mark.parametrize(("operator", "column", "modulus", "rest"), [(toxicity, "toxic", 4, 2), (quality, "quality", 5, 0)])
 def test_classifiers(spark, docs, operator, column, modulus, rest):
     texts, labels = labelled(spark)
