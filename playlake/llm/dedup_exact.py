@@ -1,13 +1,13 @@
 """Exact deduplication by deterministic block naming, with DataFrame functions only.
 
-The normalised text is cut into blocks of a fixed number of characters.  Distinct blocks are sorted and numbered: equal
+The normalised text is cut into blocks of a fixed number of characters.  Distinct blocks are put in order and numbered: equal
 blocks have equal names, different blocks different names, by comparison of their content and not by trust in a hash.
 Adjacent names are then paired, distinct pairs sorted and numbered, and so on until each document has one name.  Two
 documents are equal if and only if their numbers of blocks and their last names agree.
 
-A 64-bit hash of a block serves as its address, so that content crosses the network once, map-side combined to its
-distinct blocks.  Each address carries the sorted list of the different blocks that share it, practically one; if there
-are more anywhere, the blocks at those addresses are told apart by their content in a join of their own.
+The order of blocks is that of their addresses, 64-bit hashes, so that content crosses the network once, map-side combined to its
+distinct blocks.  If different blocks share an address anywhere, those are put in the order of their content: each gets a place at its
+address, in a join of its own, and is named by both.  So names are those of contents, whatever the hash.
 
 Defined results: a null text is the empty text; empty texts are equal to each other; rows that repeat a doc_id with the
 same text stay together (``kept`` compares doc_id with keep_id, null-safe); null doc_ids come last in the order of the
@@ -39,19 +39,19 @@ def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def block_names(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: doc_id, text_sha256, n_blocks, name; (n_blocks, name) identifies the normalised text."""
+def block_names(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS, address=F.xxhash64) -> DataFrame:
+    """One row per document: doc_id, text_sha256, n_blocks, name; (n_blocks, name) identifies the normalised text.  ``address``: block → long."""
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
     cut = texts.select("doc_id", "text", _blocks(F.col("text"), block_chars).alias("blocks"))
     slim = cut.select(
         "doc_id",
         F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
         F.size("blocks").alias("n_blocks"),
-        F.transform("blocks", lambda b: F.xxhash64(b)).alias("addresses"),
+        F.transform("blocks", lambda b: address(b)).alias("addresses"),
     )
     slim = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    found = cut.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("address"), "block")
+    found = cut.select(F.explode("blocks").alias("block")).select(address(F.col("block")).alias("address"), "block")
     different = materialize(found.dropDuplicates().select("address"), "different")
     contents = materialize(different.groupBy("address").agg(F.count(F.lit(1)).cast("int").alias("n")), "contents")
     # The place of a block among those at its address: 0 unless two different blocks share a 64-bit hash.
@@ -100,10 +100,10 @@ def _with_places(at: DataFrame, slim: DataFrame, texts: DataFrame, shared: DataF
     return at.join(placed, ["row", "pos"], "left").select("row", "pos", "address", F.coalesce("place", F.lit(0)).alias("place"))
 
 
-def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_chars: int = BLOCK_CHARS, address=F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     with Scope(docs.sparkSession) as scope:
-        named = scope.keep(materialize(block_names(docs, text_col, id_col, block_chars), "named"))
+        named = scope.keep(materialize(block_names(docs, text_col, id_col, block_chars, address), "named"))
         groups = scope.keep(materialize(named.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups"))
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"

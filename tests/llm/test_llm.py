@@ -88,6 +88,25 @@ def test_exact_copies(docs, block_chars):
     assert collected(exact_duplicates(few, block_chars=block_chars), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("addresses", [1, 3, 50])
+def test_exact_copies_whose_addresses_collide(spark, addresses):
+    """Blocks that share an address are told apart by their content: few addresses for many blocks, also one for all."""
+    rng = np.random.default_rng(9)
+    texts = [(k, "".join(rng.choice(list("ab "), int(rng.integers(0, 40))))) for k in range(120)]
+    texts += [(200 + k, texts[k][1]) for k in range(30)] + [(300, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    plain = exact_duplicates(df, block_chars=5)
+    crowded = exact_duplicates(df, block_chars=5, address=lambda b: F.pmod(F.xxhash64(b), F.lit(addresses)))
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    least, sizes = {}, Counter()
+    for doc_id, text in texts:
+        bare = re.sub("[ \t-\r]+", " ", text or "")
+        least.setdefault(bare, doc_id)
+        sizes[bare] += 1
+    want = sorted(((d, least[b], sizes[b], d == least[b], hashlib.sha256(b.encode()).hexdigest()) for d, t in texts for b in [re.sub("[ \t-\r]+", " ", t or "")]), key=str)
+    assert collected(plain, *columns) == want and collected(crowded, *columns) == want
+
+
 # --- near copies ----------------------------------------------------------------------------------------------------
 
 
@@ -480,6 +499,12 @@ def test_quality_scores_are_those_of_the_definition():
 # --- token ids ------------------------------------------------------------------------------------------------------
 
 
+def test_context_on_both_sides(spark):
+    texts = ["555-123-4567 is my phone", "phone: 555-123-4567", "555-123-4567 is an order", "555-123-4567 and much later, far beyond the characters that count as near, my phone", "555-123-4567, 555-765-4321 (phone)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["spans"] for r in pii_digest(find_pii(df)).orderBy("doc_id").collect()] == ["national_phone:0:12", "national_phone:7:19", "", "", "national_phone:14:26"]
+
+
 def test_token_ids(spark, docs):
     from tokenizers import Tokenizer
 
@@ -775,6 +800,14 @@ def test_empty_tables(spark, empty, benchmark, name):
     assert operators[name](empty).count() == 0
 
 
-@pytest.mark.parametrize("operator", [mix, lambda d: take(d).select("doc_id"), lambda d: pii_digest(find_pii(d))])
+@pytest.mark.parametrize("operator", [mix, lambda d: pii_digest(find_pii(d)), exact_duplicates, near_duplicates])
 def test_odd_rows(docs, operator):
-    assert {r["doc_id"] for r in operator(docs).collect()} <= {r[0] for r in rows()}
+    """A row for each row, whatever it is."""
+    assert Counter(r["doc_id"] for r in operator(docs).collect()) == Counter(r[0] for r in rows())
+
+
+def test_mixed_rows_are_as_many_as_planned(docs):
+    planned = Counter()
+    for r in mix(docs).collect():
+        planned[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in take(docs).collect()) == +planned
\ No newline at end of file
