@@ -7,7 +7,7 @@ length is scanned in linear time.
 
 Base kinds are kept whenever their test passes.  The added kinds (``iban`` with mod-97, ``national_phone``, ``secret``)
 are kept from a score of :data:`MIN_SCORE`; the score is a prior, raised when a context word stands within
-:data:`CONTEXT_CHARS` characters before the span, lowered when an opposing word does.
+:data:`CONTEXT_CHARS` characters before the span, or after it up to the next match of its kind, lowered when an opposing word does.
 
 Defined results: a null text is the empty text; overlapping spans of different kinds are all reported; rows that repeat
 are scored one by one; columns beside the id and the text aren't read.
@@ -113,9 +113,10 @@ def _possible(kind: Kind, text: Column) -> Column:
     return text.rlike(kind.needs) if len(kind.needs) > 1 else text.contains(kind.needs)
 
 
-def _score(kind: Kind, before: Column) -> Column:
+def _score(kind: Kind, before: Column, after: Column) -> Column:
     def near(words):
-        return before.rlike(r"(?i)\b(?:" + "|".join(words) + ")")
+        pattern = r"(?i)\b(?:" + "|".join(words) + ")"
+        return before.rlike(pattern) | after.rlike(pattern)
 
     score = F.lit(kind.prior)
     if kind.context:
@@ -136,7 +137,7 @@ def spans_of(kind: Kind, text: Column) -> Column:
     # reaches over earlier matches and the text isn't cut from its beginning for each.
     last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
     found = F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("text")),
+        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("text"), F.slice(pieces, 2, F.size(matches)).alias("after")),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(schema).alias("spans")),
         lambda acc, x: F.struct(
             (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("at"),
@@ -146,7 +147,7 @@ def spans_of(kind: Kind, text: Column) -> Column:
                 F.concat(acc["spans"], F.array(F.struct(
                     (acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
                     (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("end"), x["text"].alias("text"),
-                    _score(kind, last(acc["before"], x["gap"])).alias("score"),
+                    _score(kind, last(acc["before"], x["gap"]), F.left(x["after"], F.lit(CONTEXT_CHARS))).alias("score"),
                 )).cast(schema)),
             ).otherwise(acc["spans"]).alias("spans"),
         ),
