@@ -17,15 +17,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, extra
     """At most ``rows`` Rows (text, y, *extra) of labelled documents, the same ones in every run.
 
     Ids are chosen first, by hash, from the narrow labels; only their texts are fetched.  A label that is null is none; of
-    labels that repeat for an id the greatest counts; of documents that repeat an id each is used.
+    labels that repeat for an id the greatest counts; of documents that repeat an id the one whose text comes first.
     """
     docs = docs.select("doc_id", "text", *extra)  # other columns may be named like those added here
     marked = labels.select("doc_id", label).filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = marked.select("doc_id", "y", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(rows)
-    found = docs.join(F.broadcast(chosen), "doc_id").select("turn", F.coalesce("text", F.lit("")).alias("text"), "y", *extra)
-    found = found.filter(F.char_length("text") <= SAMPLE_TEXT_CHARS).limit(2 * rows)
+    found = docs.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", *extra)
+    found = found.filter(F.char_length("text") <= SAMPLE_TEXT_CHARS)
+    one = found.groupBy("turn", "doc_id").agg(F.min(F.struct("text", "y", *extra)).alias("row")).select("turn", "doc_id", "row.*")
     out, size = [], 0
-    for row in sorted(found.collect(), key=lambda r: (r["turn"], r["text"])):
+    for row in sorted(one.collect(), key=lambda r: (r["turn"], r["doc_id"])):
         size += len(row["text"])
         if size > SAMPLE_CHARS:
             break
