@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from playlake.llm.scratch import Scope, materialize
+from playlake.llm.scratch import Scope, materialize, small
 from playlake.llm.worker import bound_batches
 
 WINDOW_WORDS, SHARE = 13, 20
@@ -357,4 +357,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         hits, blocks = _found(docs, benchmark, text_col, id_col, item_text_col, item_col, window, shard_words, block_words, null_items, pass_words)
         bad = scope.keep(materialize(hits.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated"))
         _destroy(blocks)  # the decisions are written
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    return docs.join(small(bad), docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from playlake.llm.components import connected_components
-from playlake.llm.scratch import Scope, materialize
+from playlake.llm.scratch import Scope, materialize, small
 from playlake.llm.worker import bound_batches, held
 
 SHINGLE_WORDS, SIMILARITY = 5, 75
@@ -39,7 +39,6 @@ BANDS = HASHES // BAND_ROWS
 SIGNATURE_FLOOR = SIMILARITY / 100 - 6 * (0.75 * 0.25 / HASHES) ** 0.5
 #: Signatures and sets of one block of a bucket.
 BLOCK_BYTES = 1 << 20
-BROADCAST_IDS = 500_000
 _WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20240101)
@@ -210,10 +209,8 @@ def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_shingles(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, size, signature, shingles) of those nodes that share a bucket, from the texts of their least documents."""
-    wanted = materialize(nodes.join(needed, "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "signature"), "wanted")
-    ids = wanted.select("rep").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    wanted = materialize(nodes.join(small(needed), "node", "left_semi").select("node", "mark", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "signature"), "wanted")
+    ids = small(materialize(wanted.select("rep").distinct(), "ids"))
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
     found = texts.mapInArrow(_with_sets, "mark binary, shingles array<bigint>").dropDuplicates(["mark"])
     return materialize(found.join(wanted, "mark").select("node", "size", "signature", "shingles"), "sets")
@@ -223,8 +220,8 @@ def bucket_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) between nodes that share a bucket: enough of them that all linked nodes of a bucket are connected."""
     bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    members = materialize(bands.join(shared, "key", "left_semi").select("key", "band", "node"), "members")
-    sets = _with_shingles(docs, nodes, members.select("node").distinct())
+    members = materialize(bands.join(small(shared), "key", "left_semi").select("key", "band", "node"), "members")
+    sets = _with_shingles(docs, nodes, materialize(members.select("node").distinct(), "needed"))
     signs = sets.select("node", "size", "signature")
     held = materialize(members.join(signs, "node"), "held")
     weight = held.groupBy("key").agg(F.ceil(F.sum(F.col("size") * 8 + 4 * HASHES) / BLOCK_BYTES).cast("int").alias("blocks"))
@@ -240,7 +237,7 @@ def bucket_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     right = several.filter("block > 0").select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("nodes").alias("right"))
     meetings = alone.unionByName(left.join(right, ["key", "i", "j"]))
     needed = materialize(meetings.mapInArrow(_needing, "key long, band int, i int, j int, side int, node long"), "needed")
-    rows = needed.join(sets, "node").groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("node", "size", "signature", "side", "shingles")).alias("nodes"))
+    rows = sets.join(small(needed), "node").groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("node", "size", "signature", "side", "shingles")).alias("nodes"))
     return materialize(rows.select("band", "nodes").mapInArrow(_linking, "u long, v long").distinct(), "links")
 
 
@@ -267,6 +264,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id stays; of rows that repeat an id, all stay."""
     with Scope(docs.sparkSession) as scope:
-        kept = near_duplicates(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-        kept = scope.keep(materialize(kept, "kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+        gone = near_duplicates(docs, text_col, id_col).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).filter("not kept").select("gone_id")
+        gone = scope.keep(materialize(gone, "gone"))
+    return docs.join(small(gone), docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -11,8 +11,10 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of narrow tables (a few numbers each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 _FOLDERS: dict[str, str] = {}
 _SCOPES: list[Scope] = []
 
@@ -91,3 +93,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     table = reread(df.sparkSession, path, df)
     table.scratch_path = path
     return table
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A narrow materialised table for a join: broadcast if it has no more than :data:`BROADCAST_ROWS` rows, so that the other side isn't shuffled; else as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
