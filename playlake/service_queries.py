@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playlake.functions import rules, texts
 from playlake.operators import eventlog, interval, query, reconcile, releases, store, subjects
-from playlake.plans import planner, sync
+from playlake.plans import passes, planner, sync
 from playlake.queries import (
     _A, _CHAIN, _CHAINED, _INST, _LOG, _PLAIN, _REL, _ST, HI, HOLE, LO, NOW, _coverage, _dismissed, _edits, _instances, _intents, _live, _log, _obs, _on_obs, _paged, _planned, _releases, _table, _titles, register,
 )
@@ -111,6 +111,23 @@ _on_obs(
     f"""SELECT id FROM live l WHERE uts >= {LO} AND uts < {HI} AND EXISTS (SELECT 1 FROM one WHERE l.uts >= start AND l.uts < "end") AND EXISTS (SELECT 1 FROM (VALUES ('artist_1'), ('artist_2')) p(a) WHERE a IN (SELECT artist FROM cov) AND NOT EXISTS (SELECT 1 FROM cov c WHERE c.artist = a AND l.uts >= c.start AND l.uts < c."end"))""", _ALL,
 )
 
+
+
+def _planning(spark, sf_dir):
+    """A pass over what all artists' coverage has of a range, with an empty queue and nothing seen before."""
+    ship(spark)
+    none = spark.createDataFrame([], "start long, `end` long, verified_at long")
+    intents, _, _ = passes.planning_pass(_live(spark, sf_dir), _CHAIN, _whole(spark, sf_dir), none, spark.createDataFrame([], passes.QUEUE), LO, HI, NOW)
+    return intents.select("artist", "track", "album", "n", "new_track", "new_artist", "new_album", "outcome")
+
+
+_on_obs(
+    "planning_pass", _planning,
+    """SELECT artist, track, album, n, new_track, new_artist, new_album, CASE WHEN confirm THEN 'awaiting_approval' ELSE 'ready' END AS outcome FROM c3 WHERE new_track <> track OR new_artist <> artist OR new_album IS DISTINCT FROM album""",
+    _ALL, f"""sp AS (SELECT artist, track, album, count(*) AS n, max(uts) AS latest_uts FROM live l WHERE uts >= {LO} AND uts < {HI} AND EXISTS (SELECT 1 FROM one WHERE l.uts >= start AND l.uts < "end") GROUP BY ALL)""",
+    _CHAINED.replace("FROM subj WHERE latest_uts % 7200 <> 0", "FROM sp"),
+)
+
 # --- decisions and reports --------------------------------------------------------------------------------------------
 
 
