@@ -806,6 +806,51 @@ def test_odd_rows(docs, operator):
     assert Counter(r["doc_id"] for r in operator(docs).collect()) == Counter(r[0] for r in rows())
 
 
+def water_filled(sizes, weights=(3, 1, 2), epochs=1.5, most=2):
+    """Targets by giving out what is left over and over, until nobody is above the cap."""
+    weight = {s: weights[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, open_, left = {}, set(sizes), epochs * sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= most * sizes[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: float(most * sizes[s]) for s in full}
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    return target
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mix_properties(spark, seed):
+    """Few documents, equal and missing ids, one source or many, huge and empty documents: targets, repeats and nearness hold."""
+    rng = np.random.default_rng(seed)
+    names = [["only"], ["a", "b", "c", None], ["x", None], ["a", "b"], [f"s{k}" for k in range(9)], [None]][seed]
+    many = [3, 60, 9, 40, 200, 2][seed]
+    sizes = [int(rng.choice([0, 1, 5, 300, 20_000], p=[0.1, 0.3, 0.3, 0.25, 0.05])) for _ in range(many)]
+    rows = [(int(rng.integers(0, max(1, many // 2))) if seed == 3 else k if k % 7 else None, "w " * n if n else None, names[int(rng.integers(len(names)))]) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    held, groups = Counter(), defaultdict(Counter)
+    for doc_id, text, source in rows:
+        n = len((text or "").split())
+        held[source] += n
+        groups[source][doc_id] += n
+    want = water_filled({s: held[s] for s in {r[2] for r in rows}})
+    by_size = {}
+    for r in got:
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["taken"] <= 2 * r["size"]
+        by_size.setdefault((r["source_size"], round(r["target"], 6)), []).append(r)
+    assert {(held[s], round(t, 6)) for s, t in want.items()} == set(by_size) and len(got) == len(rows)
+    taken = {k: sum(r["taken"] for r in v) for k, v in by_size.items()}
+    for s, t in want.items():
+        same = [x for x in want if (held[x], round(want[x], 6)) == (held[s], round(t, 6))]
+        # Documents of one id go together, so half of the largest such group is as near as it must come.
+        assert abs(taken[held[s], round(t, 6)] - len(same) * t) <= sum(max(groups[x].values(), default=0) for x in same) / 2 + 1e-6
+    assert sorted(map(str, got)) == sorted(map(str, mix(df.repartition(5)).collect()))
+
+
 def test_mixed_rows_are_as_many_as_planned(docs):
     planned = Counter()
     for r in mix(docs).collect():
