@@ -184,14 +184,18 @@ class WordEncoder:
 
     def core(self, word: bytes) -> bytes:
         """A word without the marks that follow its last letter or digit, which the tokenizer treats by themselves."""
+        if word[-1:].isalnum():
+            return word
         core = word.rstrip(PUNCTUATION)
         return core if core[-1:].isalnum() and not any(t in word for t in self.added) else word
 
     @staticmethod
     def is_plain(word: bytes) -> bool:
         """Whether a word has letters only, none of which the tokenizer changes."""
+        if word.isalpha():  # of bytes: letters of ASCII
+            return True
         text = word.decode()
-        return text.isalpha() and (word.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
     def learn(self, words: set[bytes]) -> None:
         """Let :attr:`known` have all of ``words``; those that were never met are encoded many in one call."""
