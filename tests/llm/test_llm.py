@@ -428,8 +428,8 @@ ODD = ["", "one", "two words", "hatred " * 9000, "É à ça 東京 x" * 3, "w1 w
 
 
 def naive_toxicity(model, text):
-    """Filter by filter and place by place, as the definition has it."""
-    pad = [np.zeros(toxicity_module.DIM)] * (max(toxicity_module.WIDTHS) - 1)
+    """Filter by filter and place by place, as the definition has it: every filter meets an empty window too."""
+    pad = [np.zeros(toxicity_module.DIM)] * max(toxicity_module.WIDTHS)
     words = [sum((model.embedding[f].astype(float) for f in toxicity_module.features(w) if model.active[f]), np.zeros(toxicity_module.DIM)) for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())]
     vectors, total, k = [*pad, *words, *pad], float(model.base), 0
     for f in model.filters:
