@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from playlake.llm.bpe import round_trip_digest
 from playlake.llm.decontaminate import benchmark_hits, hits_digest
 from playlake.llm.dedup_exact import exact_duplicates
 from playlake.llm import huffman
@@ -9,6 +10,9 @@ from playlake.llm.minhash import near_duplicates
 from playlake.llm.mixing import mix
 from playlake.llm.pii import find_pii, pii_digest
 from playlake.llm.quality import quality
+from playlake.llm.repair import damaged, repair
+from playlake.llm.repair_sql import REPAIR_SQL, crc32_sql
+from playlake.llm.resample import resample
 from playlake.llm.scratch import new_path
 from playlake.llm.shards import Store
 from playlake.llm.toxicity import toxicity
@@ -86,7 +90,27 @@ def op10_block_naming(spark, sf_dir):
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark, sf_dir):
+    """A tenth of ``documents`` drawn towards the distribution of ``benchmark``; all documents' weights, scores and ranks."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark, sf_dir):
+    """All ``documents`` encoded and decoded."""
+    import public_tokenizers
+
+    return round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_repair(spark, sf_dir):
+    """All ``conversations``, damaged by checksum and repaired."""
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
+    "op13_repair": op13_repair,
+    "op12_bpe": op12_bpe,
+    "op11_resampling": op11_resampling,
     "op6_compaction": op6_compaction,
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
@@ -100,6 +124,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op13_repair": REPAIR_SQL,
+    "op11_resampling": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+        df AS (SELECT row, f, count(*)::BIGINT AS n FROM (SELECT row, unnest(w) AS f FROM d) GROUP BY row, f),
+        bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM b)),
+        bucket AS (SELECT f, {crc32_sql("list_transform(range(0, (len(x) // 2)::BIGINT), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)")} % 10000 AS k FROM bytes),
+        s AS (SELECT k, sum(n)::BIGINT AS s FROM df JOIN bucket USING (f) GROUP BY k),
+        t AS (SELECT k, count(*)::BIGINT AS t FROM b JOIN bucket USING (f) GROUP BY k),
+        sizes AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS all_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS all_t),
+        g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k), sizes),
+        w AS (SELECT row, sum(n * gain)::BIGINT AS total, sum(n)::BIGINT AS n FROM df JOIN bucket USING (f) JOIN g USING (k) GROUP BY row),
+        v AS (SELECT d.row, doc_id, coalesce(n, 0)::BIGINT AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END::BIGINT AS weight,
+                     ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (row)),
+        c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM v),
+        r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM c LEFT JOIN r USING (row)""",
     "op6_compaction": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op7_suffix_arrays": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
