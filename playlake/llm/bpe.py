@@ -109,7 +109,7 @@ class Merges:
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         known: dict[tuple[int, int], int] = {}
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by a part's first byte: where the next part begins, and the one before
-        ranks = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist() + [NONE]
+        ranks = [*self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist(), NONE]
         heap = [(r, k) for k, r in enumerate(ranks) if r < NONE]
         heapq.heapify(heap)
 

@@ -57,7 +57,7 @@ def features(text: str, runs: int) -> Iterator[list[bytes]]:
         before = both[len(both) - runs + 1 :] if runs > 1 else []
 
 
-def _inverting(buckets: int, runs: int):
+def _inverting(buckets: int, runs: int, block_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         ids: list = []
@@ -65,13 +65,13 @@ def _inverting(buckets: int, runs: int):
         found: list[tuple[np.ndarray, np.ndarray]] = []
         n_found = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> tuple[pa.RecordBatch, pa.RecordBatch]:
             place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(b) for b, _ in found])
             bucket, count = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(bucket, kind="stable")
             bucket, place, count = bucket[order], place[order], count[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]))  # none without postings
             # A count that doesn't fit into 16 bits makes its whole list wider.
             packed = [c.astype("<u2" if c.max() < 1 << 16 else "<u8").tobytes() for c in (count[a:b] for a, b in cuts)]
             n = np.add.reduceat(count, starts) if len(count) else np.zeros(0, np.int64)
@@ -94,7 +94,7 @@ def _inverting(buckets: int, runs: int):
                 sizes.append(n)
                 found.append((np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))))
                 n_found += len(total)
-                if len(ids) >= BLOCK_DOCS or n_found >= BLOCK_POSTINGS:
+                if len(ids) >= block_docs or n_found >= BLOCK_POSTINGS:
                     yield from flush()
                     block, ids, sizes, found, n_found = block + 1, [], [], [], 0
         if ids:
@@ -165,11 +165,11 @@ def _reducing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def postings(docs: DataFrame, runs: int = 1, buckets: int = 10_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Inverted postings in blocks, and one row (``bucket`` null) per block with its documents' ids and numbers of features."""
+def postings(docs: DataFrame, runs: int = 1, buckets: int = 10_000, text_col: str = "text", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Inverted postings in blocks of at most :data:`BLOCK_DOCS` documents, and one row (``bucket`` null) per block with its documents' ids and numbers of features."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return texts.mapInArrow(_inverting(buckets, runs), _POSTINGS)
+    return texts.mapInArrow(_inverting(buckets, runs, min(block_docs, BLOCK_DOCS)), _POSTINGS)
 
 
 def gain(s: Column, t: Column, corpus: int, target: int, buckets: int) -> Column:
@@ -178,10 +178,10 @@ def gain(s: Column, t: Column, corpus: int, target: int, buckets: int) -> Column
     return F.floor(F.lit(1000.0) * F.log(shares))
 
 
-def importance(docs: DataFrame, target: DataFrame, runs: int = 1, buckets: int = 10_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def importance(docs: DataFrame, target: DataFrame, runs: int = 1, buckets: int = 10_000, text_col: str = "text", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per document: doc_id, n_features, weight (the floored mean of its features' gains)."""
     with Scope(docs.sparkSession) as scope:
-        corpus = materialize(postings(docs, runs, buckets, text_col, id_col), "postings")
+        corpus = materialize(postings(docs, runs, buckets, text_col, id_col, block_docs), "postings")
         wanted = materialize(postings(target.select(F.lit(None).cast("long").alias("doc_id"), F.col("text")), runs, buckets), "target_postings")
         size, size_wanted = (t.filter("bucket is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (corpus, wanted))
         heads = corpus.filter("bucket is not null").select("bucket", "block", "n", F.lit(0).alias("wanted"))
