@@ -10,8 +10,9 @@ from playlake.plans import passes, planner, sync
 from playlake.queries import (
     _A, _CHAIN, _CHAINED, _INST, _LOG, _PLAIN, _REL, _ST, HI, HOLE, LO, NOW, _coverage, _dismissed, _edits, _instances, _intents, _live, _log, _obs, _on_obs, _paged, _planned, _releases, _table, _titles, register,
 )
+from playlake.folders import new_folder
 from playlake.shipping import ship
-from playlake.sources import listings, pages, state
+from playlake.sources import listings, page_scan, pages, state
 
 _COLS = ", ".join(_PLAIN)
 
@@ -128,6 +129,34 @@ _on_obs(
     _CHAINED.replace("FROM subj WHERE latest_uts % 7200 <> 0", "FROM sp"),
 )
 
+# --- stored pages -----------------------------------------------------------------------------------------------------
+
+_SPAN = 5 * 86400
+
+
+def _stored(spark, sf_dir) -> str:
+    """All live plays as pages of five days, the newest first, stored as files."""
+    plays = _live(spark, sf_dir).withColumn("page_number", 10_000 - F.floor(F.col("uts") / _SPAN))
+    track = F.struct(F.col("track").alias("name"), F.struct(F.col("artist").alias("#text")).alias("artist"), F.struct(F.coalesce("album", F.lit("")).alias("#text")).alias("album"), F.struct(F.col("uts").cast("string").alias("uts")).alias("date"))
+    found = plays.groupBy("page_number").agg(F.min("uts").alias("oldest"), F.max("uts").alias("newest"), F.sort_array(F.collect_list(F.struct("uts", "id", track.alias("t"))), False).alias("rows"))
+    head = F.struct(F.col("page_number").cast("string").alias("page"), F.lit("10000").alias("totalPages"))
+    body = F.to_json(F.struct(F.struct(F.transform("rows", lambda r: r["t"]).alias("track"), head.alias("@attr")).alias("recenttracks")))
+    folder = new_folder(spark, "pages")
+    page_scan.store_pages(found.select("page_number", "oldest", "newest", body.alias("body")), folder)
+    return folder
+
+
+_PAGES = f"pg AS (SELECT *, min(uts) OVER p AS oldest, max(uts) OVER p AS newest FROM live WINDOW p AS (PARTITION BY uts // {_SPAN}))"
+_COLUMNS = "10000 - uts // {0} AS page_number, track AS name, artist, nullif(coalesce(album, ''), '') AS album, uts AS timestamp".format(_SPAN)
+_on_obs(
+    "page_window", lambda s, d: page_scan.window(s, _stored(s, d), LO, HI).select(F.col("page_number").cast("long").alias("page_number"), "name", "artist", "album", "timestamp"),
+    f"SELECT {_COLUMNS} FROM pg WHERE newest >= {LO} - 1 AND oldest < {HI} AND uts < {HI}", _PAGES,
+)
+_on_obs(
+    "page_feed_newer", lambda s, d: page_scan.newer_than(s, _stored(s, d), LO).select(F.col("page_number").cast("long").alias("page_number"), "name", "artist", "album", "timestamp"),
+    f"SELECT {_COLUMNS} FROM pg WHERE newest > {LO} AND uts > {LO}", _PAGES,
+)
+
 # --- decisions and reports --------------------------------------------------------------------------------------------
 
 

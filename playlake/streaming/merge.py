@@ -52,6 +52,10 @@ class View:
         self.files.write(f"{version:08d}.json", json.dumps(self.months() | dict.fromkeys(months, folder)))
         self.vacuum(version)
 
+    def clear(self) -> None:
+        """Switch to a version without rows."""
+        self.files.write(f"{self.version() + 1:08d}.json", "{}")
+
     def vacuum(self, version: int) -> None:
         """Delete what neither this version nor the one before reads, for readers that have just begun."""
         named = set()
