@@ -39,3 +39,8 @@ def time_text(uts: Column) -> Column:
 def edit_id(at: Column, operation: Column, seq: Column) -> Column:
     """``e{at}-{first 8 hex digits of the SHA-256 of the operation's text}-{seq}``."""
     return F.concat(F.lit("e"), at.cast("string"), F.lit("-"), F.substring(F.sha2(F.encode(operation, "UTF-8"), 256), 1, 8), F.lit("-"), seq.cast("string"))
+
+
+def number_of(at: Column, operation: Column) -> Column:
+    """An :func:`edit_id` whose last part comes from the operation itself, sixty bits of the same digest, so that those of one pass differ without being counted."""
+    return edit_id(at, operation, F.conv(F.substring(F.sha2(F.encode(operation, "UTF-8"), 256), 9, 15), 16, 10))

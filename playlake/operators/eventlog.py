@@ -181,32 +181,64 @@ def retry_delay(attempt: Column, retry_after: Column, base: int = 30, most: int
 GUARDS = {"approve": (("awaiting_approval",), "approved"), "reject": (OPEN, "rejected"), "reinstate": (("rejected",), "reinstated")}
 
 
+def _decided_in_turn(requests: DataFrame, intents: DataFrame) -> DataFrame:
+    """Requests with ``__before``: the state that each meets, after all of the same intent's before it.
+
+    What ended stays so.  Else a rejection leaves an intent rejected, allowed or not, and only a reinstatement gets it out of there, to where its approval
+    stands anew.  So the state follows from which requests there were since the last rejection, and no request waits for another's row.
+    """
+    approval = F.col("requires_approval") if "requires_approval" in intents.columns else F.lit(False)
+    held = intents.select("id", F.col("state").alias("__state"), approval.alias("__approval"), F.col("dismissed").alias("__was"))
+    order = Window.partitionBy("id").orderBy("at", "op")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = requests.join(held, "id", "left").withColumns({"__n": F.row_number().over(order), "__rejections": F.count_if(F.col("op") == "reject").over(before)})
+    since = Window.partitionBy("id", "__rejections").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda op, which: which(F.when(F.col("op") == op, F.col("__n"))).over(since)
+    rows = rows.withColumns({"__reopened": at("reinstate", F.min), "__approved": at("approve", F.max)})
+    opened = F.when(~F.coalesce("__approval", F.lit(False)) | (F.col("__approved") > F.col("__reopened")), "ready").otherwise("awaiting_approval")
+    was_rejected = (F.col("__rejections") > 0) | (F.col("__state") == "rejected")
+    first = F.when((F.col("__state") == "awaiting_approval") & F.col("__approved").isNotNull(), "ready").otherwise(F.col("__state"))
+    state = F.when(F.col("__state").isin("applied", "abandoned"), F.col("__state")).when(was_rejected, F.when(F.col("__reopened").isNull(), "rejected").otherwise(opened)).otherwise(first)
+    return rows.withColumn("__before", F.when(F.col("__state").isNotNull(), state))
+
+
 def guarded(requests: DataFrame, intents: DataFrame) -> DataFrame:
     """Requests (id, op: approve, reject, reinstate, at, dismiss?) against folded intents → id, at, op, event, dismiss, dismissed, error.
 
+    Each request is judged by what the intent is after the requests before it (in the order of ``at``, then ``op``), so of two approvals in a batch one passes.
     ``event`` is what to add to the queue's log, null where the intent's state forbids it or there is none; ``dismissed`` is the
     entry for its subject: true when a rejection dismisses it, false when reinstating lifts that, else null.
     """
-    state = intents.select("id", F.col("state").alias("__state"), F.col("dismissed").alias("__was"))
-    rows = requests.join(state, "id", "left")
+    rows = _decided_in_turn(requests, intents)
     allowed, event = F.lit(False), F.lit(None).cast("string")
     for op, (states, name) in GUARDS.items():
-        allowed = F.when(F.col("op") == op, F.col("__state").isin(*states)).otherwise(allowed)
+        allowed = F.when(F.col("op") == op, F.col("__before").isin(*states)).otherwise(allowed)
         event = F.when(F.col("op") == op, F.lit(name)).otherwise(event)
-    allowed = F.coalesce(allowed, F.lit(False))
     dismiss = F.coalesce("dismiss", F.lit(False)) if "dismiss" in requests.columns else F.lit(False)
-    entry = F.when(allowed & (F.col("op") == "reject") & dismiss, True).when(allowed & (F.col("op") == "reinstate") & F.col("__was"), False)
-    error = F.when(F.col("__state").isNull(), "not found").when(~allowed, F.concat(F.lit("can't "), F.col("op"), F.lit(" what is "), F.col("__state")))
-    return rows.select("id", "at", "op", F.when(allowed, event).alias("event"), F.when(allowed & (F.col("op") == "reject"), dismiss).alias("dismiss"), entry.alias("dismissed"), error.alias("error"))
+    rows = rows.withColumns({"__allowed": F.coalesce(allowed, F.lit(False)), "__dismiss": dismiss})
+    rejected = F.col("__allowed") & (F.col("op") == "reject")
+    # Whether the rejection that holds just now dismissed the subject: the last one that was allowed, or the log's.
+    before = Window.partitionBy("id").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    was = F.coalesce(F.last(F.when(rejected, F.col("__dismiss")), ignorenulls=True).over(before), F.col("__was"))
+    rows = rows.withColumn("__held", was)
+    entry = F.when(rejected & F.col("__dismiss"), True).when(F.col("__allowed") & (F.col("op") == "reinstate") & F.col("__held"), False)
+    error = F.when(F.col("__before").isNull(), "not found").when(~F.col("__allowed"), F.concat(F.lit("can't "), F.col("op"), F.lit(" what is "), F.col("__before")))
+    return rows.select("id", "at", "op", F.when(F.col("__allowed"), event).alias("event"), F.when(rejected, F.col("__dismiss")).alias("dismiss"), entry.alias("dismissed"), error.alias("error"))
 
 
 def guarded_rules(requests: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Requests (id, op: approve, reject, at) against folded proposals of rules → id, at, event, joins (the rule becomes active), error; only pending ones can be decided."""
-    rows = requests.join(proposals.select("id", F.col("state").alias("__state")), "id", "left")
-    allowed = F.coalesce(F.col("__state") == "pending", F.lit(False))
+    """Requests (id, op: approve, reject, at) against folded proposals of rules → id, at, event, joins (the rule becomes active), error.
+
+    Only pending ones can be decided, so the first request of a proposal decides it for those after it.
+    """
+    order = Window.partitionBy("id").orderBy("at", "op")
     event = F.when(F.col("op") == "approve", "approved").otherwise("rejected")
-    error = F.when(F.col("__state").isNull(), "not found").when(~allowed, F.concat(F.lit("is "), F.col("__state")))
-    return rows.select("id", "at", F.when(allowed, event).alias("event"), (allowed & (F.col("op") == "approve")).alias("joins"), error.alias("error"))
+    rows = requests.join(proposals.select("id", F.col("state").alias("__state")), "id", "left").withColumn("__event", event)
+    decided = F.first("__event").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__before", F.when(F.col("__state") == "pending", F.coalesce(decided, F.lit("pending"))).otherwise(F.col("__state")))
+    allowed = F.coalesce(F.col("__before") == "pending", F.lit(False))
+    error = F.when(F.col("__before").isNull(), "not found").when(~allowed, F.concat(F.lit("is "), F.col("__before")))
+    return rows.select("id", "at", F.when(allowed, F.col("__event")).alias("event"), (allowed & (F.col("op") == "approve")).alias("joins"), error.alias("error"))
 
 
 def decide(dry_run: Column, needs_approval: Column, confirm: Column) -> Column:

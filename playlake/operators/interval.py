@@ -91,6 +91,12 @@ def contains(points: DataFrame, ranges: DataFrame, keys: list[str], at: str = "u
     return placed.join(slots, cond, "left_semi").drop("__slot")
 
 
+def clip(ranges: DataFrame, start: int, end: int) -> DataFrame:
+    """Ranges as far as they lie in [start, end)."""
+    clipped = ranges.select(F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "verified_at")
+    return clipped.filter("start < end")
+
+
 def covers(ranges: DataFrame, start: int, end: int, keys: list[str] = ()) -> DataFrame:
     """Whether a single range holds all of [start, end); an empty one is held by anything."""
     held = (F.lit(start) >= F.lit(end)) | ((F.col("start") <= start) & (F.col("end") >= end))

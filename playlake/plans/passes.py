@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playlake.functions.rules import FIELDS, RewriteRule, rules_from_rows, rules_hash
-from playlake.functions.texts import edit_id
+from playlake.functions.texts import number_of
 from playlake.operators import eventlog, interval
 from playlake.operators.subjects import KEY
 from playlake.plans import planner, sync
@@ -26,24 +26,19 @@ def planning_pass(plays: DataFrame, rules: list[RewriteRule], synced: DataFrame,
     busy = folded.filter(F.col("state").isin(*eventlog.OPEN)).select(*KEY)
     dismissed = folded.filter("dismissed").select(*KEY)
     own = coverage.withColumn("provider", F.lit(provider))
-    work = interval.subtract(_within(synced, start, end), coverage).withColumn("verified_at", F.lit(now).cast("long"))
+    work = interval.subtract(interval.clip(synced, start, end), coverage).withColumn("verified_at", F.lit(now).cast("long"))
     seen = interval.contains(plays, work, [])
     intents = planner.plan(seen, rules, dismissed, busy, dry_run, needs_approval)
     told = F.to_json(F.struct(*KEY, *[f"new_{f}" for f in FIELDS]))
     # Where a log is read, events are ordered by seq; an intent's first one needs none beside it in the same second.
     events = intents.filter("outcome <> 'report'").select(
-        edit_id(F.lit(now), told, F.lit(0)).alias("id"), F.lit(now).cast("long").alias("seq"), F.lit(now).cast("long").alias("at"), F.lit("created").alias("event"), (F.col("outcome") == "awaiting_approval").alias("requires_approval"),
+        number_of(F.lit(now), told).alias("id"), F.lit(now).cast("long").alias("seq"), F.lit(now).cast("long").alias("at"), F.lit("created").alias("event"), (F.col("outcome") == "awaiting_approval").alias("requires_approval"),
         F.lit(False).alias("dismiss"), *KEY, *[f"new_{f}" for f in FIELDS],
     )
     after = planner.claimed(own, work.withColumn("provider", F.lit(provider)), dry_run=dry_run).drop("provider")
     return intents, events, after
 
 
-def _within(ranges: DataFrame, start: int, end: int) -> DataFrame:
-    clipped = ranges.select(F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "verified_at")
-    return clipped.filter("start < end")
-
-
 def cycle(spark: SparkSession, path: str, pages: DataFrame, start: int, now: int, provider: str = "rules", **policy) -> DataFrame:
     """One round of continuous mode below ``path``: fetched pages into the log, the log into the view, the rules over what is new, the outcome into the queue.
 

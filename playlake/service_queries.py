@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playlake.functions import rules, texts
 from playlake.operators import eventlog, interval, query, reconcile, releases, store, subjects
-from playlake.plans import passes, planner, sync
+from playlake.plans import passes, planner, providers, sync
 from playlake.queries import (
-    _A, _CHAIN, _CHAINED, _INST, _LOG, _PLAIN, _REL, _ST, HI, HOLE, LO, NOW, _coverage, _dismissed, _edits, _instances, _intents, _live, _log, _obs, _on_obs, _paged, _planned, _releases, _table, _titles, register,
+    _A, _CHAIN, _CHAINED, _INST, _LOG, _PLAIN, _REL, _ST, _STATE, HI, HOLE, LO, NOW, _coverage, _dismissed, _edits, _instances, _intents, _live, _log, _obs, _on_obs, _paged, _planned, _releases, _table, _titles, register,
 )
 from playlake.folders import new_folder
 from playlake.shipping import ship
@@ -129,6 +129,38 @@ _on_obs(
     _CHAINED.replace("FROM subj WHERE latest_uts % 7200 <> 0", "FROM sp"),
 )
 
+_MID = (LO + HI) // 2
+
+
+def _providers_pass(spark, sf_dir) -> DataFrame:
+    """Rules, a catalogue and compilations over the whole window; the catalogue has seen its first half."""
+    live = _live(spark, sf_dir)
+    matches = live.filter(F.col("artist").like("artist_1_")).select("artist", "track").distinct().select("artist", "track", F.col("artist").alias("m_artist"), F.concat("track", F.lit("*")).alias("m_title"), F.lit(None).cast("string").alias("m_album"))
+    none = F.lit(None).cast("string")
+
+    def release(place: int, title, credit, kinds) -> DataFrame:
+        known = live.filter("album = 'album_2'").select("artist", "track", "album").distinct()
+        return known.select("artist", "track", "album", F.lit(str(place)).alias("id"), title.alias("title"), F.array(credit).alias("artist_credit"), F.lit("2001").alias("date"), none.alias("country"), F.lit("Official").alias("status"),
+                            none.alias("disambiguation"), F.lit("Album").alias("primary_type"), kinds.cast("array<string>").alias("secondary_types"), F.lit(place).alias("pos"))
+
+    held = release(0, F.col("album"), F.lit("Various Artists"), F.array(F.lit("Compilation"))).unionByName(release(1, F.concat(F.lit("Own "), "track"), F.col("artist"), F.array()))
+    seen = spark.createDataFrame([("catalogue", LO, _MID, 1)], "provider string, start long, `end` long, verified_at long")
+    asked = [providers.by_rules(_CHAIN), providers.by_catalogue(matches), providers.off_compilations(held)]
+    found = providers.plan_with(live, asked, _whole(spark, sf_dir), seen, spark.createDataFrame([], passes.QUEUE), LO, HI, NOW, new_folder(spark, "suggestions"))
+    return found.intents.select("artist", "track", "album", "n", "provider", "new_track", "new_artist", "new_album", "outcome")
+
+
+_SEEN_BY = 'SELECT artist, track, album, count(*) AS n, max(uts) AS latest_uts FROM live l WHERE uts >= {0} AND uts < {1} AND EXISTS (SELECT 1 FROM one WHERE l.uts >= start AND l.uts < "end") GROUP BY ALL'
+_on_obs(
+    "planning_providers", _providers_pass,
+    """SELECT artist, track, album, n, provider, new_track, new_artist, new_album, CASE WHEN confirm THEN 'awaiting_approval' ELSE 'ready' END AS outcome
+       FROM (SELECT *, row_number() OVER (PARTITION BY artist, track, album ORDER BY rank) AS rn FROM told) WHERE rn = 1""",
+    _ALL, f"sp AS ({_SEEN_BY.format(LO, HI)})", f"half AS ({_SEEN_BY.format(_MID, HI)})", _CHAINED.replace("FROM subj WHERE latest_uts % 7200 <> 0", "FROM sp"),
+    """told AS (SELECT 0 AS rank, 'rules' AS provider, artist, track, album, n, new_track, new_artist, new_album, confirm FROM c3 WHERE new_track <> track OR new_artist <> artist OR new_album IS DISTINCT FROM album
+       UNION ALL SELECT 1, 'catalogue', artist, track, album, n, track || '*', artist, album, false FROM half WHERE artist LIKE 'artist_1_'
+       UNION ALL SELECT 2, 'compilations', artist, track, album, n, track, artist, 'Own ' || track, true FROM sp WHERE album = 'album_2')""",
+)
+
 # --- stored pages -----------------------------------------------------------------------------------------------------
 
 _SPAN = 5 * 86400
@@ -161,17 +193,22 @@ _on_obs(
 
 
 def _requests(spark, sf_dir):
-    rows = _log(spark, sf_dir).filter("seq % 4 = 0")
+    """All of the log as requests for decisions."""
     op = F.when(F.col("seq") % 3 == 0, "approve").when(F.col("seq") % 3 == 1, "reject").otherwise("reinstate")
-    return rows.select((F.col("id") % 400).alias("id"), op.alias("op"), F.col("seq").alias("at"), (F.col("seq") % 8 == 0).alias("dismiss"))
+    return _log(spark, sf_dir).select((F.col("id") % 400).alias("id"), op.alias("op"), F.col("seq").alias("at"), (F.col("seq") % 8 == 0).alias("dismiss"))
 
 
+_RQ = """rq AS (SELECT user_id % 400 AS id, CASE event_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'reinstate' END AS op, event_id AS "at", event_id % 8 = 0 AS dis, row_number() OVER (PARTITION BY user_id % 400 ORDER BY event_id) AS i FROM events)"""
 register(
     "guarded_decisions", lambda s, d: eventlog.guarded(_requests(s, d), _intents(s, d)).select("at", "op", "event", "dismissed", "error"),
-    f"""{_ST}, rq AS (SELECT user_id % 400 AS id, CASE event_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'reinstate' END AS op, event_id AS "at", event_id % 8 = 0 AS dis FROM events WHERE event_id % 4 = 0),
-        j AS (SELECT rq.*, st.state, st.state = 'rejected' AND dismissed AS was, CASE op WHEN 'approve' THEN state = 'awaiting_approval' WHEN 'reject' THEN state IN ('awaiting_approval', 'ready', 'in_progress') ELSE state = 'rejected' END AS ok FROM rq LEFT JOIN st USING (id))
-        SELECT "at", op, CASE WHEN ok THEN CASE op WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'reinstated' END END AS event, CASE WHEN ok AND op = 'reject' AND dis THEN true WHEN ok AND op = 'reinstate' AND was THEN false END AS dismissed,
-               CASE WHEN state IS NULL THEN 'not found' WHEN NOT ok THEN 'can''t ' || op || ' what is ' || state END AS error FROM j""",
+    f"""WITH RECURSIVE {_STATE}, {_RQ},
+        step AS (SELECT id, 0::BIGINT AS i, state, appr, state = 'rejected' AND dismissed AS was, NULL::BIGINT AS "at", NULL::VARCHAR AS op, false AS ok, NULL::VARCHAR AS found, NULL::BOOLEAN AS entry FROM st
+          UNION ALL SELECT id, i, CASE WHEN NOT ok THEN found WHEN op = 'approve' THEN 'ready' WHEN op = 'reject' THEN 'rejected' WHEN appr THEN 'awaiting_approval' ELSE 'ready' END AS state, appr,
+                 CASE WHEN ok AND op = 'reject' THEN dis WHEN ok AND op = 'reinstate' THEN false ELSE was END AS was, "at", op, ok, found, CASE WHEN ok AND op = 'reject' AND dis THEN true WHEN ok AND op = 'reinstate' AND was THEN false END AS entry
+          FROM (SELECT rq.*, step.state AS found, appr, was, CASE rq.op WHEN 'approve' THEN step.state = 'awaiting_approval' WHEN 'reject' THEN step.state IN ('awaiting_approval', 'ready', 'in_progress') ELSE step.state = 'rejected' END AS ok
+                FROM step JOIN rq ON rq.id = step.id AND rq.i = step.i + 1))
+        SELECT "at", op, CASE WHEN ok THEN CASE op WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'reinstated' END END AS event, entry AS dismissed, CASE WHEN NOT ok THEN 'can''t ' || op || ' what is ' || found END AS error FROM step WHERE i > 0
+        UNION ALL SELECT "at", op, NULL, NULL, 'not found' FROM rq WHERE id NOT IN (SELECT id FROM st)""",
 )
 
 
@@ -180,10 +217,12 @@ def _proposals(spark, sf_dir):
 
 
 register(
-    "guarded_rules", lambda s, d: eventlog.guarded_rules(_requests(s, d).filter("op <> 'reinstate'"), _proposals(s, d)).select("at", "event", "joins", "error"),
-    f"""WITH {_LOG}, pr AS (SELECT id, coalesce(CASE arg_max(e, seq) FILTER (WHERE e IN ('click', 'error')) WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected' END, 'pending') AS state FROM ok GROUP BY id)
-        SELECT event_id AS "at", CASE WHEN state = 'pending' THEN CASE event_id % 3 WHEN 0 THEN 'approved' ELSE 'rejected' END END AS event, coalesce(state = 'pending' AND event_id % 3 = 0, false) AS joins, CASE WHEN state IS NULL THEN 'not found' WHEN state <> 'pending' THEN 'is ' || state END AS error
-        FROM events LEFT JOIN pr ON pr.id = user_id % 400 WHERE event_id % 4 = 0 AND event_id % 3 < 2""",
+    "guarded_rules", lambda s, d: eventlog.guarded_rules(_requests(s, d).withColumn("op", F.when(F.col("op") == "approve", "approve").otherwise("reject")), _proposals(s, d)).select("at", "event", "joins", "error"),
+    f"""WITH {_LOG}, {_RQ}, pr AS (SELECT id, coalesce(CASE arg_max(e, seq) FILTER (WHERE e IN ('click', 'error')) WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected' END, 'pending') AS state FROM ok GROUP BY id),
+        told AS (SELECT rq.id, "at", i, state, CASE op WHEN 'approve' THEN 'approved' ELSE 'rejected' END AS e FROM rq LEFT JOIN pr USING (id)),
+        first AS (SELECT id, e AS decided FROM told WHERE i = 1)
+        SELECT "at", CASE WHEN state = 'pending' AND i = 1 THEN e END AS event, coalesce(state = 'pending' AND i = 1 AND e = 'approved', false) AS joins,
+               CASE WHEN state IS NULL THEN 'not found' WHEN state <> 'pending' THEN 'is ' || state WHEN i > 1 THEN 'is ' || decided END AS error FROM told LEFT JOIN first USING (id)""",
 )
 _on_obs(
     "plan_counts", lambda s, d: planner.plan_report(subjects.without(subjects.group_by_subject(_live(s, d)), _dismissed(s, d)), _planned(s, d)),

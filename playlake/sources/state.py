@@ -7,9 +7,11 @@ or the new one.  Event logs and anything that grows with the plays are tables of
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from playlake.operators import interval
@@ -21,7 +23,8 @@ class StateFiles:
 
     def __init__(self, spark: SparkSession, path: str):
         self._java, self.path = spark._jvm.org.apache.hadoop.fs, path.rstrip("/")
-        self._fs = self._java.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._gateway, self._conf = spark._sc._gateway, spark._jsc.hadoopConfiguration()
+        self._fs = self._java.Path(self.path).getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._java.Path(f"{self.path}/{name}")
@@ -46,10 +49,40 @@ class StateFiles:
         stream = self._fs.create(temporary, False)
         stream.write(text.encode())
         stream.close()
-        if not self._fs.rename(temporary, self._at(name)):  # a store that doesn't replace by renaming
-            self._fs.delete(self._at(name), False)
-            if not self._fs.rename(temporary, self._at(name)):
-                raise OSError(f"can't write {name}")
+        if not self._fs.rename(temporary, self._at(name)):  # a store whose plain rename doesn't replace
+            self._rename(temporary, self._at(name), "OVERWRITE")
+
+    def _rename(self, source, target, how: str) -> None:
+        """A rename in one step, with what is to happen where the target exists."""
+        options = self._gateway.new_array(self._java.Options.Rename, 1)
+        options[0] = getattr(self._java.Options.Rename, how)
+        self._java.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(source, target, options)
+
+    def publish(self, name: str, text: str) -> bool:
+        """Write a file whole, unless there is one of this name: then nothing, and false.  Of several writers one wins.
+
+        The name is given in one step that fails if it is taken: a hard link on this machine's file systems, else a rename that doesn't
+        replace, which HDFS does in one step; on object stores, which have no such step, there must be one writer.
+        """
+        temporary = self._at(f".{uuid.uuid4().hex}")
+        stream = self._fs.create(temporary, False)
+        stream.write(text.encode())
+        stream.close()
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                local = [self._java.Path.getPathWithoutSchemeAndAuthority(p).toString() for p in (temporary, self._at(name))]
+                os.link(*local)
+            else:
+                self._rename(temporary, self._at(name), "NONE")
+        except FileExistsError:
+            return False
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        finally:
+            self._fs.delete(temporary, False)
+        return True
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)

@@ -85,6 +85,32 @@ def test_guards(spark):
     assert {r.id: (r.event, r.joins, r.error) for r in eventlog.guarded_rules(asked, proposals).collect()} == {"p": ("approved", True, None), "q": (None, False, "is approved"), "z": (None, False, "not found")}
 
 
+def test_guards_see_the_decisions_before(spark):
+    """Random requests, each against the state after those before it, as one loop would have it."""
+    import random
+
+    rng = random.Random(6)
+    states = ["awaiting_approval", "ready", "in_progress", "rejected", "applied", "abandoned"]
+    intents = [(k, states[k % 6], k % 4 == 0, k % 6 == 3 and k % 2 == 0) for k in range(60)]
+    asked = [(k % 62, rng.choice(["approve", "reject", "reinstate"]), at, rng.random() < 0.5) for at, k in enumerate(rng.choices(range(62), k=900))]
+    now, want = {k: [s, a, w] for k, s, a, w in intents}, {}
+    for k, op, at, dismiss in asked:
+        found = now.get(k)
+        allowed = found and found[0] in eventlog.GUARDS[op][0]
+        entry = None
+        if allowed:
+            entry = (True if dismiss else None) if op == "reject" else False if op == "reinstate" and found[2] else None
+            found[0] = {"approve": "ready", "reject": "rejected", "reinstate": "awaiting_approval" if found[1] else "ready"}[op]
+            found[2] = dismiss if op == "reject" else False if op == "reinstate" else found[2]
+        want[at] = (eventlog.GUARDS[op][1] if allowed else None, entry)
+    df = spark.createDataFrame(intents, "id long, state string, requires_approval boolean, dismissed boolean")
+    got = eventlog.guarded(spark.createDataFrame(asked, "id long, op string, at long, dismiss boolean").repartition(5), df)
+    assert {r.at: (r.event, r.dismissed) for r in got.collect()} == want
+    twice = spark.createDataFrame([("p", op, at) for at, op in enumerate(["reject", "approve", "reject"])], "id string, op string, at long")
+    told = eventlog.guarded_rules(twice, spark.createDataFrame([("p", "pending")], "id string, state string"))
+    assert [(r.event, r.joins, r.error) for r in told.orderBy("at").collect()] == [("rejected", False, None), (None, False, "is rejected"), (None, False, "is rejected")]
+
+
 def test_delays(spark):
     df = spark.createDataFrame([(0, None), (2, 10), (9, None)], "n int, asked long")
     assert [r[0] for r in df.select(eventlog.retry_delay(F.col("n"), F.col("asked"))).collect()] == [30, 130, 600]
