@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 CONTEXT_CHARS, MIN_SCORE = 40, 0.6
+#: Matches that are folded at once.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,11 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(kind: Kind, text: Column) -> Column:
     """Array of struct(kind, start, end, text, score) of one kind's confirmed matches, in order."""
     schema = "array<struct<start:int,rank:int,kind:string,end:int,text:string,score:double>>"
@@ -133,26 +140,43 @@ def spans_of(kind: Kind, text: Column) -> Column:
 
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    # Running end of piece and match: where each match starts and ends.  The last characters are carried along, so that the context
-    # reaches over earlier matches and the text isn't cut from its beginning for each.
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("text"), F.slice(pieces, 2, F.size(matches)).alias("after"))
+    length = lambda x: F.char_length(x["gap"]) + F.char_length(x["text"])
     last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
-    found = F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("text"), F.slice(pieces, 2, F.size(matches)).alias("after")),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(schema).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("at"),
-            last(acc["before"], x["gap"], x["text"]).alias("before"),
-            F.when(
-                _confirmed(kind.name, x["text"]),
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
-                    (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["text"])).alias("end"), x["text"].alias("text"),
-                    _score(kind, last(acc["before"], x["gap"]), F.left(x["after"], F.lit(CONTEXT_CHARS))).alias("score"),
-                )).cast(schema)),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+
+    def fold(items: Column, first: Column, at: Column) -> Column:
+        """The spans of a run of matches: running end of piece and match, where each starts and ends.  The last characters are carried along, so that the
+        context reaches over earlier matches and the text isn't cut from its beginning for each."""
+        earlier = F.slice(items, F.greatest(first - CONTEXT_CHARS, F.lit(0)) + 1, F.least(first, F.lit(CONTEXT_CHARS)))  # each has a character at least
+        before = F.right(F.array_join(F.transform(earlier, lambda x: F.concat(x["gap"], x["text"])), ""), F.lit(CONTEXT_CHARS))
+        return F.aggregate(
+            F.slice(items, first + 1, RUN),
+            F.struct(at.alias("at"), before.alias("before"), F.array().cast(schema).alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + length(x)).alias("at"),
+                last(acc["before"], x["gap"], x["text"]).alias("before"),
+                F.when(
+                    _confirmed(kind.name, x["text"]),
+                    F.concat(acc["spans"], F.array(F.struct(
+                        (acc["at"] + F.char_length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
+                        (acc["at"] + length(x)).alias("end"), x["text"].alias("text"),
+                        _score(kind, last(acc["before"], x["gap"]), F.left(x["after"], F.lit(CONTEXT_CHARS))).alias("score"),
+                    )).cast(schema)),
+                ).otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    total = lambda xs, of: F.aggregate(xs, F.lit(0), lambda acc, x: acc + of(x))
+
+    def in_runs(items: Column) -> Column:
+        """An array that grows by one is copied each time, so matches are folded in runs of a fixed length, each from where the runs before end."""
+        firsts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(RUN))
+        sizes = F.transform(firsts, lambda first: total(F.slice(items, first + 1, RUN), length))
+        folded = _let(sizes, lambda held: F.transform(firsts, lambda first: fold(items, first, total(F.slice(held, 1, F.floor(first / RUN).cast("int")), lambda n: n))))
+        return F.when(F.size(items) > 0, F.flatten(folded)).otherwise(F.array().cast(schema))
+
+    found = _let(zipped, in_runs)
     found = F.when(_possible(kind, text), found).otherwise(F.array().cast(schema))
     return found if kind.base else F.filter(found, lambda s: s["score"] >= MIN_SCORE)
 
@@ -186,11 +210,9 @@ def redact(docs: DataFrame, text_col: str = "text", kinds=KINDS) -> DataFrame:
 
 
 def _without(kind: Kind, text: Column) -> Column:
-    schema = "array<string>"
-
-    def cut(acc, s):
-        kept = text.substr(acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, F.concat(F.lit("<"), s["kind"], F.lit(">"))).cast(schema)).alias("out"))
+    def cut(spans: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
+        kept = F.transform(spans, lambda s, i: F.concat(text.substr(end(i) + 1, s["start"] - end(i)), F.lit("<"), s["kind"], F.lit(">")))
+        return F.concat(F.array_join(kept, ""), text.substr(end(F.size(spans)) + 1, F.char_length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(schema).alias("out"))
-    return F.aggregate(spans_of(kind, text), start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.char_length(text))))
+    return _let(spans_of(kind, text), cut)

@@ -17,11 +17,13 @@ from playlake.llm.scratch import new_path
 from playlake.llm.shards import Store
 from playlake.llm.toxicity import toxicity
 from playlake.llm.warc import capture_digest, round_trip
+from playlake.llm.worker import release
 from playlake.shipping import ship
 
 
 def _table(spark, sf_dir, name):
     ship(spark)
+    release(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -162,8 +164,8 @@ ORACLE_SQL = {
         SELECT page_id, payload_bytes,
                array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((('0x' || substr(x, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
-               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d""",
+               CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM d""",
     "op9_hash_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS size,
                           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

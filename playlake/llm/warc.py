@@ -168,13 +168,20 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str, glob: str = "*.gz") -> DataFrame:
-    """One row per record of the archives below ``path``.
+    """One row per record of the archives below ``path``, compressed or not; a file is read by one task, record by record.
 
-    The text reader keeps a line's bytes as they are, so payloads in any encoding come through.
+    The text reader keeps a line's bytes as they are, so payloads in any encoding come through.  It deals large plain files out in
+    splits, within which records go on; these files' pieces are put in order again by file and split first, sorted on disk if need be.
     """
     bound_batches(spark)
     lines = spark.read.option("lineSep", MARK.decode()).option("pathGlobFilter", glob).text(path)
-    return lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file")).mapInArrow(_parse, RECORD)
+    pieces = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    packed = pieces.select("piece", "file") if glob.endswith(".gz") else pieces.filter(F.col("file").endswith(".gz")).select("piece", "file")
+    if not glob.endswith(".gz"):
+        plain = pieces.filter(~F.col("file").endswith(".gz")).withColumn("place", F.monotonically_increasing_id())
+        ordered = plain.repartition("file").sortWithinPartitions("file", "split", "place").select("piece", "file")
+        return packed.mapInArrow(_parse, RECORD).unionByName(ordered.mapInArrow(_parse, RECORD))
+    return packed.mapInArrow(_parse, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -202,13 +209,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def capture_digest(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes and payload_digest (of the full payload), record_type, refers_to."""
-    number = lambda c: F.regexp_extract(c, r"^urn:capture:(-?[0-9]+)[.:]", 1)
-    page_id = F.expr("try_cast(regexp_extract(capture, '^urn:capture:(-?[0-9]+)[.:]', 1) as bigint)")
+    """page_id, payload_bytes and payload_digest (of the full payload), record_type as the archive has it, refers_to (null where the response's page has no id)."""
+    number = lambda c: F.regexp_extract(c, r"^urn:capture:(-?[0-9]+)[.:]", 1).try_cast("long")
     return captures.select(
-        page_id.alias("page_id"),
+        number(F.col("capture")).alias("page_id"),
         F.coalesce(F.octet_length("response.payload"), F.regexp_extract("metadata.block", r"payloadBytes: ([0-9]+)", 1).cast("int")).cast("long").alias("payload_bytes"),
         F.coalesce(base32_sha1(F.col("response.payload")), F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"),
-        F.when(page_id.isNull(), "revisit").otherwise(F.col("response.record_type")).alias("record_type"),
-        F.when(page_id.isNotNull() & (F.col("response.record_type") == "revisit"), number(F.col("response.refers_to")).cast("long")).alias("refers_to"),
+        F.col("response.record_type").alias("record_type"),
+        F.when(F.col("response.record_type") == "revisit", number(F.col("response.refers_to"))).alias("refers_to"),
     )

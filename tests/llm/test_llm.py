@@ -410,6 +410,27 @@ def test_context_reaches_over_matches(spark):
     assert [got[k] for k in range(len(cases))] == want
 
 
+def test_texts_of_many_spans(spark):
+    """Time grows with the spans, not with their square; runs of matches meet without a seam."""
+    import time
+
+    def took(n):
+        text = " ".join(f"u{k}@example.org" if k % 3 else f"call +1 555 010 {1000 + k % 9000}" for k in range(n))
+        began = time.perf_counter()
+        row = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+        spent = time.perf_counter() - began
+        assert [text[s["start"] : s["end"]] for s in row["base"]] == [s["text"] for s in row["base"]] == [text[m.start() : m.end()] for m in re.finditer(r"u\d+@example.org|\+1 555 010 \d{4}", text)]
+        return spent
+
+    took(500)
+    small, large = took(10_000), took(100_000)
+    assert large < 25 * max(small, 1.0)
+    texts = [(k, "a@b.c " * k + "x" * (k % 50)) for k in (0, 1, 127, 128, 129, 256, 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_email"] for r in find_pii(df).collect()} == {k: k for k, _ in texts}
+    assert {r["doc_id"]: r["text"] for r in redact(df).collect()} == {k: "<email> " * k + "x" * (k % 50) for k, _ in texts}
+
+
 def test_redaction(docs):
     found = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     assert found[20] == "mail me at <email>. or call <phone>" and found[21] == "host 10.0.0.300 and <ip>, card <card>"
@@ -611,6 +632,31 @@ def test_foreign_archives(spark, tmp_path):
         read_warc(spark, str(tmp_path), "e*").collect()
 
 
+def test_large_plain_archives(spark, tmp_path):
+    """Files beyond a split, with records that hold marks and lie across splits."""
+    rng = np.random.default_rng(3)
+    blocks = [bytes(rng.integers(0, 256, int(n), np.uint8)) + b"\r\n\r\nWARC/1.0 inside" * int(n % 3) for n in rng.integers(1, 900_000, 25)]
+    parts = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(b), b) for k, b in enumerate(blocks)]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts[:9]))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(parts[9:])))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        got = read_warc(spark, str(tmp_path), "*").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert Counter((r["record_id"], bytes(r["block"])) for r in got) == Counter({(f"urn:{k}", b): 2 for k, b in enumerate(blocks)})
+
+
+def test_record_types_are_as_read(spark):
+    """A page without an id is a response, too, where its payload is the only one or no page with an id has it."""
+    pages = spark.createDataFrame([(None, "u", "alone"), (None, "u", "both"), (4, "u", "both")], "page_id long, url string, html string")
+    captures = round_trip(pages)
+    read = Counter(r["response"]["record_type"] for r in captures.collect())
+    assert read == {"response": 2, "revisit": 1} == Counter(r["record_type"] for r in capture_digest(captures).collect())
+    assert collected(capture_digest(captures), "page_id", "record_type", "refers_to") == sorted([(None, "response", None), (None, "revisit", 4), (4, "response", None)], key=str)
+
+
 def test_archive_of_large_pages(spark):
     pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("WARC/1.1 é "), F.col("id").cast("string")), F.when(F.col("id") == 7, 1_500_000).otherwise(3000)).alias("html"))
     want = {r["page_id"]: (r["n"], r["d"]) for r in pages.select("page_id", F.octet_length("html").alias("n"), F.sha1("html").alias("d")).collect()}

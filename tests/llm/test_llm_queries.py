@@ -176,6 +176,21 @@ def test_scopes_delete_what_they_do_not_keep(spark):
     assert not os.path.exists(lost.scratch_path.removeprefix("file://")) and not scratch._SCOPES
 
 
+def test_settings_are_taken_back(spark):
+    names = list(worker._BOUNDS)
+    before = {n: spark.conf.get(n, None) for n in names}
+    worker.release(spark)
+    spark.conf.set(names[0], "77")
+    worker.bound_batches(spark)
+    assert spark.conf.get(names[0]) == "77" and spark.conf.get(names[2], None) == str(worker._BOUNDS[names[2]])
+    worker.release(spark)
+    assert spark.conf.get(names[0]) == "77" and all(spark.conf.get(n, None) is None for n in names[1:])
+    spark.conf.unset(names[0])
+    for n, value in before.items():
+        if value is not None:
+            spark.conf.set(n, value)
+
+
 def test_workers_remember_one_object():
     assert worker.held("a", list) is worker.held("a", list)
     first = worker.held("a", list)
