@@ -9,7 +9,9 @@ An operator that writes several opens a :class:`Scope`: at its end all are delet
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,6 +53,21 @@ class Scope:
                 _SCOPES[-1].paths.append(path)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes within delete their shuffle files as they end, not when the driver happens to collect its garbage; for tables that are run once."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def _root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; without it the context's checkpoint folder; on a single machine a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

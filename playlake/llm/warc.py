@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playlake.llm.scratch import Scope, materialize, new_path
+from playlake.llm.scratch import Scope, freed_shuffles, materialize, new_path
 from playlake.llm.worker import bound_batches
 
 EOL = "\r\n"
@@ -203,7 +203,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` as archives, read them back, and assemble the captures."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    with Scope(spark):
+    with Scope(spark), freed_shuffles(spark):
         write_warc(captures_to_records(pages, id_col, url_col, payload_col, min_bytes), path)
     return assemble(read_warc(spark, path))
 
