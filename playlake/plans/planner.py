@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from playlake.folders import new_folder
 from playlake.functions.rules import FIELDS, RewriteRule, apply_chain
 from playlake.operators import interval
 from playlake.operators.eventlog import decide
 from playlake.operators.subjects import KEY, group_by_subject, without
+from playlake.plans.tiling import tiles
 
 
 def _closing(keys: list[str], start: int, end: int, hint: int):
@@ -26,8 +28,6 @@ def _closing(keys: list[str], start: int, end: int, hint: int):
                     if state is not None:
                         out.append((*key, state[0], state[1], end, state[2]))
                     key, state = own, [0, start, 0]
-                if uts is None:  # a key's mark, which has no plays
-                    continue
                 if state[2] >= hint:
                     out.append((*key, state[0], state[1], state[3], state[2]))
                     state = [state[0] + 1, state[3], 0]
@@ -47,15 +47,16 @@ def claims(plays: DataFrame, start: int, end: int, hint: int, keys: list[str] =
 
     A batch ends behind the first second that brings it to ``hint`` plays, so no second is split; the last one ends with
     the range.  The choice is greedy, so each key's seconds, counted beforehand, are dealt to one task and sorted there (on disk if
-    need be), and a task remembers no more than the open batch.  Without keys there is always a last batch.
+    need be), and a task remembers no more than the open batch.  Without keys the counted seconds are written, and spans of time are
+    cut side by side (:mod:`playlake.plans.tiling`); there is always a last batch.
     """
     keys = list(keys)
     seconds = plays.filter((F.col("uts") >= start) & (F.col("uts") < end)).groupBy(*keys, "uts").agg(F.count(F.lit(1)).alias("n"))
-    if keys:
-        dealt = seconds.repartition(*keys)
-    else:
-        mark = plays.sparkSession.range(1).select(F.lit(None).cast("long").alias("uts"), F.lit(0).cast("long").alias("n"))
-        dealt = seconds.unionByName(mark).repartition(1)
+    if not keys:
+        spark, folder = plays.sparkSession, new_folder(plays.sparkSession, "seconds")
+        seconds.write.parquet(folder)
+        return tiles(spark.read.schema("uts long, n long").parquet(folder), start, end, hint)
+    dealt = seconds.repartition(*keys)
     kinds = [f"`{k}` {dict(plays.dtypes)[k]}" for k in keys]
     ordered = dealt.sortWithinPartitions(*keys, F.col("uts").asc_nulls_first()).select(*keys, F.col("uts").cast("long"), F.col("n").cast("long"))
     return ordered.mapInArrow(_closing(keys, start, end, hint), ", ".join([*kinds, "batch long, claim_start long, claim_end long, n long"]))

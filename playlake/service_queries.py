@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from playlake.functions import rules, texts
+from playlake.functions import rule_table, rules, texts
 from playlake.operators import eventlog, interval, query, reconcile, releases, store, subjects
 from playlake.plans import passes, planner, providers, sync
 from playlake.queries import (
@@ -242,6 +242,28 @@ _on_obs("any_rule", lambda s, d: _edits(s, d).select("id", rules.any_rule(_CHAIN
 _on_obs(
     "catalogue_clean_up", lambda s, d: rules.without_pattern(_live(s, d), r"_\d$", "artist_5"), "SELECT DISTINCT artist, track, regexp_replace(track, '_\\d$', '') AS new_track FROM live WHERE artist = 'artist_5'",
 )
+
+
+def _long_list() -> list:
+    """Two thousand rules for single titles, and three that build on them."""
+    each = [{"track_name": {"find": f"^track_{k}$", "replace": f"Track {k}"}} for k in range(2000)]
+    more = [{"track_name": {"find": r"^Track (\d)$", "replace": "T$1"}, "artist_name": {"find": "artist_1", "replace": "One"}, "requires_confirmation": True}, {"album_name": {"find": "^ALBUM_[12]$", "replace": "Twin", "flags": "i"}}, {"track_name": {"find": "T7|Track 8", "replace": ""}}]
+    return rules.rules_from_rows([*each, *more])
+
+
+_on_obs(
+    "rule_table", lambda s, d: rule_table.apply_table(subjects.group_by_subject(_live(s, d)), _long_list()).select("artist", "track", "album", "new_track", "new_artist", "new_album", "confirm"),
+    """SELECT artist, track, album, CASE WHEN hit AND track = 'track_7' THEN '' WHEN hit THEN 'T' || track[-1] WHEN track = 'track_8' THEN '' ELSE 'Track ' || track[-1] END AS new_track, CASE WHEN hit THEN 'One' ELSE artist END AS new_artist,
+              CASE WHEN album IN ('album_1', 'album_2') THEN 'Twin' ELSE album END AS new_album, hit AS confirm FROM (SELECT *, contains(artist, 'artist_1') AS hit FROM subj)""",
+)
+_on_obs(
+    "claims_whole", lambda s, d: planner.claims(_live(s, d), LO, HI, 50),
+    f"""SELECT batch, claim_start, CASE WHEN batch = (SELECT max(batch) FROM w) THEN {HI} ELSE seen END::BIGINT AS claim_end, n FROM w""",
+    f"""sc AS (SELECT uts, count(*)::BIGINT AS n, row_number() OVER (ORDER BY uts) AS i FROM live WHERE uts >= {LO} AND uts < {HI} GROUP BY uts),
+        st0 AS (SELECT 0::BIGINT AS i, 0::BIGINT AS batch, {LO}::BIGINT AS claim_start, 0::BIGINT AS n, {LO}::BIGINT AS seen),
+        cut AS (WITH RECURSIVE r AS (SELECT * FROM st0 UNION ALL SELECT sc.i, CASE WHEN r.n >= 50 THEN batch + 1 ELSE batch END, CASE WHEN r.n >= 50 THEN seen ELSE claim_start END, CASE WHEN r.n >= 50 THEN sc.n ELSE r.n + sc.n END, sc.uts + 1 FROM r JOIN sc ON sc.i = r.i + 1) SELECT * FROM r),
+        w AS (SELECT batch, min(claim_start) AS claim_start, arg_max(n, i)::BIGINT AS n, max(seen)::BIGINT AS seen FROM cut GROUP BY batch)""",
+)
 _on_obs(
     "edit_summaries",
     lambda s, d: _live(s, d).withColumns({"album_artist": F.lit(None).cast("string"), "timestamp": F.col("uts")}).select("id", subjects.summary_text(subjects.with_artist(subjects.track_edit(F.col("track"), F.col("artist"), F.col("album"), F.col("timestamp")), F.when(F.col("seq") % 2 == 0, F.col("artist")).otherwise("Other"))).alias("by_track"), subjects.summary_text(subjects.artist_edit(F.col("artist"), F.lit("artist_3"))).alias("by_artist"), subjects.summary_text(subjects.no_op_edit()).alias("none")),
