@@ -136,8 +136,17 @@ def subtract_changes(held: DataFrame, removed: DataFrame, keys: list[str] = ())
 
 
 def incremental_work(synced: DataFrame, coverage: DataFrame, start: int, end: int, provider: str = "provider") -> DataFrame:
-    """What any provider still has to see: the union over providers of (synced within the window) minus its coverage."""
+    """What any provider still has to see: the union over providers of (synced within the window) minus its coverage.
+
+    That is the window less what all providers have covered, which one sweep over their merged ranges finds; without providers there is no work.
+    """
     window = synced.select(F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end")).filter("start < end")
-    each = coverage.select(provider).distinct().crossJoin(window)  # a handful of providers
-    work = subtract(each, coverage.select(provider, "start", "end"), [provider])
+    n = coverage.select(provider).distinct().count()
+    if not n:
+        return window.limit(0)
+    merged = normalise(coverage.select(provider, "start", "end", F.lit(0).cast("long").alias("verified_at")), [provider])
+    steps = merged.select(F.col("start").alias("at"), F.lit(1).alias("by")).unionByName(merged.select(F.col("end").alias("at"), F.lit(-1).alias("by"))).groupBy("at").agg(F.sum("by").alias("by"))
+    order = Window.orderBy("at")  # ranges that are merged where they touch
+    covered = steps.withColumns({"n": F.sum("by").over(order), "until": F.lead("at").over(order)}).filter(F.col("n") == n)
+    work = subtract(window, covered.select(F.col("at").alias("start"), F.col("until").alias("end")))
     return normalise(work.select("start", "end", F.lit(0).cast("long").alias("verified_at"))).drop("verified_at")
