@@ -2,10 +2,11 @@
 
 A task turns each shard of its documents, some hundred thousand words, into one stream of word numbers, a separator between
 documents.  Sorting the positions of the stream by the words that follow (prefix doubling) gives the shard's suffix array.
-Suffixes of benchmark texts are looked up by binary search.  :func:`longest_matches` does that for every suffix and follows
-each match as far as it goes: its length and one of its places.  :func:`benchmark_hits` needs all places of each window, and a
-window is the beginning of a suffix, so its places are one range of the array; windows that repeat are looked up once, and
-know the items that have them.
+Every suffix of the benchmark texts is looked up by binary search; suffixes that begin with the same window are looked up once,
+and know the items that have them.  The range that is found holds all places of the window, and each match there is followed as
+far as it goes, among the block's suffixes that begin so, sorted likewise.  What :func:`benchmark_hits` marks is the union of these
+longest matches, and it reports each document's longest.  A place whose match is the rest of the one a word before isn't followed
+again.  :func:`longest_matches` has the same from the other side: each suffix's longest match and one of its places.
 
 Only words of the benchmark have numbers; every other word is a zero, which equals nothing.  A suffix that begins with a
 zero can't match, so it isn't put in the array.  Words are compared as bytes, never by hash.
@@ -44,28 +45,50 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-class Queries:
-    """A block of benchmark texts: its vocabulary, its words in one stream, and its different windows."""
+class Words:
+    """A stream of word numbers."""
+
+    def __init__(self, stream: np.ndarray, window: int = WINDOW_WORDS):
+        self.window, self.stream = window, np.concatenate([stream, np.zeros(window, np.int32)])
+
+    def words(self, place: np.ndarray, offset: int, size: np.ndarray) -> np.ndarray:
+        """A window's worth of words from each place plus ``offset`` on; zeros behind its ``size``."""
+        columns = np.arange(self.window)
+        found = self.stream[np.minimum(place[:, None] + offset + columns, len(self.stream) - 1)]
+        found[columns >= size[:, None]] = 0
+        return found
+
+
+class Queries(Words):
+    """A block of benchmark texts: its vocabulary, its words in one stream, its different windows and its own suffix array."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW_WORDS):
         items = [(item, words) for item, words in items if words]
-        self.window = window
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, words in items for w in words}))}
         self.names = [item for item, _ in items]
         self.lengths = np.array([len(words) for _, words in items], np.int64)
         flat = np.fromiter((self.vocabulary[w] for _, words in items for w in words), np.int32, int(self.lengths.sum()))
-        self.stream = np.concatenate([flat, np.zeros(window, np.int32)])
+        super().__init__(flat, window)
         self.longest = int(self.lengths.max(initial=0))
         owner, at, left = self.suffixes()
         place = np.flatnonzero((left >= window) | (at == 0))
         words = self.words(place, 0, np.minimum(left[place], window))
         distinct, kind = np.unique(words, axis=0, return_inverse=True) if len(words) else (words, np.empty(0, np.int64))
         #: Of each different window its first place and its number of words; and its items, one window's after another's.
+        kind = kind.ravel()
         self.first = np.zeros(len(distinct), np.int64)
-        self.first[kind.ravel()[::-1]] = place[::-1]
+        self.first[kind[::-1]] = place[::-1]
         self.size = (distinct > 0).sum(axis=1)
-        pairs = np.unique(np.stack([kind.ravel(), owner[place]], axis=1), axis=0) if len(place) else np.empty((0, 2), np.int64)
+        pairs = np.unique(np.stack([kind, owner[place]], axis=1), axis=0) if len(place) else np.empty((0, 2), np.int64)
         self.items, self.ends = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct)), side="right")
+        #: Where each text begins in a stream with a zero after each, that stream's suffix array, and each window's range of it.
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        apart = np.zeros(len(flat) + len(self.lengths), np.int32)
+        apart[np.arange(len(flat)) + owner] = flat
+        self.array = SuffixArray(apart, window, self.longest)
+        self.low, self.high = self.array.ranges(self, self.first, self.size)
+        #: The window that follows a window wherever the block has either, else -1.
+        self.successor = self._successors(place, kind, owner, left)
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: whose it is (a place in ``names``), its place in the text, and how many words are left from it on."""
@@ -73,12 +96,16 @@ class Queries:
         at = np.arange(len(owner)) - (np.cumsum(self.lengths) - self.lengths)[owner]
         return owner, at, self.lengths[owner] - at
 
-    def words(self, place: np.ndarray, offset: int, size: np.ndarray) -> np.ndarray:
-        """A window's worth of words from each place plus ``offset`` on; zeros behind its ``size``."""
-        columns = np.arange(self.window)
-        found = self.stream[np.minimum(place[:, None] + offset + columns, len(self.stream) - 1)]
-        found[columns >= size[:, None]] = 0
-        return found
+    def _successors(self, place: np.ndarray, kind: np.ndarray, owner: np.ndarray, left: np.ndarray) -> np.ndarray:
+        follows = np.full(len(place), -1, np.int64)
+        if len(place):
+            next_to = (place[1:] == place[:-1] + 1) & (owner[place[1:]] == owner[place[:-1]]) & (left[place[1:]] >= self.window)
+            follows[:-1] = np.where(next_to, kind[1:], -1)
+        count, least, greatest = np.bincount(kind, minlength=len(self.first)), np.full(len(self.first), len(self.first), np.int64), np.full(len(self.first), -1, np.int64)
+        np.minimum.at(least, kind, follows)
+        np.maximum.at(greatest, kind, follows)
+        # As many places have the one as the other, and each of the one is followed by the other: so none of the other stands alone.
+        return np.where((least == greatest) & (least >= 0) & (count[greatest] == count), greatest, -1)
 
 
 class SuffixArray:
@@ -134,30 +161,35 @@ class SuffixArray:
         return low, high
 
     def longest(self, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """For every suffix of the block the length of its longest match and one place of it (-1: none).
+        """For every suffix of the block the length of its longest match and one place of it (-1: none)."""
+        left = queries.suffixes()[2]
+        return self.follow(queries, np.arange(len(left)), left)
+
+    def follow(self, source: Words, place: np.ndarray, left: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of ``source``, with ``left`` words from it on, the length of the longest match among the suffixes lo to hi and one place of it (-1: none).
 
         Where a window's worth of words is there, the next ones are looked for among the suffixes that have these, and so on; where
-        it isn't, the neighbours of its place in the order have the most of it.  The array must be sorted as deep as items are long.
+        it isn't, the neighbours of its place in the order have the most of it.  The array must be sorted as deep as matches are long.
         """
-        left = queries.suffixes()[2]
-        length, found = np.zeros(len(left), np.int64), np.full(len(left), -1)
+        length, found = np.zeros(len(place), np.int64), np.full(len(place), -1)
         if not len(self.places):
             return length, found
-        open_, columns, offset = np.arange(len(left)), np.arange(self.window), 0
-        lo, hi = np.zeros(len(left), np.int64), np.full(len(left), len(self.places), np.int64)
+        open_, columns, offset = np.arange(len(place)), np.arange(self.window), 0
+        lo = np.zeros(len(place), np.int64) if lo is None else lo
+        hi = np.full(len(place), len(self.places), np.int64) if hi is None else hi
         while len(open_):
             size = np.minimum(left[open_] - offset, self.window)
-            low, high = self.ranges(queries, open_, size, lo, hi, offset)
+            low, high = self.ranges(source, place[open_], size, lo, hi, offset)
             whole = low < high
             for at in range(0, len(open_), _AT_ONCE):
                 part = slice(at, at + _AT_ONCE)
-                words = queries.words(open_[part], offset, size[part])
+                words = source.words(place[open_[part]], offset, size[part])
                 for neighbour in (np.maximum(low[part] - 1, lo[part]), np.minimum(low[part], hi[part] - 1)):
-                    place = self.places[neighbour]
-                    same = (self.stream[place[:, None] + offset + columns] == words) & (columns < size[part][:, None])
+                    there = self.places[neighbour]
+                    same = (self.stream[there[:, None] + offset + columns] == words) & (columns < size[part][:, None])
                     reach = offset + np.where(same.all(axis=1), self.window, (~same).argmax(axis=1))
                     better = reach > length[open_[part]]
-                    length[open_[part][better]], found[open_[part][better]] = reach[better], place[better]
+                    length[open_[part][better]], found[open_[part][better]] = reach[better], there[better]
             further = whole & (left[open_] - offset > self.window)
             open_, lo, hi, offset = open_[further], low[further], high[further], offset + self.window
         return length, found
@@ -173,11 +205,14 @@ def _passes(items: DataFrame, window: int, block_words: int, pass_words: int):
     total = items.agg(F.sum("bytes")).first()[0] or 0
     # A word is two bytes at least with its separator, so blocks of equal shares stay near the bound; long items fill one alone.
     count = max(1, -(-total // (2 * block_words)))
+    if count > 1:  # each block is read by itself
+        numbered = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int"))
+        items = materialize(numbered.repartition("block"), "blocks", by="block")
     at_once = max(1, pass_words // block_words)
     for first in range(0, count, at_once):
         blocks = []
         for k in range(first, min(count, first + at_once)):
-            part = [(r["item"], words_of(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).toLocalIterator()]
+            part = [(r["item"], words_of(r["text"])) for r in (items.filter(F.col("block") == k) if count > 1 else items).toLocalIterator()]
             if part or count == 1:
                 blocks.append(items.sparkSession.sparkContext.broadcast(Queries(sorted(part, key=lambda x: (x[0] is None, x[0] or 0, x[1])), window)))
         if blocks:
@@ -215,8 +250,9 @@ def _one_at_a_time(blocks):
             block.__dict__.pop("_value", None)
 
 
-_HITS = "doc_id long, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+_HITS = "doc_id long, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, longest struct<length:bigint,place:bigint,item_id:bigint,at:bigint>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_MATCH = pa.struct([("length", pa.int64()), ("place", pa.int64()), ("item_id", pa.int64()), ("at", pa.int64())])
 
 
 def _runs(marked: np.ndarray) -> list[dict]:
@@ -229,9 +265,31 @@ def _in_order(items) -> list:
     return sorted(items, key=lambda x: (x is None, x or 0))
 
 
+def _longest(matches) -> dict | None:
+    """Of matches the longest, of those the first of the document, of one place the smallest item's."""
+    return min(matches, key=lambda m: (-m["length"], m["place"], m["item_id"] is None, m["item_id"] or 0, m["at"]), default=None)
+
+
+def _matches(queries: Queries, stream: np.ndarray, place: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of windows and which they are → the longest matches there, one that is the rest of another left out: place, length, item (in ``names``) and its first word."""
+    size = queries.size[kind]
+    full, at = size == queries.window, np.full(len(stream) + 1, -1, np.int64)
+    at[place[full]] = kind[full]
+    begins = np.sort(place[full])
+    before = at[begins - 1]  # before the first word is the last element, -1
+    begins = begins[(before < 0) | (queries.successor[before] != at[begins])]
+    ends = np.flatnonzero(stream == 0)
+    length, found = queries.array.follow(Words(stream, queries.window), begins, ends[np.searchsorted(ends, begins)] - begins, queries.low[at[begins]], queries.high[at[begins]])
+    item = np.searchsorted(queries.starts, found, side="right") - 1
+    # Of a text shorter than a window the whole is the match.
+    short, owner = ~full, queries.suffixes()[0]
+    rest = owner[queries.first[kind[short]]]
+    return np.concatenate([begins, place[short]]), np.concatenate([length, size[short]]), np.concatenate([item, rest]), np.concatenate([found - queries.starts[item], np.zeros(len(rest), np.int64)])
+
+
 def _hits(docs, blocks, window: int) -> pa.RecordBatch:
     """What a shard's documents have of the blocks."""
-    hit, items = np.zeros(sum(len(words) + 1 for _, words in docs) + 1, np.int64), [set() for _ in docs]
+    hit, items, longest = np.zeros(sum(len(words) + 1 for _, words in docs) + 1, np.int64), [set() for _ in docs], [[] for _ in docs]
     starts = np.cumsum([0, *(len(words) + 1 for _, words in docs)])
     for queries in _one_at_a_time(blocks):
         stream, _ = _stream(docs, queries.vocabulary)
@@ -239,20 +297,28 @@ def _hits(docs, blocks, window: int) -> pa.RecordBatch:
         low, high = array.ranges(queries, queries.first, queries.size)
         counts = high - low
         kind = np.repeat(np.arange(len(counts)), counts)
+        if not len(kind):
+            continue
         # A place begins one window of each size at most, so these are no more than the shard's words times the sizes of windows.
         place = array.places[np.arange(len(kind)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
-        np.add.at(hit, place, 1)
-        np.add.at(hit, place + queries.size[kind], -1)
         met = np.unique(np.stack([np.searchsorted(starts, place, side="right") - 1, kind], axis=1), axis=0)
         for doc, own in met.tolist():
             items[doc].update(queries.names[i] for i in queries.items[(queries.ends[own - 1] if own else 0) : queries.ends[own]])
+        place, length, item, at = _matches(queries, stream, place, kind)
+        np.add.at(hit, place, 1)
+        np.add.at(hit, place + length, -1)
+        doc = np.searchsorted(starts, place, side="right") - 1
+        best = np.lexsort([place, -length, doc])
+        best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
+        for d, n, p, i, a in np.stack([doc, length, place - starts[doc], item, at], axis=1)[best].tolist():
+            longest[d].append({"length": n, "place": p, "item_id": queries.names[i], "at": a})
     marked = np.cumsum(hit)[:-1] > 0
     sums = np.concatenate([[0], np.cumsum(marked)])
     n_hit = sums[starts[1:]] - sums[starts[:-1]]
     spans = [_runs(marked[a:b]) if n else [] for a, b, n in zip(starts[:-1].tolist(), starts[1:].tolist(), n_hit.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([d for d, _ in docs], pa.int64()), pa.array([len(w) for _, w in docs], pa.int64()), pa.array(n_hit), pa.array(spans, _SPAN), pa.array([_in_order(i) for i in items], pa.list_(pa.int64()))],
-        ["doc_id", "n_words", "n_hit", "spans", "items"],
+        [pa.array([d for d, _ in docs], pa.int64()), pa.array([len(w) for _, w in docs], pa.int64()), pa.array(n_hit), pa.array(spans, _SPAN), pa.array([_in_order(i) for i in items], pa.list_(pa.int64())), pa.array([_longest(m) for m in longest], _MATCH)],
+        ["doc_id", "n_words", "n_hit", "spans", "items", "longest"],
     )
 
 
@@ -272,8 +338,8 @@ def _uniting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = np.zeros(r["n_words"] + 1, bool)
             for span in (span for p in r["passes"] for span in p["spans"]):
                 marked[span["start"] : span["end"]] = True
-            rows.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": int(marked.sum()), "spans": _runs(marked), "items": _in_order({i for p in r["passes"] for i in p["items"]})})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64()))]))
+            rows.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": int(marked.sum()), "spans": _runs(marked), "items": _in_order({i for p in r["passes"] for i in p["items"]}), "longest": _longest(p["longest"] for p in r["passes"] if p["longest"])})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64())), ("longest", _MATCH)]))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, item_text_col: str, item_col: str, window: int, shard_words: int, block_words: int, null_items: bool, pass_words: int):
@@ -294,7 +360,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, it
                 held = held.unionByName(materialize(_pass(numbered, blocks, window, shard_words), "hits"))
                 _destroy(blocks)
         if held is not None:
-            passes = held.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("spans", "items")).alias("passes"))
+            passes = held.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("spans", "items", "longest")).alias("passes"))
             united = passes.join(numbered.select("row", F.col("doc_id")), "row").select("doc_id", "n_words", "passes")
             found, blocks = scope.keep(materialize(united.mapInArrow(_uniting, _HITS), "united")), []
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))), blocks
@@ -310,7 +376,11 @@ def _destroy(blocks) -> None:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, null_items: bool = False, pass_words: int = PASS_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside a window's occurrence), spans (where: runs of such words, ends exclusive), items (their ids), contaminated."""
+    """One row per document: doc_id, n_words, n_hit (words inside a window's occurrence), spans (where: runs of such words, ends exclusive), items (their ids), longest, contaminated.
+
+    ``longest`` is the document's longest verbatim match, null without a hit: its length in words, its first word's place in the document, and
+    the item that has it, from its word ``at`` on; of several places the first, of several items that have it one.
+    """
     return _found(docs, benchmark, text_col, id_col, item_text_col, item_col, window, shard_words, block_words, null_items, pass_words)[0]
 
 

@@ -101,12 +101,12 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back; within a :class:`Scope`, until its end."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back; within a :class:`Scope`, until its end.  ``by``, the last column: a folder for each of its values."""
     path = new_path(df.sparkSession, name)
     if _SCOPES:
         _SCOPES[-1].paths.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = reread(df.sparkSession, path, df)
     table.scratch_path = path
     return table

@@ -351,6 +351,38 @@ def test_spans_of_hits(spark, docs, benchmark):
     assert spans == {18: [(1, 21)], 19: [(0, 2)], 20: []}
 
 
+@pytest.mark.parametrize("options", PASSES)
+def test_longest_of_hits(spark, options):
+    """Each document's longest match: a passage of 20 words by length and place, and all places of dense matches against brute force."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"a{k}" for k in rng.integers(0, 2, n)]
+    items = [(k, draw(int(rng.integers(1, 90)))) for k in range(14)]
+    items += [(20, items[13][1]), (21, items[12][1][3:] + draw(20)), (None, draw(30)), (22, prose(90, 40).split())]
+    docs = [(k, draw(int(rng.integers(0, 150)))) for k in range(12)]
+    docs += [(20 + k, [*draw(4), "other", *items[k][1], *items[k + 1][1][2:], "other", *items[k][1][1:]]) for k in range(13)]
+    docs += [(40, ["other"] * 7 + prose(90, 40).split()[5:25] + ["other"]), (41, []), (42, prose(91, 30).split())]
+    want = {}
+    for doc_id, text in docs:
+        found = []
+        for place in range(len(text)):
+            for _, words in items:
+                for at in range(len(words) if len(words) >= 13 else 1):
+                    n = next((n for n in range(min(len(words) - at, len(text) - place)) if words[at + n] != text[place + n]), min(len(words) - at, len(text) - place))
+                    if n >= min(13, len(words)):
+                        found.append((-n, place))
+        want[doc_id] = (-min(found)[0], min(found)[1]) if found else None
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r["doc_id"]: r["longest"] for r in benchmark_hits(texts, benchmark, null_items=True, **options).collect()}
+    assert {k: m and (m["length"], m["place"]) for k, m in got.items()} == want
+    assert tuple(got[40]) == (20, 7, 22, 5) and got[41] is None and got[42] is None
+    held, texts = defaultdict(list), dict(docs)
+    for item, words in items:
+        held[item].append(words)
+    for doc_id, m in got.items():
+        assert m is None or any(words[m["at"] : m["at"] + m["length"]] == texts[doc_id][m["place"] : m["place"] + m["length"]] for words in held[m["item_id"]])
+
+
 def test_empty_benchmark(docs, benchmark):
     assert not benchmark_hits(docs, benchmark.limit(0)).filter("n_hit > 0 or contaminated").count()
 
