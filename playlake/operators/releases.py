@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Words that mark editions in titles and in disambiguations, secondary types of compilations, priorities.
@@ -148,40 +147,35 @@ def ranked(releases: DataFrame, keys: list[str]) -> DataFrame:
     return unique.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def _gap_order(a, b) -> int:
-    for field in ("s", "c", "e"):
-        if a[field] != b[field]:
-            return -1 if a[field] < b[field] else 1
-    kinds = (a["primary_type"], b["primary_type"])
-    if pd.notna(a["y"]) and pd.notna(b["y"]):
-        if kinds == ("Single", "Album") and a["y"] + 10 <= b["y"]:
-            return -1
-        if kinds == ("Album", "Single") and b["y"] + 10 <= a["y"]:
-            return 1
-    left, right = ((x["t"], x["y"] if pd.notna(x["y"]) else 1e9, x["pos"]) for x in (a, b))
-    return (left > right) - (left < right)
+def _precedes(a: Column, b: Column) -> Column:
+    """Whether a release stands before another: by status, compilation and edition; an album after a single ten years older; by type, year, arrival."""
+    head, rest = (lambda r: F.struct(r["s"], r["c"], r["e"])), (lambda r: F.struct(r["t"], F.coalesce(r["y"], F.lit(1_000_000_000)), r["pos"]))
+    early = lambda x, y: F.coalesce((x["primary_type"] == "Single") & (y["primary_type"] == "Album") & (x["y"] + 10 <= y["y"]), F.lit(False))
+    return F.when(head(a) != head(b), head(a) < head(b)).when(early(a, b), True).when(early(b, a), False).otherwise(rest(a) < rest(b))
 
 
 def ranked_with_gap(releases: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """Each key's releases, each id once, ordered with the rule that a single ten years older than an album precedes it.
 
-    ``most``: only the first so many of a key by status, as the catalogue look-up takes 20.
+    The rule isn't transitive, so the order depends on which releases are compared: they come by status and arrival, and each is put behind the last one that
+    it doesn't precede.  ``most``: only the first so many of a key by status, as the catalogue look-up takes 20; without it all of a key's
+    releases meet in one row.  Missing credits make no compilation, a missing year is the last.
     """
     releases = releases.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("pos"))).filter("__n = 1").drop("__n")
     rows = releases.withColumns({
-        "s": status_priority(F.col("status")), "c": is_compilation(F.col("artist_credit"), F.col("secondary_types")).cast("int"),
-        "e": special_title(F.col("title")).cast("int"), "t": type_priority(F.col("primary_type")), "y": release_year(F.col("date")).cast("double"),
-    }).select(*keys, "id", "title", "primary_type", "pos", "s", "c", "e", "t", "y")
+        "s": status_priority(F.col("status")), "c": F.coalesce(is_compilation(F.col("artist_credit"), F.col("secondary_types")), F.lit(False)),
+        "e": F.coalesce(special_title(F.col("title")), F.lit(False)), "t": type_priority(F.col("primary_type")), "y": release_year(F.col("date")),
+    })
     if most is not None:
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "pos"))).filter(F.col("__n") <= most).drop("__n")
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "pos"))).filter(F.col("__n") <= most)
+    arrived = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "pos", "id", "title", "primary_type", "c", "e", "t", "y"))).alias("arrived"))
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(pdf.sort_values(["s", "pos"]).to_dict("records"), key=functools.cmp_to_key(_gap_order))
-        out = pd.DataFrame([{k: r[k] for k in (*keys, "id", "title")} for r in found])
-        return out.assign(rank=range(1, len(found) + 1))
+    def insert(held: Column, x: Column) -> Column:
+        before = F.coalesce(F.array_max(F.transform(held, lambda e, i: F.when(_precedes(x, e), 0).otherwise(i + 1))), F.lit(0))
+        return F.concat(F.slice(held, F.lit(1), before), F.array(x), F.slice(held, before + 1, F.size(held)))
 
-    schema = rows.select(*keys, "id", "title").withColumn("rank", F.lit(0).cast("long")).schema
-    return rows.groupBy(*keys).applyInPandas(order, schema)
+    ordered = arrived.select(*keys, F.aggregate("arrived", F.slice("arrived", 1, 0), insert).alias("ordered"))
+    return ordered.select(*keys, F.posexplode("ordered").alias("place", "r")).select(*keys, "r.id", "r.title", (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from playlake.folders import new_folder
 from playlake.functions import rules
 from playlake.operators import eventlog, interval, query, reconcile, releases, store, subjects
 from playlake.plans import planner, sync
 from playlake.schema import album_artist_of, id_uts, valid_id
 from playlake.shipping import ship
 from playlake.sources import pages
+from playlake.sources.commits import OUTCOMES, PlayLog
 from playlake.sources.plays import observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +112,7 @@ def _append(spark, sf_dir):
     return store.append_stats(obs.filter("seq % 3 > 0"), obs.filter("seq % 3 = 0"))
 
 
-_on_obs(
-    "append_stats", _append,
+_OUTCOMES = (
     """SELECT count(*) FILTER (WHERE o = 'new') AS n_new, count(*) FILTER (WHERE o = 'updated') AS n_updated, count(*) FILTER (WHERE o = 'unchanged') AS n_unchanged FROM o""",
     "held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC, seq DESC) AS rn FROM obs WHERE seq % 3 > 0) WHERE rn = 1)",
     """b AS (SELECT x.*, (SELECT max({'f': y.fetched_at, 's': y.seq}) FROM obs y WHERE y.seq % 3 = 0 AND y.id = x.id AND y.seq < x.seq) AS prev FROM obs x WHERE x.seq % 3 = 0)""",
@@ -119,6 +120,36 @@ _on_obs(
     """o AS (SELECT CASE WHEN ks IS NULL THEN 'new' WHEN c.fetched_at < k.fetched_at OR (c.fetched_at = k.fetched_at AND c.album IS NOT DISTINCT FROM k.album AND c.deleted = k.deleted) THEN 'unchanged' ELSE 'updated' END AS o
           FROM c LEFT JOIN obs k ON k.seq = ks)""",
 )
+_on_obs("append_stats", _append, *_OUTCOMES)
+def _rows(spark, sf_dir) -> DataFrame:
+    """All observations with the log's whole schema."""
+    return _obs(spark, sf_dir).withColumns({"source": F.lit("api"), "v": F.lit(1), "album_artist": album_artist_of(F.lit("api"), F.lit(None).cast("string"))})
+
+
+def _log_append(spark, sf_dir) -> DataFrame:
+    """Two thirds of the observations, then the others, as commits of a log; what the second one counted."""
+    rows, log = _rows(spark, sf_dir), PlayLog(spark, new_folder(spark, "log"))
+    log.append(rows.filter("seq % 3 > 0"))
+    stats = log.append(rows.filter("seq % 3 = 0"))
+    return spark.createDataFrame([tuple(stats[o] for o in OUTCOMES)], ", ".join(f"n_{o} long" for o in OUTCOMES))
+
+
+def _log_compaction(spark, sf_dir) -> DataFrame:
+    log = PlayLog(spark, new_folder(spark, "log"))
+    log.append(_rows(spark, sf_dir))
+    told = log.compact()
+    left = log.read().groupBy("month").agg(F.count(F.lit(1)).alias("n_left"), F.count_if("deleted").alias("gone"))
+    return told.join(left, "month")
+
+
+_on_obs("log_append", _log_append, *_OUTCOMES)
+_on_obs(
+    "log_compaction", _log_compaction,
+    "SELECT month, count(*) AS n_rows, count(DISTINCT id) AS kept, count(*) - count(DISTINCT id) AS dropped, count(*) > count(DISTINCT id) AS rewritten, count(*) FILTER (WHERE last) AS n_left, count(*) FILTER (WHERE last AND deleted) AS gone FROM ww GROUP BY month",
+    "pv AS (SELECT x.*, (SELECT max({'f': y.fetched_at, 's': y.seq}) FROM obs y WHERE y.id = x.id AND y.seq < x.seq) AS prev FROM obs x)",
+    """ww AS (SELECT pv.*, row_number() OVER (PARTITION BY pv.id ORDER BY pv.fetched_at DESC, pv.seq DESC) = 1 AS last FROM pv LEFT JOIN obs k ON k.seq = prev.s
+          WHERE prev IS NULL OR NOT (pv.fetched_at < k.fetched_at OR (pv.fetched_at = k.fetched_at AND pv.album IS NOT DISTINCT FROM k.album AND pv.deleted = k.deleted)))""",
+)
 _on_obs("compact_counts", lambda s, d: store.compact_counts(_obs(s, d)), "SELECT month, count(*) AS n_rows, count(DISTINCT id) AS kept, count(*) - count(DISTINCT id) AS dropped FROM obs GROUP BY month")
 _on_obs(
     "union_merge",
@@ -276,14 +307,14 @@ _on_obs(
 
 def _applied(spark, sf_dir):
     live = _live(spark, sf_dir)
-    edits = live.filter("seq % 4 = 0").select(F.col("id").alias("edit_id"), "uts", F.col("artist").alias("old_artist"), F.lit("track_1").alias("old_track"), F.col("album").alias("old_album"), F.col("artist").alias("new_artist"), F.col("track").alias("new_track"), F.col("album").alias("new_album"))
+    edits = live.select(F.col("id").alias("edit_id"), "uts", F.col("artist").alias("old_artist"), F.lit("track_1").alias("old_track"), F.col("album").alias("old_album"), F.col("artist").alias("new_artist"), F.col("track").alias("new_track"), F.col("album").alias("new_album"))
     return reconcile.already_applied(edits, live)
 
 
 _on_obs(
     "already_applied", _applied,
     """SELECT e.id AS edit_id, true AS new_there, o.x AS old_there, NOT o.x AS applied
-       FROM live e, LATERAL (SELECT coalesce(bool_or(u.artist = e.artist AND u.track = 'track_1' AND u.album IS NOT DISTINCT FROM e.album), false) AS x FROM live u WHERE u.uts = e.uts) o WHERE e.seq % 4 = 0""",
+       FROM live e, LATERAL (SELECT coalesce(bool_or(u.artist = e.artist AND u.track = 'track_1' AND u.album IS NOT DISTINCT FROM e.album), false) AS x FROM live u WHERE u.uts = e.uts) o""",
 )
 
 
@@ -591,12 +622,27 @@ _RANKED = """rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE
 register("release_rank", lambda s, d: releases.ranked(_releases(s, d), ["key"]).select("key", "id", "rank"), f"WITH {_REL}, {_RANKED} SELECT key, id, rank FROM rk")
 
 
-def _gap(spark, sf_dir):
-    ship(spark)
-    return releases.ranked_with_gap(_releases(spark, sf_dir), ["key"], 20)
+def _precedes(a: str, b: str) -> str:
+    early = "{0}.typ = 'Single' AND {1}.typ = 'Album' AND {0}.y < 9999 AND {1}.y < 9999 AND {0}.y + 10 <= {1}.y"
+    head, rest = "row({0}.s, {0}.c, {0}.e)", "row({0}.t, {0}.y, {0}.pos)"
+    return f"CASE WHEN {head.format(a)} <> {head.format(b)} THEN {head.format(a)} < {head.format(b)} WHEN {early.format(a, b)} THEN true WHEN {early.format(b, a)} THEN false ELSE {rest.format(a)} < {rest.format(b)} END"
+
 
+def _gap(spark, sf_dir) -> DataFrame:
+    """The orders' dates cover seven years, so every other release is taken to be twelve years older."""
+    older = (F.substring("date", 1, 4).cast("int") - 12 * (F.floor(F.col("pos") / 10) % 2)).cast("string")
+    return releases.ranked_with_gap(_releases(spark, sf_dir).withColumn("date", older), ["key"], 20)
 
-register("release_rank_gap", _gap)
+
+register(
+    "release_rank_gap", _gap,
+    f"""WITH {_REL}, {_RANKED}, st AS (SELECT *, CASE status WHEN 'Official' THEN 0 WHEN 'Promotion' THEN 2 WHEN 'Bootleg' THEN 3 ELSE CASE WHEN status IS NULL THEN 1 ELSE 5 END END AS s FROM rk),
+        li AS (SELECT key, list([{{'s': s, 'c': comp, 'e': contains(title, 'Deluxe'), 't': CASE typ WHEN 'Album' THEN 0 WHEN 'EP' THEN 1 ELSE 2 END, 'y': coalesce(date[:4]::INT - 12 * (pos // 10 % 2), 9999), 'pos': pos, 'typ': typ, 'id': id, 'title': title}}] ORDER BY s, pos) AS l
+               FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, pos) AS i FROM st) WHERE i <= 20 GROUP BY key),
+        cut AS (SELECT key, list_reduce(l, lambda h, x: h[:coalesce(list_max(list_transform(h, lambda e, i: CASE WHEN {_precedes("x[1]", "e")} THEN 0 ELSE i END)), 0)] || x
+                 || h[coalesce(list_max(list_transform(h, lambda e, i: CASE WHEN {_precedes("x[1]", "e")} THEN 0 ELSE i END)), 0) + 1:]) AS o FROM li)
+        SELECT key, o[i].id AS id, o[i].title AS title, i AS rank FROM (SELECT key, o, unnest(generate_series(1, len(o))) AS i FROM cut)""",
+)
 register(
     "release_replacement", lambda s, d: releases.replacement(_releases(s, d).withColumn("album", F.when(F.col("key") % 2 == 0, F.col("p_name")).otherwise("Other")), ["key"], "album").select("key", "id", "title"),
     f"""WITH {_REL}, {_RANKED}, f AS (SELECT *, bool_or(lower(title) = lower(p_name) AND key % 2 = 0 AND NOT comp) OVER (PARTITION BY key) AS fine FROM rk)
