@@ -10,11 +10,11 @@ from playlake.folders import new_folder
 from playlake.functions import rules
 from playlake.operators import eventlog, interval, query, reconcile, releases, store, subjects
 from playlake.plans import planner, sync
-from playlake.schema import album_artist_of, id_uts, valid_id
+from playlake.schema import PLAY, album_artist_of, id_uts, valid_id
 from playlake.shipping import ship
 from playlake.sources import pages
 from playlake.sources.commits import OUTCOMES, PlayLog
-from playlake.sources.plays import observations
+from playlake.sources.plays import observations, read_log, write_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,6 +142,18 @@ def _log_compaction(spark, sf_dir) -> DataFrame:
     return told.join(left, "month")
 
 
+def _log_unknown(spark, sf_dir) -> DataFrame:
+    """The events' own properties as fields that a log's schema doesn't have: written, read, folded, written and read again."""
+    props = _table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.from_json("props", "map<string,variant>").alias("unknown"))
+    folder = new_folder(spark, "log")
+    write_log(_rows(spark, sf_dir).select(*PLAY.names).join(props, "seq"), folder)
+    held = store.current(read_log(spark, folder, unknown=True))
+    folder = new_folder(spark, "log")
+    write_log(held, folder)
+    return read_log(spark, folder, unknown=True).select("id", "seq", F.variant_get(F.col("unknown")["k"], "$", "int").alias("k"), F.size("unknown").cast("long").alias("n_unknown"))
+
+
+_on_obs("log_unknown", _log_unknown, "SELECT id, seq, (props->>'$.k')::INT AS k, len(json_keys(props))::BIGINT AS n_unknown FROM cur JOIN events ON event_id = seq")
 _on_obs("log_append", _log_append, *_OUTCOMES)
 _on_obs(
     "log_compaction", _log_compaction,

@@ -8,19 +8,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from playlake.schema import LONG_MAX, PLAY, album_artist_of, month_of, month_text, play_id, saturated
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All observations of a log.  Blank and torn lines are left out, wherever they stand."""
-    schema = T.StructType([*PLAY.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def read_log(spark: SparkSession, path: str, unknown: bool = False) -> DataFrame:
+    """All observations of a log.  Blank and torn lines are left out, wherever they stand.
+
+    With ``unknown``, fields that the schema doesn't have are kept as they are, in a column of this name: a map of variants, null where there are none.
+    """
+    schema, corrupt = T.StructType([*PLAY.fields, T.StructField("_corrupt_record", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt_record"}
+    if unknown:
+        lines = spark.read.text(path)
+        others = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, _: ~k.isin(*PLAY.names, "month"))
+        rows = lines.withColumns({"unknown": F.when(F.size(others) > 0, others), "__r": F.from_json("value", schema, corrupt)}).select("__r.*", *[c for c in lines.columns if c != "value"], "unknown")
+    else:
+        rows = spark.read.schema(schema).options(**corrupt).json(path)
     rows = rows.filter(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
     found = rows.withColumns({"deleted": F.coalesce("deleted", F.lit(False)), "v": F.coalesce("v", F.lit(1)), "seq": F.coalesce("seq", F.lit(0))})
     return found if "month" in found.columns else found.withColumn("month", month_of("uts"))
 
 
 def write_log(rows: DataFrame, path: str) -> None:
-    """Append observations as new files, one folder for each month; files that are there never change."""
-    month_cols = [c for c in rows.columns if c != "month"]
-    rows.select(*month_cols, month_of("uts").alias("month")).repartitionByRange("month", "uts", "id").write.mode("append").partitionBy("month").json(path)
+    """Append observations as new files, one folder for each month; files that are there never change.
+
+    The fields of a map ``unknown``, as :func:`read_log` gives it, are written beside the others.
+    """
+    known = [c for c in rows.columns if c not in ("month", "unknown")]
+    ordered = rows.withColumn("month", month_of("uts")).repartitionByRange("month", "uts", "id")
+    if "unknown" in rows.columns:
+        line, more = F.to_json(F.struct(*known)), F.to_json("unknown", {"ignoreNullFields": "false"})
+        whole = F.when(F.coalesce(F.size("unknown"), F.lit(0)) > 0, F.concat(line.substr(F.lit(1), F.length(line) - 1), F.lit(","), more.substr(F.lit(2), F.length(more)))).otherwise(line)
+        ordered.select(whole.alias("value"), "month").write.mode("append").partitionBy("month").text(path)
+    else:
+        ordered.select(*known, "month").write.mode("append").partitionBy("month").json(path)
 
 
 def with_provenance(tracks: DataFrame, source: str, fetched_at: int) -> DataFrame:

@@ -139,3 +139,24 @@ def test_empty_log(spark):
     assert store.live(none).count() == 0
     assert store.latest_uts(none).first()[0] is None
     assert query.search_groups(none, "x", 5).count() == 0
+
+
+def test_unknown_fields_come_back_whole(spark, tmp_path):
+    """Fields of other versions outlive the fold and the writing; names, texts and numbers as they were, also nested and null ones."""
+    first, second = f"{JAN}-1bf77af2", f"{FEB}-40bb547d"
+    lines = [
+        {"id": first, "uts": JAN, "artist": "A", "track": "x", "fetched_at": 1, "seq": 1, "mood": "old"},
+        {"id": first, "uts": JAN, "artist": "A", "track": "x }", "fetched_at": 2, "seq": 2, "mood": 'q"\\ü', "score": 1.5, "n": 12345678901234, "tags": [1, "b", None, {"c": {}}], "none": None, "Track": "other case"},
+        {"id": second, "uts": FEB, "artist": "B", "track": "y", "fetched_at": 1, "seq": 3, "deleted": True},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps(lines[0]), "", '{"id": "torn', *map(json.dumps, lines[1:])]) + "\n")
+    write_log(store.current(read_log(spark, f"{tmp_path}/in", unknown=True)), f"{tmp_path}/out")
+    found = {r["id"]: r for r in (json.loads(line) for f in (tmp_path / "out").rglob("*.txt") for line in f.read_text().splitlines())}
+    for line in lines[1:]:
+        assert {k: v for k, v in found[line["id"]].items() if k in line} == line
+    assert set(found) == {first, second} and "mood" not in found[second]
+    again = read_log(spark, f"{tmp_path}/out", unknown=True)
+    assert again.filter("unknown is null").count() == 1 and again.filter(F.col("track") == "x }").select(F.variant_get(F.col("unknown")["tags"], "$[1]", "string")).first()[0] == "b"
+    plain = ["id", "uts", "artist", "track", "fetched_at", "deleted", "month"]
+    assert sorted(map(tuple, read_log(spark, f"{tmp_path}/out").select(*plain).collect())) == sorted(map(tuple, again.select(*plain).collect()))
