@@ -2,8 +2,8 @@
 
 A document's features are its words (runs without white space, case kept), pairs of neighbouring words (a word after itself
 counts as the one pair "same"), and the character n-grams of each word between ``<`` and ``>``.  The average of their hashed
-vectors goes into a softmax over the two label values.  Training is stochastic gradient descent in numpy on the driver, over
-a bounded sample of labelled rows (:mod:`playlake.llm.labelled`).  Since the output is linear in the average, scoring
+vectors goes into a softmax over the two label values.  Training is stochastic gradient descent in numpy, over
+all labelled rows, in rounds of learning in the tasks (:mod:`playlake.llm.labelled`).  Since the output is linear in the average, scoring
 needs one number for each bucket: a word's sum over its n-grams is worked out once and remembered, so whole texts cost
 a look-up for each word and one for each pair.
 
@@ -14,6 +14,7 @@ beside those named aren't read.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -22,11 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from playlake.llm.labelled import SAMPLE_ROWS, remainder, sample
+from playlake.llm.labelled import learn_round, learning_rows, remainder
+from playlake.llm.scratch import Scope
 from playlake.llm.worker import bound_batches, held
 
 BUCKETS, DIM, N_GRAMS = 1 << 18, 8, (3, 4)
 EPOCHS, RATE, SEED, THRESHOLD = 6, 4.0, 11, 0.3
+#: The epochs are shared out over so many rounds.
+ROUNDS = 2
 _CACHE = 300_000
 _PAIR, _SAME = np.uint64(0x9E3779B97F4A7C15), 0
 
@@ -78,12 +82,31 @@ class Model:
         self.constant: float | None = None
 
     def fit(self, texts: list[str], y: np.ndarray) -> None:
+        """Training in one place."""
+        self.begin(float(y.mean()))
+        state = self.state()
+        self.learn(state, texts, y, SEED, 0, 1)
+        self.take(state)
+
+    def begin(self, share: float) -> None:
+        share = np.clip(share, 1e-3, 1 - 1e-3)
+        self.bias[:] = np.log([1 - share, share])
+
+    def state(self) -> dict[str, np.ndarray]:
+        """What training changes, as arrays of rows."""
+        return {"vectors": self.vectors.copy(), "out": self.out.reshape(1, -1).copy(), "bias": self.bias[None].copy()}
+
+    def take(self, state: dict[str, np.ndarray]) -> None:
+        self.vectors, self.out, self.bias = state["vectors"], state["out"].reshape(DIM, 2), state["bias"][0]
+
+    def learn(self, state: dict[str, np.ndarray], texts: list[str], y: np.ndarray, seed, turn: int, rounds: int) -> None:
+        """One round's epochs over ``texts``; the rate falls with the share of all that is done."""
         docs = []
         for text in texts:
             words = text.encode().split()
             distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
             if not words:
-                docs.append((np.empty(0, np.int64), np.empty(0, np.float32)))
+                docs.append((np.empty(0, np.int32), np.empty(0, np.float32)))
                 continue
             buckets, counts = subwords(list(distinct))
             times = np.bincount(np.array([distinct[w] for w in words]), minlength=len(distinct))
@@ -92,18 +115,18 @@ class Model:
             p = pairs(hashes)
             used, place = np.unique(np.concatenate([buckets, p]), return_inverse=True)
             weight = np.bincount(place, np.concatenate([weights, np.ones(len(p))]))
-            docs.append((used, (weight / weight.sum()).astype(np.float32)))
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.bias[:] = np.log([1 - share, share])
-        rng = np.random.default_rng(SEED)
-        steps, done = EPOCHS * len(docs), 0
-        for _ in range(EPOCHS):
+            docs.append((used.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
+        self.take(state)  # views: what follows changes the state's arrays
+        rng = np.random.default_rng(seed)
+        own = range(EPOCHS * turn // rounds, EPOCHS * (turn + 1) // rounds)
+        steps, done = EPOCHS * len(docs), own.start * len(docs)
+        for _ in own:
             for k in rng.permutation(len(docs)):
                 rate = np.float32(RATE * (1 - done / steps))
                 done += 1
                 used, weight = docs[k]
-                own = self.vectors[used]
-                mean = weight @ own
+                rows = self.vectors[used]
+                mean = weight @ rows
                 z = mean @ self.out + self.bias
                 p = np.exp(z - z.max())
                 p /= p.sum()
@@ -112,7 +135,7 @@ class Model:
                 self.out -= rate * 0.1 * np.outer(mean, p)
                 self.bias -= rate * np.float32(0.01) * p
                 if len(used):
-                    self.vectors[used] = own - (rate * weight)[:, None] * back
+                    self.vectors[used] = rows - (rate * weight)[:, None] * back
 
     def table(self) -> np.ndarray:
         """For each bucket how much it speaks for label 1."""
@@ -156,18 +179,27 @@ class Scorer:
         return 1 / (1 + np.exp(-(out + bias)))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from a bounded sample of labelled rows."""
-    found = sample(docs, labels, label, usable, (), rows)
-    y = np.array([float(r["y"]) for r in found])
+def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality") -> Model:
+    """A model from all labelled rows."""
     model = Model()
-    if len(set(y.tolist())) < 2:
-        model.constant = float(y.mean()) if len(y) else 0.0
-    else:
-        model.fit([r["text"] for r in found], y)
+    with Scope(docs.sparkSession):
+        found = learning_rows(docs, labels, label, usable)
+        n, share, low, high = found.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y")).first()
+        if low == high:
+            model.constant = float(share) if n else 0.0
+            return model
+        model.begin(float(share))
+        state = model.state()
+        for turn in range(ROUNDS):
+            learn_round(found, state, functools.partial(_learn, turn, ROUNDS))
+        model.take(state)
     return model
 
 
+def _learn(turn: int, rounds: int, state: dict[str, np.ndarray], segment: int, texts: list[str], y: np.ndarray) -> None:
+    Model.__new__(Model).learn(state, texts, y, [SEED, segment, turn], turn, rounds)
+
+
 def _scoring(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(key, lambda: Scorer(shared.value))
