@@ -40,6 +40,9 @@ from playlake.llm.worker import bound_batches, held
 MAX_BITS, BLOCK, SEGMENT_TOKENS = 18, 256, 1 << 18
 _HEAD = struct.Struct("<4s4I")
 PUNCTUATION = string.punctuation.encode()
+#: The characters that byte-level tokenizers have for bytes: visible ones for themselves, those from 256 on for the others.
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_PROBES = [w.encode() for w in ("a", "word", "straße", "éàçñ", "übermäßigkeiten", "дом", "東京", "ħšǫx", "extraordinarinesses")]
 
 
 # --- code books -----------------------------------------------------------------------------------------------------
@@ -163,11 +166,8 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.packed([] if end_id is None else [end_id])
-        #: Which ids end a word, if the tokenizer has such a mark.
-        suffix, self.ends = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
-        if suffix:
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        #: Whether the model alone gives the ids of plain words, from their bytes as the characters of :data:`BYTE_CHARACTERS`.
+        self.by_model = all(self._plain(w) == self.packed(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids) for w in _PROBES)
         #: Tokens that the tokenizer looks for before it changes a text; none has white space.
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.split() != [t] for t in self.added):
@@ -192,8 +192,8 @@ class WordEncoder:
     @staticmethod
     def is_plain(word: bytes) -> bool:
         """Whether a word has letters only, none of which the tokenizer changes."""
-        if word.isalpha():  # of bytes: letters of ASCII
-            return True
+        if word.isascii():
+            return word.isalpha() and word.islower()
         text = word.decode()
         return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
@@ -208,9 +208,8 @@ class WordEncoder:
         split = {w: c for w in new if (c := self.core(w)) != w}
         found = {c: ids for c in split.values() if (ids := self.known.get(c) or self.older.get(c))}
         missing = (new - split.keys()) | (set(split.values()) - found.keys())
-        plain = [w for w in missing if self.ends is not None and self.is_plain(w)]
-        for at in range(0, len(plain), 4096):
-            found.update(self._plain(plain[at : at + 4096]))
+        if self.by_model:
+            found.update((w, self._plain(w)) for w in missing if self.is_plain(w))
         missing = list(missing - found.keys())
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
@@ -227,13 +226,9 @@ class WordEncoder:
                 tails[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
             self.known[word] = found[core] + tails[tail]
 
-    def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words of small letters with their ids: encoded as one text, which falls into words again where an id ends one; none if it doesn't."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.kind)
-        cuts = [0, *(self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        if len(cuts) == len(words) + 1:
-            raw = ids.tobytes()
-            yield from ((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+    def _plain(self, word: bytes) -> bytes:
+        """The ids of a word of small letters, which the tokenizer's steps before the model neither change nor split."""
+        return self.packed([x.id for x in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_CHARACTERS))])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as numbers of :attr:`kind`."""

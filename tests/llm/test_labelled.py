@@ -76,3 +76,16 @@ def test_thresholds_have_the_best_f1():
     f1 = np.array([2 * ((scores >= t) & (y > 0)).sum() / ((scores >= t).sum() + y.sum()) for t in tried])
     n, toxic = np.bincount(reached, minlength=len(tried) + 1), np.bincount(reached, y, len(tried) + 1)
     assert toxicity_module._best(n, toxic) == round(float(tried[np.isclose(f1, f1.max())].mean()), 3)
+
+
+def test_plain_words_get_the_ids_of_the_whole_tokenizer():
+    """By the model alone, without the tokenizer's other steps, also where letters aren't ASCII."""
+    from playlake.llm import huffman, queries
+
+    encoder = huffman.WordEncoder(queries.tokenizer_path(), 2)
+    rng = np.random.default_rng(2)
+    letters = [c for c in map(chr, [*range(97, 123), *range(0xDF, 0x250), *range(0x3B1, 0x3CA), *range(0x430, 0x450), *range(0x4E00, 0x4E40)]) if encoder.is_plain(c.encode())]
+    words = ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(3000)]
+    assert encoder.by_model and all(encoder.is_plain(w.encode()) for w in words if w.isascii())
+    plain = [w for w in words if encoder.is_plain(w.encode())]
+    assert len(plain) > 2000 and all(encoder._plain(w.encode()) == encoder.packed(x.ids) for w, x in zip(plain, encoder.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True))
