@@ -23,11 +23,11 @@ an empty file.
 from __future__ import annotations
 
 import os
-import string
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,11 @@ from playlake.llm.worker import bound_batches, held
 
 MAX_BITS, BLOCK, SEGMENT_TOKENS = 18, 256, 1 << 18
 _HEAD = struct.Struct("<4s4I")
-PUNCTUATION = string.punctuation.encode()
 #: The characters that byte-level tokenizers have for bytes: visible ones for themselves, those from 256 on for the others.
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+#: The same for all bytes, but the space, which parts words, stays.
+_UTF_16 = np.array([b if b == 32 else BYTE_CHARACTERS.get(b, b) for b in range(256)], "<u2")
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
 _PROBES = [w.encode() for w in ("a", "word", "straße", "éàçñ", "übermäßigkeiten", "дом", "東京", "ħšǫx", "extraordinarinesses")]
 
 
@@ -147,48 +149,74 @@ class Codes:
 # --- ids of texts ---------------------------------------------------------------------------------------------------
 
 
+def _runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space, remembering the ids of words.
+    """Encodes with a tokenizer that drops white space, remembering the ids of pieces of texts.
 
-    Such a tokenizer treats what stands between spaces independently, and folds A-Z itself, so a text's ids are those of its words.
+    Such a tokenizer treats what stands between spaces independently.  Where it also parts words between letters, digits and
+    marks, these runs are the pieces, cut and folded for many texts at once; words with anything else are one piece each, as they stand.
     """
 
-    #: Words of each of the two generations that are remembered.
-    LIMIT = 200_000
+    #: Pieces that are remembered, and bytes of texts that are cut at once.
+    LIMIT, CHUNK = 300_000, 3 << 20
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Ids of the words met lately, and of those before; what is met again moves up, what isn't goes with its generation.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = self.packed([] if end_id is None else [end_id])
+        self.end_id = end_id
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Whether the model alone gives the ids of plain words, from their bytes as the characters of :data:`BYTE_CHARACTERS`.
-        self.by_model = all(self._plain(w) == self.packed(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids) for w in _PROBES)
+        self.by_model = bool(suffix) and all(self._plain(w) == self.packed(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids) for w in _PROBES)
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: Ids that end a word, by which the ids of many words are told apart.
+        self.closing = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closing[[i for t, i in self.tokenizer.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
         #: Tokens that the tokenizer looks for before it changes a text; none has white space.
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.split() != [t] for t in self.added):
             raise ValueError("an added token of this tokenizer isn't one word")
         self.folded = [t.lower() for t in self.added]
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        low = raw.lower()
-        return (raw if any(t in low for t in self.folded) else low).split()
+        self._forget()
+        self._learn_classes()
+
+    def _forget(self) -> None:
+        #: The place of each known piece; ``flat`` has its ids from ``bounds[place]`` on to the next; whether it was met again.
+        self.places: dict[bytes, int] = {}
+        self.flat, self.bounds, self.again = np.empty(0, self.kind), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _learn_classes(self) -> None:
+        """Classes and folded forms of characters of one or two bytes, as the tokenizer has them."""
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        kinds, folds = np.full(0x800, _ODD, np.uint8), np.arange(0x800)
+        for code in [*range(33, 127), *range(0xA0, 0x800)]:
+            low = normal(chr(code))
+            if len(low) != 1 or code == ord("'") or (code > 127) != (127 < ord(low) < 0x800) or normal(low) != low:
+                continue
+            if low.isalpha():
+                kinds[code], folds[code] = _LETTER, ord(low)
+            elif code < 127:
+                kinds[code] = _DIGIT if low.isdigit() else _MARK
+        kinds[[ord(c) for c in " \t\n\r\x0b\x0c"]] = _SPACE
+        self.kinds, self.folds = kinds, folds
+        # Where that and the pieces don't give the tokenizer's ids for each character beside others, no word is cut.
+        probe = " ".join(w for c in map(chr, range(33, 127)) for w in (c, c + c, f"a{c}", f"{c}a", f"1{c}", f"{c}1", f".{c}", f"{c}.", f"É{c}É"))
+        probe += "".join(f" 1{chr(c)}a{chr(c)}." for c in range(0x80, 0x800) if kinds[c] == _LETTER)
+        if self.encode([probe])[0] != self.packed([*self.tokenizer.encode(probe, add_special_tokens=False).ids, *([] if self.end_id is None else [self.end_id])]):
+            kinds[kinds != _SPACE] = _ODD
+        self._forget()
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
-    def core(self, word: bytes) -> bytes:
-        """A word without the marks that follow its last letter or digit, which the tokenizer treats by themselves."""
-        if word[-1:].isalnum():
-            return word
-        core = word.rstrip(PUNCTUATION)
-        return core if core[-1:].isalnum() and not any(t in word for t in self.added) else word
-
     @staticmethod
     def is_plain(word: bytes) -> bool:
         """Whether a word has letters only, none of which the tokenizer changes."""
@@ -197,62 +225,165 @@ class WordEncoder:
         text = word.decode()
         return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
-    def learn(self, words: set[bytes]) -> None:
-        """Let :attr:`known` have all of ``words``; those that were never met are encoded many in one call."""
-        rest = words - self.known.keys()
-        if len(self.known) + len(rest) > self.LIMIT:
-            self.older, self.known, rest = self.known, {}, words
-        met = rest & self.older.keys()
-        self.known.update((w, self.older[w]) for w in met)
-        new = rest - met
-        split = {w: c for w in new if (c := self.core(w)) != w}
-        found = {c: ids for c in split.values() if (ids := self.known.get(c) or self.older.get(c))}
-        missing = (new - split.keys()) | (set(split.values()) - found.keys())
-        if self.by_model:
-            found.update((w, self._plain(w)) for w in missing if self.is_plain(w))
-        missing = list(missing - found.keys())
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            found.update((w, self.packed(x.ids)) for w, x in zip(part, encoded, strict=True))
-        tails: dict[bytes, bytes] = {}
-        for word in new:
-            core = split.get(word)
-            if core is None:
-                self.known[word] = found[word]
-                continue
-            tail = word[len(core) :]
-            if tail not in tails:
-                tails[tail] = self.packed(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
-            self.known[word] = found[core] + tails[tail]
-
     def _plain(self, word: bytes) -> bytes:
         """The ids of a word of small letters, which the tokenizer's steps before the model neither change nor split."""
         return self.packed([x.id for x in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_CHARACTERS))])
 
+    def cut(self, raw: np.ndarray, starts: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The pieces of texts that begin at ``starts`` of the bytes ``raw``, and where each begins."""
+        kind = self.kinds[raw]
+        kind[raw > 127] = _ODD
+        low = self.folds[:128].astype(np.uint8)[raw & 127]
+        lead = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+        code = (raw[lead].astype(np.int64) & 31) << 6 | raw[lead + 1] & 63
+        kind[lead] = kind[lead + 1] = self.kinds[code]
+        low[lead], low[lead + 1] = 0xC0 | self.folds[code] >> 6, 0x80 | self.folds[code] & 63
+        text = raw.tobytes().lower()
+        if any(t in text for t in self.folded):
+            kind[np.isin(raw, [t[0] for t in self.added])] = _ODD
+        solid, first = kind != _SPACE, np.zeros(len(raw) + 1, bool)
+        first[0] = first[starts] = True
+        first = first[:-1]
+        begins = first | (kind == _DIGIT)
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins &= solid
+        if (kind == _ODD).any():
+            words = first.copy()
+            words[1:] |= ~solid[:-1]
+            words &= solid
+            number = np.cumsum(words, dtype=np.int32) - 1
+            odd = np.zeros(number[-1] + 1, bool)
+            odd[number[kind == _ODD]] = True
+            whole = odd[number] & solid
+            begins = np.where(whole, words, begins)
+            low = np.where(whole, raw, low)
+        at = np.flatnonzero(begins)
+        offsets = np.append(np.cumsum(solid, dtype=np.int32)[at] - 1, np.count_nonzero(solid)).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])]), at
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Give places to pieces that aren't known, which are encoded many in one call."""
+        plain = [p for p in pieces if self.is_plain(p)] if self.by_model else []
+        flat, sizes, order = [self.flat], [], []
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.model_only.encode_batch_fast([_UTF_16[np.frombuffer(b" ".join(part), np.uint8)].tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(part):
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+                order += part
+        rest = list(set(pieces).difference(order))
+        for at in range(0, len(rest), 4096):
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in rest[at : at + 4096]], add_special_tokens=False)
+            flat += [np.array(x.ids, self.kind) for x in found]
+            sizes.append(np.array([len(x.ids) for x in found]))
+        n = len(self.places)
+        self.places.update(zip(order + rest, range(n, n + len(pieces)), strict=True))
+        self.flat = np.concatenate(flat)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
+
+    def _make_room(self) -> None:
+        """Keep what was met again since there was room last, if that is little enough, else nothing."""
+        keep = np.flatnonzero(self.again)
+        starts, sizes = self.bounds[keep], self.bounds[keep + 1] - self.bounds[keep]
+        if 4 * len(keep) > 3 * self.LIMIT or sizes.sum() > 4 * self.LIMIT:
+            return self._forget()
+        pieces = list(self.places)
+        self.places = {pieces[k]: place for place, k in enumerate(keep.tolist())}
+        self.flat, self.bounds, self.again = _runs(self.flat, starts, sizes), np.append(0, np.cumsum(sizes)), np.zeros(len(keep), bool)
+
+    def _encode_chunk(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces in order; of each piece where it begins and how many ids it has."""
+        if len(self.places) > self.LIMIT or len(self.flat) > 8 * self.LIMIT:
+            self._make_room()
+        pieces, at = self.cut(raw, starts)
+        if not len(at):
+            return self.flat[:0], at, at
+        coded = pieces.dictionary_encode()
+        data, ends = coded.dictionary.buffers()[2].to_pybytes(), np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist()
+        distinct = [data[a:b] for a, b in pairwise(ends)]
+        places = np.fromiter(map(self.places.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(places < 0)
+        self.again[places[places >= 0]] = True
+        if len(new):
+            pieces = [distinct[k] for k in new.tolist()]
+            self.learn(pieces)
+            places[new] = [self.places[p] for p in pieces]
+        place = places[coded.indices.to_numpy()]
+        sizes = self.bounds[place + 1] - self.bounds[place]
+        return _runs(self.flat, self.bounds[place], sizes), at, sizes
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        counts, found, low = np.zeros(len(texts), np.int64), [np.empty(0, self.kind)], 0
+        while low < len(raw):
+            high = self._chunk_end(raw, offsets, low)
+            ids, at, sizes = self._encode_chunk(raw[low:high], offsets[(offsets > low) & (offsets < high)] - low)
+            found.append(ids)
+            counts += np.bincount(np.searchsorted(offsets, at + low, "right") - 1, sizes, len(texts)).astype(np.int64)
+            low = high
+        ids = np.concatenate(found)
+        if self.end_id is None:
+            return ids, counts
+        ends = np.cumsum(counts + 1) - 1
+        all_ids, inner = np.full(len(ids) + len(texts), self.end_id, self.kind), np.ones(len(ids) + len(texts), bool)
+        inner[ends] = False
+        all_ids[inner] = ids
+        return all_ids, counts + 1
+
+    def _chunk_end(self, raw: np.ndarray, offsets: np.ndarray, low: int) -> int:
+        """The last end of a text within a chunk's bytes; of a longer text the next white space."""
+        high = int(offsets[np.searchsorted(offsets, low + self.CHUNK, "right") - 1])
+        if high > low:
+            return high
+        end = int(offsets[np.searchsorted(offsets, low, "right")])
+        for at in range(low + self.CHUNK, end, self.CHUNK):
+            spaces = np.flatnonzero(self.kinds[raw[at : min(at + self.CHUNK, end)] & 127] == _SPACE)
+            spaces = spaces[raw[at + spaces] < 128]
+            if len(spaces):
+                return at + int(spaces[0])
+        return end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as numbers of :attr:`kind`."""
-        words = [self.words(t) if t else [] for t in texts]
-        self.learn(set().union(*words))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in words]
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
+def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Small batches made into ones of at most ``limit`` bytes, so that what their rows share is looked up once."""
+    held_back, size = [], 0
+    for batch in batches:
+        if held_back and size + batch.nbytes > limit:
+            yield pa.concat_batches(held_back)
+            held_back, size = [], 0
+        held_back.append(batch)
+        size += batch.nbytes
+    if held_back:
+        yield pa.concat_batches(held_back)
 
 
 def _encoding(path: str, end_id: int | None, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held((path, end_id), lambda: WordEncoder(path, end_id))
         names, total = ["doc_id", "n_tokens", "ids", *["counts"] * counted], np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encoder.encode(part.column("text").to_pylist())
-                columns = [part.column("doc_id"), pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if counted:
-                    met = np.bincount(np.frombuffer(b"".join(ids), encoder.kind))
-                    total = np.concatenate([total, np.zeros(max(0, len(met) - len(total)), np.int64)])
-                    total[: len(met)] += met
-                    columns.append(pa.nulls(part.num_rows, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for part in _joined(batches, encoder.CHUNK):
+            ids, n = encoder.encode_column(part.column("text"))
+            offsets = np.append(0, np.cumsum(n)) * encoder.kind.itemsize
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+            columns = [part.column("doc_id"), pa.array(n, pa.int64()), packed]
+            if counted:
+                met = np.bincount(ids)
+                total = np.concatenate([total, np.zeros(max(0, len(met) - len(total)), np.int64)])
+                total[: len(met)] += met
+                columns.append(pa.nulls(part.num_rows, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
         if counted and total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
