@@ -163,7 +163,7 @@ class WordEncoder:
     """
 
     #: Pieces that are remembered, and bytes of texts that are cut at once.
-    LIMIT, CHUNK = 300_000, 3 << 20
+    LIMIT, CHUNK = 150_000, 3 << 19
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
