@@ -1,5 +1,6 @@
 """Ranking of releases: narrow rows are sorted, and the gap rule compares only what it can decide."""
 
+import os
 import random
 import re
 import time
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from playlake.operators import releases
+from playlake.queries import QUERIES
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "key int, id string, title string, date string, country string, disambiguation string, status string, primary_type string, secondary_types array<string>, artist_credit array<string>, pos long"
 STATUSES = ["Official", None, "Promotion", "Bootleg"]
 
@@ -77,3 +80,66 @@ def test_sorted_rows_are_narrow(spark, query):
     kept = next(line for line in below.splitlines()[1:] if "Project" in line)
     names = re.search(r"Project \[(.*)\]", kept).group(1)
     assert not re.search(r"(^|, )(artist_credit|secondary_types|primary_type|status|date)#\d+(, |$)", names)
+
+
+def test_gap_query_ranks_all_releases_of_a_key(spark):
+    """Parts stand in some thirty lines each: all of them are ranked."""
+    found = QUERIES["release_rank_gap"](spark, DATA).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").groupBy(F.col("l_partkey").alias("key")).agg(F.countDistinct("l_orderkey", "l_linenumber").alias("n"))
+    want = {r["key"]: r["n"] for r in lines.collect()}
+    assert {r["key"]: (r["n"], r["last"]) for r in found.collect()} == {k: (n, n) for k, n in want.items()} and max(want.values()) > 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gap_rule_across_batches(spark, seed):
+    """Groups of one head that are longer and shorter than a batch, with places of arrival that several share."""
+    rng = random.Random(seed)
+    years = [["1970", "1980", "1990"], [str(y) for y in range(1960, 2020)], ["1979", "1980", "1990", None]]
+    made = [(k, f"i{n}", "A", rng.choice(years[k % 3]), "US", "", rng.choice(["Official", None]), rng.choice(["Album", "Album", "Single", "EP"]), [], ["Someone"], n // 2) for k in range(6) for n in range(rng.choice([3, 40, 90]))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = releases.ranked_with_gap(spark.createDataFrame(made, SCHEMA), ["key"]).orderBy("key", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for key in range(6):
+        own = [r for r in made if r[0] == key]
+        assert [(r["id"], r["rank"]) for r in got if r["key"] == key] == [(i, n + 1) for n, i in enumerate(in_order(own, None))]
+
+
+def test_gap_rule_for_a_key_of_many_releases(spark):
+    """Time is in proportion to the releases: each would be compared with all before it otherwise."""
+    n, kinds = 60_000, ["Album", "EP", "Single"]
+    rng = random.Random(7)
+    facts = [(rng.randrange(3), rng.randrange(1950, 2020)) for _ in range(n)]
+    # Only the last release of a type and year can be the one that another is put behind.
+    follow, last, own = [-1] * (n + 1), {}, []
+    def fine(t, y, u, v):
+        return not ((t == 2 and u == 0 and y + 10 <= v) or (not (t == 0 and u == 2 and v + 10 <= y) and (t, y) < (u, v)))
+    for k, (t, y) in enumerate(facts):
+        at = max((i for i, c in enumerate(own) if fine(t, y, *c)), default=-1)
+        behind = last[own[at]] if at >= 0 else n
+        follow[k], follow[behind] = follow[behind], k
+        last[t, y] = k
+        if at < 0 or own[at] != (t, y):
+            had = own.index((t, y)) if (t, y) in own else -1
+            own.insert(at + 1, (t, y))
+            if had >= 0:
+                own.pop(had)
+    want, at = [], follow[n]
+    while at >= 0:
+        want.append(at)
+        at = follow[at]
+    made = spark.createDataFrame([(k, str(y), kinds[t]) for k, (t, y) in enumerate(facts)], "pos long, date string, primary_type string").select(
+        F.lit(1).alias("key"), F.col("pos").cast("string").alias("id"), F.lit("A").alias("title"), "date", F.lit("Official").alias("status"), "primary_type",
+        F.array().cast("array<string>").alias("secondary_types"), F.array(F.lit("Someone")).alias("artist_credit"), "pos")
+    began = time.perf_counter()
+    found = [int(r["id"]) for r in releases.ranked_with_gap(made, ["key"]).orderBy("rank").collect()]
+    assert found == want and time.perf_counter() - began < 30
+
+
+def test_limits_and_filters_leave_ranks_alone(spark):
+    made = [("k", f"i{n}", "A" if n % 2 else "B", str(1970 + 7 * n % 40), "US", "", "Official", ["Album", "EP", "Single"][n % 3], [], ["Someone"], n) for n in range(40)]
+    found = releases.ranked_with_gap(spark.createDataFrame(made, SCHEMA.replace("key int", "key string")), ["key"])
+    ranks = {r["id"]: r["rank"] for r in found.collect()}
+    assert len(ranks) == 40 and all(ranks[r["id"]] == r["rank"] for d in (found.filter("title = 'A'"), found.limit(5), found.filter("rank > 30")) for r in d.collect())
